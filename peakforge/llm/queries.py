@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakforge.llm import canonical
+from peakforge.llm import canonical, splits
 from peakforge.plans.registry import Registry
+from peakforge.session import write_shared
 from peakforge.sources.tables import table
 
 R = Registry()
@@ -43,3 +45,34 @@ def p4_unmatched(spark, d):
     rows = table(spark, d, "metadata", "row_no", "species").withColumnRenamed("species", "value").where("value is not null")
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.join(canonical.species_of(counts, table(spark, d, "species_ref")).where("ref_no = 0"), "value").select(F.col("value").alias("species"), "n_rows")
+
+
+# 2: splits that keep related records together
+
+
+def _related(spark, d):
+    """row_no, code, patient, ref_no of all metadata rows."""
+    meta = table(spark, d, "metadata", "row_no", "id", "species", "case_id")
+    mapping = canonical.species_of(meta.select(F.col("species").alias("value")), table(spark, d, "species_ref"))
+    mapping = write_shared(mapping, "species")
+    rows = meta.join(mapping.withColumnRenamed("value", "species"), "species", "left")
+    return rows.select("row_no", splits.isolate_code(F.col("id")).alias("code"), splits.patient_number(F.col("case_id")).alias("patient"), F.coalesce("ref_no", F.lit(0)).alias("ref_no"))
+
+
+@R.add("p2_found")
+def p2_found(spark, d):
+    return splits.pairs(splits.grouped(_related(spark, d)))
+
+
+@R.add("p2_splits")
+def p2_splits(spark, d):
+    rows = _related(spark, d)
+    return splits.assign(spark, splits.grouped(rows), rows.select("row_no", F.col("ref_no").alias("label")))
+
+
+@R.add("p2_shares")
+def p2_shares(spark, d):
+    """Rows, components and share of each split."""
+    placed = p2_splits(spark, d)
+    n = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("component").alias("n_components"))
+    return n.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
