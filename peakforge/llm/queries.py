@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakforge.llm import canonical, splits
+from peakforge.llm import canonical, leaks, mixing, splits
 from peakforge.plans.registry import Registry
 from peakforge.session import write_shared
 from peakforge.sources.tables import table
@@ -76,3 +76,38 @@ def p2_shares(spark, d):
     placed = p2_splits(spark, d)
     n = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("component").alias("n_components"))
     return n.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
+
+
+# 7: evaluation texts leaking into training text
+
+
+def _leaks(spark, d):
+    return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item"))
+
+
+@R.add("p7_found")
+def p7_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_no")
+
+
+@R.add("p7_items")
+def p7_items(spark, d):
+    """Leaked items with the number of documents that hold them and the longest run."""
+    return _leaks(spark, d).groupBy("item_no").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest_run"))
+
+
+# 8: mixing sources to target weights
+
+
+def _tokens(spark, d):
+    return write_shared(mixing.counted(table(spark, d, "documents", "doc_id", "source", "text")), "tokens")
+
+
+@R.add("p8_mix")
+def p8_mix(spark, d):
+    return mixing.mix(_tokens(spark, d), table(spark, d, "mix_target"))
+
+
+@R.add("p8_shares")
+def p8_shares(spark, d):
+    return mixing.shares(_tokens(spark, d), table(spark, d, "mix_target"))
