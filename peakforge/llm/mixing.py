@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import re
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,8 +20,6 @@ REMEMBERED = 300_000
 # Fixed value: the pattern by which the byte-level vocabulary splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict[str, object] = {}
-
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where the installed public vocabularies lie; give your own path where they are not installed."""
@@ -67,9 +66,9 @@ def counted(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _encoders.get(path)
-        if counter is None:
-            counter = _encoders[path] = TokenCounter(path)
+        # A worker serves many tasks; what it has learned is kept on the interpreter, as this function is sent anew each time.
+        kept = sys.__dict__.setdefault("_peakforge_counters", {})
+        counter = kept.get(path) or kept.setdefault(path, TokenCounter(path))
         for b in batches:
             n = pa.array(map(counter, b.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n], ["doc_id", "source", "n_tokens"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakforge.llm import canonical, leaks, mixing, splits
+from peakforge.llm import canonical, clusters, leaks, mixing, splits, vectors
 from peakforge.plans.registry import Registry
 from peakforge.session import write_shared
 from peakforge.sources.tables import table
@@ -111,3 +111,42 @@ def p8_mix(spark, d):
 @R.add("p8_shares")
 def p8_shares(spark, d):
     return mixing.shares(_tokens(spark, d), table(spark, d, "mix_target"))
+
+
+# 1: clusters of similar spectra
+
+
+def _spectra(spark, d):
+    return table(spark, d, "maldiset", "spectrum_no", "x")
+
+
+@R.add("p1_found")
+def p1_found(spark, d):
+    member, _ = clusters.clusters(_spectra(spark, d), "spectrum_no", "x")
+    return member.where("id <> cluster_no").select("cluster_no", F.col("id").alias("spectrum_no"))
+
+
+@R.add("p1_clusters")
+def p1_clusters(spark, d):
+    """Each cluster of several spectra with its size and up to three most typical spectra."""
+    spectra = _spectra(spark, d)
+    member, sums = clusters.clusters(spectra, "spectrum_no", "x")
+    found = clusters.typical(spectra, "spectrum_no", "x", member, sums.where("n > 1"))
+    return found.withColumnRenamed("id", "spectrum_no")
+
+
+# 6: most similar vectors
+
+
+def _neighbours(spark, d):
+    return vectors.neighbours(_spectra(spark, d), "spectrum_no", "x")
+
+
+@R.add("p6_found")
+def p6_found(spark, d):
+    return vectors.neighbour_pairs(_neighbours(spark, d))
+
+
+@R.add("p6_neighbours")
+def p6_neighbours(spark, d):
+    return _neighbours(spark, d)
