@@ -8,9 +8,11 @@ are compared; the rows join their value's result at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakforge.session import write_shared
+
 # Letters with marks and digits read for letters, with what they stand for.
 MARKED = "áàâäãåéèêëíìîïıóòôöõøúùûüýñç"
 PLAIN = "aaaaaaeeeeiiiiioooooouuuuync"
@@ -108,10 +110,6 @@ def pigeonhole_join(values: DataFrame, reference: DataFrame) -> DataFrame:
     return found.withColumn("edits", F.levenshtein("form", "ref_form")).where("edits <= k").select("form", "kind", "ref_form", "edits")
 
 
-def _same_letters(a: str, b: str) -> Column:
-    return F.array_sort(F.split(F.col(a), "")) == F.array_sort(F.split(F.col(b), ""))
-
-
 def species_reference(species_ref: DataFrame) -> DataFrame:
     """(ref_no, ref_form, ref_head, kind, k) for names and former names; nulls name nothing."""
     names = species_ref.select(F.col("species_no").cast("bigint").alias("ref_no"), F.explode(F.array("species", "former_name")).alias("name")).where("name is not null")
@@ -138,15 +136,17 @@ def map_values(values: DataFrame, reference: DataFrame, forms) -> DataFrame:
     none is meant. An empty reference matches nothing, an empty text has no reading. An abbreviated genus must begin the
     entry's genus.
     """
-    values = values.where("value is not null").select("value").distinct()
-    read = values.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", "f.head", "f.kind").distinct()
+    values = write_shared(values.where("value is not null").select("value").distinct(), "values")
+    reference = write_shared(reference, "reference")
+    read = write_shared(values.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", "f.head", "f.kind").distinct(), "readings")
     near = pigeonhole_join(read, reference)
     hit = read.join(near, ["form", "kind"]).join(reference.select("ref_no", "ref_form", "ref_head", "kind"), ["ref_form", "kind"])
     hit = hit.where((F.col("kind") == "full") | F.startswith("ref_head", "head"))
-    hit = hit.groupBy("value", "ref_no").agg(F.min(F.struct(F.when(F.col("kind") == "full", 0).otherwise(1).alias("kind"), "edits")).alias("rank"))
-    best = hit.groupBy("value").agg(F.min(F.struct("rank", "ref_no")).alias("b"), F.min("rank").alias("rank"))
-    ties = hit.join(best.select("value", "rank"), ["value", "rank"]).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("ref_no").alias("ref_no"))
-    matched = ties.where("n = 1").select("value", "ref_no")
+    rank = F.min(F.struct(F.when(F.col("kind") == "full", 0).otherwise(1).alias("kind"), "edits"))
+    hit = write_shared(hit.groupBy("value", "ref_no").agg(rank.alias("rank")), "hits")
+    best = hit.groupBy("value").agg(F.min("rank").alias("rank"))
+    ties = hit.join(best, ["value", "rank"]).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("ref_no").alias("ref_no"))
+    matched = write_shared(ties.where("n = 1").select("value", "ref_no"), "matched")
     missed = values.join(matched, "value", "left_anti").select("value", F.lit(0).cast("bigint").alias("ref_no"))
     return matched.union(missed)
 
