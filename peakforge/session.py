@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "peakforge", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -53,3 +54,11 @@ def drop_shared(df: DataFrame) -> None:
     for file in df.inputFiles():
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def fitting(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged for the planner to shuffle.
+
+    The rows are counted, so ``df`` should be a written table.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
