@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakforge.llm import canonical, clusters, leaks, mixing, splits, vectors
+from peakforge.llm import canonical, clusters, leaks, mixing, splits, truncation, vectors
 from peakforge.plans.registry import Registry
 from peakforge.session import write_shared
 from peakforge.sources.tables import table
@@ -150,3 +150,20 @@ def p6_found(spark, d):
 @R.add("p6_neighbours")
 def p6_neighbours(spark, d):
     return _neighbours(spark, d)
+
+
+# 9: texts cut off
+
+
+def _judged(spark, d):
+    return truncation.judged(table(spark, d, "documents", "doc_id", "source", "text"))
+
+
+@R.add("p9_found")
+def p9_found(spark, d):
+    return _judged(spark, d).where("p_cut > 0.5").select("doc_id")
+
+
+@R.add("p9_rates")
+def p9_rates(spark, d):
+    return truncation.cut_rates(_judged(spark, d))
