@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.llm.vectors import Lists, sample_rows, to_matrix, unit, usable
-from peakforge.session import write_shared
+from peakforge.session import drop_shared, write_shared
 
 LEAST = 0.85
 LIST_ROWS, BLOCK = 300, 1500
 #: A pass over lists is repeated while it removes at least this share of the clusters.
 WORTH = 0.05
 #: Distance ratio up to which a cluster is posted to further lists, and lists at most.
-SPREAD, MOST_POSTS = 1.1, 16
+SPREAD, MOST_POSTS = 1.05, 16
 MOST_ROUNDS = 40
 
 _CLUSTER = "id bigint, n bigint, s binary"
@@ -185,13 +185,17 @@ def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_ro
     belong to none. Equal vectors end in one cluster. An empty table gives empty results.
     """
     rows = usable(vectors, key, x).select(F.col(key).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"), F.col(x).alias("s"))
-    member, now, before = None, rows, None
+    member, now, before, old = None, rows, None, []
     for seed in range(1, MOST_ROUNDS):
         done = write_shared(_local_pass(now, seed, list_rows, least), "pass")
         step = done.select("id", "root")
-        member = write_shared(step.select("id", F.col("root").alias("cluster_no")) if member is None else member.join(step.withColumnRenamed("id", "cluster_no"), "cluster_no").select("id", F.col("root").alias("cluster_no")), "member")
+        was = member
+        member = write_shared(step.select("id", F.col("root").alias("cluster_no")) if was is None else was.join(step.withColumnRenamed("id", "cluster_no"), "cluster_no").select("id", F.col("root").alias("cluster_no")), "member")
         now = done.where("s is not null").select("id", "n", "s")
         left = now.count()
+        for t in old:
+            drop_shared(t)
+        old = [done, member]
         if before is not None and left > before * (1 - WORTH):
             break
         before = left
