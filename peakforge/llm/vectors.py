@@ -24,7 +24,7 @@ SAMPLE = 20_000
 #: Vectors a list should hold, lists at most, rows of a block at most.
 LIST_ROWS, MOST_LISTS, BLOCK = 400, 10_000, 2_000
 #: Distance ratios up to which further lists take a vector and up to which a query reads further lists.
-SPREAD, REACH = 1.05, 1.06
+SPREAD, REACH = 1.04, 1.045
 #: Lists a vector is posted to and a query reads, at most.
 MOST_POSTS = 16
 #: Pivots a search starts from.
@@ -200,11 +200,12 @@ def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float =
         return pa.table({"query_no": cat(q, np.int64), "other_no": cat(o, np.int64), "similarity": cat(sim, np.float64)})
 
     posts = rows.select(F.col(key).cast("bigint").alias("id"), x).mapInArrow(post, "list int, block int, posted boolean, id bigint, x binary")
-    found = posts.groupBy("list", "block").applyInArrow(score, "query_no bigint, other_no bigint, similarity double").distinct()
+    found = posts.groupBy("list", "block").applyInArrow(score, "query_no bigint, other_no bigint, similarity double")
     found = write_shared(found, "found")
     heirs = spare.join(found.withColumnRenamed("query_no", "first"), "first").select(F.col("id").alias("query_no"), "other_no", "similarity")
     found = found.union(heirs).union(spare.select("id", "first", F.lit(1.0)))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other_no").alias("o"))))
+    # Each list a query reads gives at most k+1 rows; a pair found in several lists is folded here.
+    best = F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("other_no").alias("o"))))
     ranked = found.groupBy("query_no").agg(F.slice(best, 1, k).alias("best"))
     return ranked.select("query_no", F.posexplode("best").alias("p", "b")).select("query_no", F.col("b.o").alias("other_no"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("place"))
 
