@@ -1,21 +1,27 @@
 """Test passages inside training texts by a distributed positional inverted index.
 
 The index holds (doc_id, pos, term) for the terms of the test passages and is written once to the shared folder.
-Every stretch of ``span`` words of a passage is looked up by its rarest term; the postings found, shifted by the term's
-place in the passage, are candidates (document, passage, shift), which are intersected with the postings of all other
-terms of the passage at the same shift. A run of ``span`` consecutive matches is a leak. Any choice of terms finds the
+Every stretch of ``span`` words of a passage is looked up by its two rarest places; postings of both that agree after
+shifting by the place in the passage are candidates (document, passage, shift), which are intersected with the
+postings of all other terms of the passage at the same shift. A run of ``span`` consecutive matches is a leak. Any choice of terms finds the
 same leaks; the rarest are the cheapest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.llm.words import normal_text, words
-from peakforge.session import write_shared
+from peakforge.llm.words import normal_text, words, words_of
+from peakforge.session import fitting, write_shared
 
 SPAN = 12
+#: Terms of the test passages that every worker may hold.
+MOST_TERMS = 1_000_000
 
 
 def passage_terms(items: DataFrame, span: int = SPAN) -> DataFrame:
@@ -24,30 +30,77 @@ def passage_terms(items: DataFrame, span: int = SPAN) -> DataFrame:
     return w.select("item_no", F.posexplode("w").alias("at", "word"))
 
 
-def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, pos, term): every place of every document where a word of ``terms`` (word, term) stands."""
-    w = documents.select("doc_id", words(normal_text(F.col("text"))).alias("w"))
-    return w.select("doc_id", F.posexplode("w").alias("pos", "word")).join(terms, "word").select("doc_id", "pos", "term")
+def positional_index(documents: DataFrame, terms: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(doc_id, pos, term): every place of every document where a word of ``terms`` (word, term) stands.
+
+    Up to ``most_terms`` terms go to every worker, and a text leaves nothing behind but its postings. Beyond, the words of all
+    texts are joined with the terms.
+    """
+    if terms.limit(most_terms + 1).count() > most_terms:
+        w = documents.select("doc_id", words(normal_text(F.col("text"))).alias("w"))
+        return w.select("doc_id", F.posexplode("w").alias("pos", "word")).join(terms, "word").select("doc_id", "pos", "term")
+    known = documents.sparkSession.sparkContext.broadcast({r["word"]: r["term"] for r in terms.toLocalIterator()})
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for b in batches:
+            doc, pos, term = [], [], []
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                hits = [(at, t) for at, w in enumerate(words_of(text)) if (t := get(w)) is not None]
+                if hits:
+                    at, t = zip(*hits)
+                    doc.append(pa.array(np.full(len(at), i, np.int64)))
+                    pos.extend(at)
+                    term.extend(t)
+            if doc:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(doc), pa.array(pos, pa.int32()), pa.array(term, pa.int64())], ["doc_id", "pos", "term"])
+
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(post, "doc_id bigint, pos int, term bigint")
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+def _code(pos: Column, term: Column) -> Column:
+    """Place and term number in one bigint; intersections of such arrays work on a hash set."""
+    return F.shiftleft(pos.cast("bigint"), 31) + term
+
+
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms: int = MOST_TERMS) -> DataFrame:
     """(doc_id, item_no, n_words): leaked passages with the length of their longest run of at least ``span`` words.
 
     ``documents`` has doc_id and text, ``items`` item_no and passage; other columns are ignored. A document that
     holds a passage several times appears once; equal documents each appear.
     """
     places = passage_terms(items, span)
-    terms = places.select("word").distinct().select("word", F.xxhash64("word").alias("term"))
-    places = write_shared(places.select("item_no", "at", F.xxhash64("word").alias("term")), "passages")
-    index = write_shared(positional_index(documents, terms), "postings")
+    # Terms are numbered, so that place and term fit into one number; the window sorts the words of the passages only.
+    numbered = places.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).cast("bigint").alias("term"))
+    terms = write_shared(numbered, "terms")
+    places = write_shared(places.join(terms, "word").select("item_no", "at", "term"), "passages")
+    index = write_shared(positional_index(documents, terms, most_terms), "postings")
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     known = places.join(frequency, "term", "left").select("item_no", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
     ahead = Window.partitionBy("item_no").orderBy("at").rowsBetween(0, span - 1)
-    stretch = known.withColumn("rare", F.min(F.struct("n", "term", "at")).over(ahead)).withColumn("len", F.count(F.lit(1)).over(ahead))
-    anchors = stretch.where(F.col("len") == span).select("item_no", F.col("rare.term").alias("term"), F.col("rare.at").alias("at"), F.col("rare.n").alias("n")).where("n > 0").distinct()
-    found = index.join(anchors.select("item_no", "term", "at"), "term").select("doc_id", "item_no", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    wanted = found.join(places, "item_no").select("doc_id", "item_no", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
-    match = wanted.join(index, ["doc_id", "pos", "term"]).select("doc_id", "item_no", "shift", "at")
-    run = Window.partitionBy("doc_id", "item_no", "shift").orderBy("at")
-    runs = match.withColumn("run", F.col("at") - F.row_number().over(run)).groupBy("doc_id", "item_no", "shift", "run").agg(F.count(F.lit(1)).alias("n_words"))
-    return runs.where(F.col("n_words") >= span).groupBy("doc_id", "item_no").agg(F.max("n_words").alias("n_words"))
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "at")).over(ahead)), 1, 2)
+    stretch = known.withColumn("rare", rare).withColumn("len", F.count(F.lit(1)).over(ahead)).where(F.col("len") == span)
+    stretch = write_shared(stretch.select("item_no", F.col("at").alias("start"), F.get("rare", F.lit(0)).alias("a"), F.get("rare", F.lit(1)).alias("b")).where("a.n > 0"), "stretches")
+    anchors = write_shared(stretch.select("item_no", F.explode(F.array("a", "b")).alias("r")).select("item_no", "r.term", "r.at").distinct(), "anchors")
+    hits = index.join(fitting(anchors), "term").select("doc_id", "item_no", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    # At most two anchors of each of a passage's stretches: the set is as small as the passage.
+    seen = hits.groupBy("doc_id", "item_no", "shift").agg(F.collect_set("at").alias("seen")).where(F.size("seen") > 1)
+    pairs = stretch.groupBy("item_no").agg(F.collect_set(F.array("a.at", "b.at")).alias("pairs"))
+    found = seen.join(fitting(pairs), "item_no").where(F.exists("pairs", lambda p: F.size(F.array_except(p, "seen")) == 0)).select("doc_id", "item_no", "shift")
+    found = write_shared(found, "candidates")
+    # Only the postings of documents with a candidate are brought together, and each candidate is intersected in its row.
+    held = index.join(fitting(write_shared(found.select("doc_id").distinct(), "suspects")), "doc_id", "left_semi")
+    held = held.groupBy("doc_id").agg(F.collect_list(_code(F.col("pos"), F.col("term"))).alias("posts"))
+    passages = write_shared(places.groupBy("item_no").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("passage")), "whole")
+    both = found.join(held, "doc_id").join(fitting(passages), "item_no")
+    due = F.transform("passage", lambda p: _code(p["at"] + F.col("shift"), p["term"]))
+    met = F.array_intersect(due, F.col("posts"))
+    start = F.struct(F.lit(-2).cast("bigint").alias("last"), F.lit(0).alias("len"), F.lit(0).alias("best"))
+
+    def lengthen(s, m):
+        pos = F.shiftright(m, 31)
+        n = F.when(pos == s["last"] + 1, s["len"] + 1).otherwise(1)
+        return F.struct(pos.alias("last"), n.alias("len"), F.greatest(s["best"], n).alias("best"))
+
+    runs = both.select("doc_id", "item_no", F.aggregate(met, start, lengthen, lambda s: s["best"]).alias("n_words"))
+    return runs.where(F.col("n_words") >= span).groupBy("doc_id", "item_no").agg(F.max("n_words").cast("bigint").alias("n_words"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,11 +16,12 @@ PLAIN = r"[^\x00-\x7F°·×÷§«»–—‘’“”„•≤≥≠±√∑∂
 DROPPED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _DROP = dict.fromkeys(map(ord, DROPPED))
+_RUN = re.compile(r"[^\W_]+")
 
 
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower().translate(_DROP))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(_DROP).lower())
 
 
 def normal_text(text: Column) -> Column:
@@ -35,3 +37,12 @@ def normal_text(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text made by :func:`normal_text`, in order; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), "")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The same words for code that runs in Python anyway."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_DROP)
+    return _RUN.findall(text.lower().replace("-\n", ""))
