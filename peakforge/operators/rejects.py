@@ -25,7 +25,8 @@ def _by_delimiter(make) -> Column:
 
 
 def _quoted(d: str) -> str:
-    return rf'[ ]*"[^"]*(?:""[^"]*)*"[ ]*(?={d}|$)'
+    # Possessive throughout: the pattern engine then loops instead of recursing, however long a hostile line is.
+    return rf'[ ]*+"[^"]*+(?:""[^"]*+)*+"[ ]*+(?={d}|$)'
 
 
 def _fields(line: Column) -> Column:

@@ -140,7 +140,7 @@ def build(spark: SparkSession, layout: FlatLayout, out: str, name: str, pipeline
     rows = layout.joined(spark)
     good, bad = rows.where(F.size("mz") > 0), rows.where(F.size("mz") == 0).select("spectrum_id", F.lit("no numeric line").alias("reason"))
     bad.write.mode("overwrite").parquet(f"{out}/errors")
-    n_bad = spark.read.parquet(f"{out}/errors").count()
+    n_bad = spark.read.schema(bad.schema).parquet(f"{out}/errors").count()
     if n_bad and on_error == "raise":
         raise ValueError(f"{n_bad} spectra failed")
     good.select("spectrum_id", "year", "mz", "intensity").write.mode("overwrite").partitionBy("year").parquet(f"{out}/stage=raw")

@@ -30,7 +30,7 @@ def read_spectra(spark: SparkSession, path: str, glob: str = "*.txt", recursive:
 
     Files are read whole, so a spectrum must fit into a row; for millions of them merge the files first.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
     p = raw.select(F.col("_metadata.file_path").alias("path"), parse_points(F.col("value")).alias("p"))
     return p.select(stem(F.col("path")).alias("spectrum_id"), "path", F.transform("p", lambda v: v["mz"]).alias("mz"), F.transform("p", lambda v: v["intensity"]).alias("intensity"))
 
