@@ -371,7 +371,7 @@ def upset_counts(spark, d):
     return differential.flag_sets(_flags(spark, d), _DRUGS)
 
 
-@R.add("manhattan_data", sql("SELECT bin_index, 2000.0 + 75 * bin_index AS mz, effect_size FROM diff", "effect_size", ctes=_MOM))
+@R.add("manhattan_data", sql("SELECT bin_index, CAST(2000 + 75 * bin_index AS DOUBLE) AS mz, effect_size FROM diff", "effect_size", ctes=_MOM))
 def manhattan_data(spark, d):
     m = differential.class_moments(_labelled(spark, d))
     return rounded(m.select("bin_index", (F.col("bin_index") * F.lit(WIDTH) + START).alias("mz"), differential.effect_size().alias("effect_size")))

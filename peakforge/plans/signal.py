@@ -159,7 +159,7 @@ def bin_proportional(spark, d):
     return rounded(binning.bin_points(points(spark, d), binning.edge_bin(F.col("mz"), _PROP), len(_PROP) - 1, fill=False))
 
 
-@R.add("bin_metadata", "SELECT CAST(i AS INTEGER) AS bin_index, 2000.0 + 300 * i AS bin_start, 2300.0 + 300 * i AS bin_end, CAST(300 AS DOUBLE) AS bin_width FROM range(60) t(i)")
+@R.add("bin_metadata", "SELECT CAST(i AS INTEGER) AS bin_index, CAST(2000 + 300 * i AS DOUBLE) AS bin_start, CAST(2300 + 300 * i AS DOUBLE) AS bin_end, CAST(300 AS DOUBLE) AS bin_width FROM range(60) t(i)")
 def bin_metadata(spark, d):
     return binning.bin_table(spark, binning.edges_of("uniform", 2000.0, 20000.0, 300.0))
 
@@ -236,7 +236,7 @@ def peak_statistics(spark, d):
 
 @R.add(
     "peakset_topk",
-    sql("SELECT spectrum_no, 2000.0 + 75 * pos AS mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_no ORDER BY intensity DESC, pos DESC) AS k FROM tops) WHERE k <= 12", "intensity", ctes=_RUNS),
+    sql("SELECT spectrum_no, CAST(2000 + 75 * pos AS DOUBLE) AS mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_no ORDER BY intensity DESC, pos DESC) AS k FROM tops) WHERE k <= 12", "intensity", ctes=_RUNS),
 )
 def peakset_topk(spark, d):
     s = spectra(spark, d)
@@ -244,7 +244,7 @@ def peakset_topk(spark, d):
     return rounded(sets.select("spectrum_no", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("spectrum_no", "p.mz", "p.intensity"))
 
 
-@R.add("peak_mask", sql("SELECT spectrum_no, bin_index AS pos, CASE WHEN t.pos IS NULL THEN 0.0 ELSE 1.0 END AS mask FROM matrix m LEFT JOIN tops t ON m.spectrum_no = t.spectrum_no AND m.bin_index = t.pos".replace("SELECT spectrum_no", "SELECT m.spectrum_no"), ctes=_RUNS))
+@R.add("peak_mask", sql("SELECT spectrum_no, bin_index AS pos, CASE WHEN t.pos IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS mask FROM matrix m LEFT JOIN tops t ON m.spectrum_no = t.spectrum_no AND m.bin_index = t.pos".replace("SELECT spectrum_no", "SELECT m.spectrum_no"), ctes=_RUNS))
 def peak_mask(spark, d):
     return _long(spectra(spark, d).select("spectrum_no", peaks.peak_mask(F.col("x")).alias("mask")), "spectrum_no", "mask")
 
@@ -262,7 +262,7 @@ def peaks_persistence(spark, d):
 # alignment
 
 _REF = [2500.0, 4000.0, 5500.0, 7000.0, 8500.0, 10000.0, 12500.0, 15000.0, 17500.0]
-_NEAR = f"near AS (SELECT p.spectrum_no, p.pos, p.mz, r AS ref, row_number() OVER (PARTITION BY p.spectrum_no, p.pos ORDER BY abs(r - p.mz), r DESC) AS k FROM points p JOIN (SELECT unnest({_REF!r}) AS r) ON true)"
+_NEAR = f"near AS (SELECT p.spectrum_no, p.pos, p.mz, r AS ref, row_number() OVER (PARTITION BY p.spectrum_no, p.pos ORDER BY abs(r - p.mz), r DESC) AS k FROM points p JOIN (SELECT CAST(unnest({_REF!r}) AS DOUBLE) AS r) ON true)"
 
 
 @R.add("nearest_reference", sql("SELECT spectrum_no, pos, ref FROM near WHERE k = 1", ctes=_NEAR))
