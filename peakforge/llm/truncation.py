@@ -72,7 +72,7 @@ def _chance(m: float, expected: float) -> float:
 
 
 def _limits(h: pd.DataFrame) -> pd.DataFrame:
-    """Candidate limits of one source and unit from its histogram of lengths."""
+    """Candidate limits of one source and unit from its histogram of lengths; more texts beyond a limit than at it refute it."""
     source, unit = h["source"].iloc[0], h["unit"].iloc[0]
     counts = {int(k): int(v) for k, v in zip(h["len"], h["n"]) if k > 0}
     out = []
@@ -83,7 +83,8 @@ def _limits(h: pd.DataFrame) -> pd.DataFrame:
             inside = range(limit - width + 1, limit + 1)
             m = sum(counts.get(k, 0) for k in inside)
             near = sum(counts.get(k, 0) for k in range(limit - 60, limit - width + 1)) / (61 - width) * width
-            if m < LEAST_AT_LIMIT or m < EXCESS * near:
+            above = sum(c for k, c in counts.items() if k > limit)
+            if m < LEAST_AT_LIMIT or m < EXCESS * near or above > m:
                 continue
             mu, sd = fit_censored([(math.log(k), c) for k, c in counts.items() if k not in inside], math.log(limit), m)
             z = (math.log(limit) - mu) / sd
@@ -184,8 +185,9 @@ def judged(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "source", "text")
     shape = write_shared(shapes(d), "shapes")
     limits = write_shared(length_limits(shape), "limits")
-    at = shape.select("doc_id", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("len")))).alias("v"))
-    at = at.join(limits, (at["source"] == limits["source"]) & (at["v.unit"] == limits["unit"]) & (at["v.len"] <= limits["limit_at"]) & (at["v.len"] > limits["limit_at"] - limits["width"]))
+    # A text falls short of a limit in bytes only where the next character takes several.
+    at = shape.select("doc_id", "source", (F.col("n_bytes") == F.col("n_chars")).alias("plain"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("len")))).alias("v"))
+    at = at.join(limits, (at["source"] == limits["source"]) & (at["v.unit"] == limits["unit"]) & (at["v.len"] <= limits["limit_at"]) & (at["v.len"] > limits["limit_at"] - F.when(at["plain"], 1).otherwise(limits["width"])))
     at = at.groupBy("doc_id").agg(F.max("p_limit").alias("p_limit"), F.max("limit_at").alias("limit_at"))
     known = shape.groupBy("source", "trailer").agg(F.count(F.lit(1)).alias("n"))
     size = shape.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg((F.col("trailer") != "").cast("double")).alias("trailed"))

@@ -134,7 +134,7 @@ def _corpus():
 def test_cut_texts(spark, monkeypatch, most_words):
     monkeypatch.setattr(truncation.word_endings, "__defaults__", (most_words,))
     docs, cut = _corpus()
-    docs += [(9001, "s0", None), (9002, "s0", ""), (9003, None, "Whole text here."), (9004, "s1", "The valve turns a hol [...]"), (9005, "s1", "x" * 50_000 + ".")]
+    docs += [(9001, "s0", None), (9002, "s0", ""), (9003, None, "Whole text here."), (9004, "s1", "The valve turns a hol [...]"), (9005, "s0", "x" * 50_000 + ".")]
     d = spark.createDataFrame([(*r, 0.5) for r in docs], "doc_id bigint, source string, text string, p_cut double")
     j = {r["doc_id"]: r["p_cut"] for r in truncation.judged(d).collect()}
     found = {i for i, p in j.items() if p > 0.5}
