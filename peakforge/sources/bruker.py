@@ -50,7 +50,7 @@ def read_bruker(spark: SparkSession, root: str, source: str = "1r") -> DataFrame
     """
     if source not in PLACES:
         raise ValueError("source is 1r or fid")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.url_decode("path").alias("path"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     acqus = files.where(F.substring_index("path", "/", -1) == "acqus").select(F.regexp_replace("path", "/acqus$", "").alias("dir"), F.col("content").cast("string").alias("acqus"))
     tail = "/" + PLACES[source]
     data = files.where(F.endswith("path", F.lit(tail))).select(F.expr(f"left(path, length(path) - {len(tail)})").alias("dir"), "content", F.sha2("content", 256).alias("content_hash"))

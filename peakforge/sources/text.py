@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def stem(path: Column) -> Column:
     """File name without its last ending."""
-    return F.regexp_replace(F.substring_index(F.url_decode(path), "/", -1), r"\.[^.]*$", "")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
 def parse_points(text: Column) -> Column:
@@ -31,7 +31,8 @@ def read_spectra(spark: SparkSession, path: str, glob: str = "*.txt", recursive:
     Files are read whole, so a spectrum must fit into a row; for millions of them merge the files first.
     """
     raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
-    p = raw.select(F.col("_metadata.file_path").alias("path"), parse_points(F.col("value")).alias("p"))
+    path_ = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    p = raw.select(path_.alias("path"), parse_points(F.col("value")).alias("p"))
     return p.select(stem(F.col("path")).alias("spectrum_id"), "path", F.transform("p", lambda v: v["mz"]).alias("mz"), F.transform("p", lambda v: v["intensity"]).alias("intensity"))
 
 
