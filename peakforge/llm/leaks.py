@@ -104,3 +104,27 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms:
 
     runs = both.select("doc_id", "item_no", F.aggregate(met, start, lengthen, lambda s: s["best"]).alias("n_words"))
     return runs.where(F.col("n_words") >= span).groupBy("doc_id", "item_no").agg(F.max("n_words").cast("bigint").alias("n_words"))
+
+
+def near_matches(documents: DataFrame, items: DataFrame, share: float = 0.8, slack: int = 6, least: int = SPAN, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(doc_id, item_no, n_terms, n_wanted): passages of which a document holds most of the rarer words, about as far apart as in the passage.
+
+    The rarer half of a passage's places is wanted (at least two); a document is near if at least ``share`` of them are found with
+    shifts that differ by less than ``slack`` words. That finds passages with words changed, left out or put in, which exact
+    runs miss. Passages of fewer than ``least`` words are left out. The best place of each document counts.
+    """
+    places = passage_terms(items, least)
+    terms = write_shared(places.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).cast("bigint").alias("term")), "terms")
+    places = write_shared(places.join(terms, "word").select("item_no", "at", "term"), "passages")
+    index = write_shared(positional_index(documents, terms, most_terms), "postings")
+    known = places.join(index.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("item_no").orderBy("n", "term", "at"))
+    half = F.greatest(F.ceil(F.count(F.lit(1)).over(Window.partitionBy("item_no")) / 2), F.lit(2))
+    wanted = known.withColumn("k", rank).withColumn("n_wanted", half.cast("bigint")).where(F.col("k") <= F.col("n_wanted"))
+    wanted = write_shared(wanted.select("item_no", "term", "at", "n_wanted"), "wanted")
+    hits = index.join(fitting(wanted), "term").select("doc_id", "item_no", "n_wanted", "at", (F.col("pos") - F.col("at")).alias("shift"))
+    # Windows of twice the slack that overlap by half hold any two shifts closer than it.
+    cells = hits.withColumn("cell", F.explode(F.array(F.floor(F.col("shift") / slack), F.floor(F.col("shift") / slack) - 1)))
+    found = cells.groupBy("doc_id", "item_no", "n_wanted", "cell").agg(F.size(F.collect_set("at")).cast("bigint").alias("n_terms"))
+    found = found.where(F.col("n_terms") >= F.col("n_wanted") * F.lit(share))
+    return found.groupBy("doc_id", "item_no", "n_wanted").agg(F.max("n_terms").alias("n_terms")).select("doc_id", "item_no", "n_terms", "n_wanted")

@@ -96,6 +96,12 @@ def p7_items(spark, d):
     return _leaks(spark, d).groupBy("item_no").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest_run"))
 
 
+@R.add("p7_near")
+def p7_near(spark, d):
+    """Proximity matches: most of a passage's rarer words about as far apart as there."""
+    return leaks.near_matches(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item"))
+
+
 # 8: mixing sources to target weights
 
 

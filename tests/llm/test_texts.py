@@ -61,6 +61,40 @@ def test_leaks_equal_brute_force(spark, most_terms):
     assert leaks.leaks(d.limit(0), e, 5).count() == 0 and leaks.leaks(d, e.limit(0), 5).count() == 0
 
 
+def test_near_matches_equal_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(n, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(8, 12)))) for n in range(8)] + [(9, "too short"), (10, None)]
+    docs = [(i, " ".join(rnd.choice(vocabulary) for _ in range(40))) for i in range(20)] + [(98, None), (99, "")]
+    for i in range(100, 130):
+        p = rnd.choice(items[:8])[1].split()
+        p[rnd.randrange(len(p))] = "changed"
+        p.insert(rnd.randrange(len(p)), "put in")
+        docs.append((i, "before it " + " ".join(p) + " behind it"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_no int, passage string")
+    kept = [(n, plain_words(p)) for n, p in items if len(plain_words(p)) >= 8]
+    numbers = {w: i for i, w in enumerate(sorted({w for _, p in kept for w in p}))}
+    n = {w: sum(plain_words(t).count(w) for _, t in docs) for w in numbers}
+    want = {}
+    for item, p in kept:
+        half = max(2, math.ceil(len(p) / 2))
+        chosen = sorted(range(len(p)), key=lambda j: (n[p[j]], numbers[p[j]], j))[:half]
+        for i, t in docs:
+            w, cells = plain_words(t), {}
+            for j in chosen:
+                for at, x in enumerate(w):
+                    if x == p[j]:
+                        for c in ((at - j) // 4, (at - j) // 4 - 1):
+                            cells.setdefault(c, set()).add(j)
+            best = max((len(c) for c in cells.values()), default=0)
+            if best >= 0.8 * half:
+                want[i, item] = best
+    got = {(r["doc_id"], r["item_no"]): r["n_terms"] for r in leaks.near_matches(d, e, slack=4, least=8).collect()}
+    assert got == want and len(got) >= 25
+    assert leaks.near_matches(d.limit(0), e, least=8).count() == 0
+
+
 def test_token_counts_are_exact():
     c = mixing.TokenCounter(mixing.tokenizer_path())
     rnd = random.Random(1)
