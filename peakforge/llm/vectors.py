@@ -28,7 +28,7 @@ SPREAD, REACH = 1.04, 1.045
 #: Lists a vector is posted to and a query reads, at most.
 MOST_POSTS = 16
 #: Pivots a search starts from.
-BEAM = 6
+BEAM = 8
 
 
 def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -74,7 +74,7 @@ class Lists:
         share = np.bincount(own, minlength=len(c)) * (rows / max(1, len(sample)))
         p = min(len(c), int(2 * np.sqrt(len(c))) + 1)
         pivots = rng.permutation(len(c))[:p]
-        m = min(len(c), max(64, 10 * len(c) // p))
+        m = min(len(c), max(64, 16 * len(c) // p))
         near = c[pivots] @ c.T
         links = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(len(c)), (p, 1))
         return cls(c, pivots, links, np.maximum(1, np.ceil(share / block)).astype(int))
