@@ -23,7 +23,8 @@ LETTERS = "ols"
 SPECIES_REMARKS = ["sp", "spp", "species", "cf", "aff", "nr", "subsp", "ssp", "var", "prob", "probable", "probably", "strain", "group", "complex"]
 DRUG_REMARKS = ["iv", "im", "sc", "po", "oral", "orally", "high", "low", "dose", "and", "plus", "with", "only", "topical", "inhaled"]
 
-#: Edits allowed in genus plus epithet or a combination, in an epithet behind an abbreviated genus, in a single drug.
+#: Edits allowed in genus plus epithet or a combination; in an epithet behind an abbreviated genus or a single drug as many only if
+#: all letters are the same (two swaps), else PART_EDITS.
 FULL_EDITS, PART_EDITS = 4, 3
 #: An abbreviated genus has at most so many letters; shorter words than LEAST can't be names.
 ABBREVIATED, LEAST = 4, 5
@@ -111,22 +112,22 @@ def pigeonhole_join(values: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def species_reference(species_ref: DataFrame) -> DataFrame:
-    """(ref_no, ref_form, ref_head, kind, k) for names and former names; nulls name nothing."""
+    """(ref_no, ref_form, ref_head, kind, k, plain) for names and former names; nulls name nothing."""
     names = species_ref.select(F.col("species_no").cast("bigint").alias("ref_no"), F.explode(F.array("species", "former_name")).alias("name")).where("name is not null")
     t = _tokens(F.col("name"), [])
     names = names.select("ref_no", F.get(t, F.lit(0)).alias("head"), F.array_join(F.slice(t, 2, 99), "").alias("tail"))
-    full = names.select("ref_no", F.concat("head", "tail").alias("ref_form"), "head", F.lit("full").alias("kind"), F.lit(FULL_EDITS).alias("k"))
-    part = names.where("tail <> ''").select("ref_no", F.col("tail").alias("ref_form"), "head", F.lit("part").alias("kind"), F.lit(PART_EDITS).alias("k"))
+    full = names.select("ref_no", F.concat("head", "tail").alias("ref_form"), "head", F.lit("full").alias("kind"), F.lit(FULL_EDITS).alias("k"), F.lit(FULL_EDITS).alias("plain"))
+    part = names.where("tail <> ''").select("ref_no", F.col("tail").alias("ref_form"), "head", F.lit("part").alias("kind"), F.lit(FULL_EDITS).alias("k"), F.lit(PART_EDITS).alias("plain"))
     return full.union(part).withColumnRenamed("head", "ref_head")
 
 
 def drug_reference(drug_ref: DataFrame) -> DataFrame:
-    """(ref_no, ref_form, ref_head, kind, k): names by their letters; codes allow no edit."""
+    """(ref_no, ref_form, ref_head, kind, k, plain): names by their letters; codes allow no edit."""
     both = drug_ref.select(F.col("drug_no").cast("bigint").alias("ref_no"), "drug", "drug_code")
     names = both.where("drug is not null").select("ref_no", F.array_join(_tokens(F.col("drug"), []), "").alias("ref_form"))
-    names = names.withColumn("k", F.when(F.length("ref_form") >= 14, F.lit(FULL_EDITS)).otherwise(F.lit(PART_EDITS)))
-    codes = both.where("drug_code is not null").select("ref_no", F.array_join(_tokens(F.col("drug_code"), []), "").alias("ref_form"), F.lit(0).alias("k"))
-    return names.union(codes).select("ref_no", "ref_form", F.lit("").alias("ref_head"), F.lit("full").alias("kind"), "k")
+    names = names.withColumn("k", F.lit(FULL_EDITS)).withColumn("plain", F.when(F.length("ref_form") >= 14, F.lit(FULL_EDITS)).otherwise(F.lit(PART_EDITS)))
+    codes = both.where("drug_code is not null").select("ref_no", F.array_join(_tokens(F.col("drug_code"), []), "").alias("ref_form"), F.lit(0).alias("k"), F.lit(0).alias("plain"))
+    return names.union(codes).select("ref_no", "ref_form", F.lit("").alias("ref_head"), F.lit("full").alias("kind"), "k", "plain")
 
 
 def map_values(values: DataFrame, reference: DataFrame, forms) -> DataFrame:
@@ -140,7 +141,9 @@ def map_values(values: DataFrame, reference: DataFrame, forms) -> DataFrame:
     reference = write_shared(reference, "reference")
     read = write_shared(values.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", "f.head", "f.kind").distinct(), "readings")
     near = pigeonhole_join(read, reference)
-    hit = read.join(near, ["form", "kind"]).join(reference.select("ref_no", "ref_form", "ref_head", "kind"), ["ref_form", "kind"])
+    hit = read.join(near, ["form", "kind"]).join(reference.select("ref_no", "ref_form", "ref_head", "kind", "plain"), ["ref_form", "kind"])
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    hit = hit.where((F.col("edits") <= F.col("plain")) | (letters("form") == letters("ref_form")))
     hit = hit.where((F.col("kind") == "full") | F.startswith("ref_head", "head"))
     rank = F.min(F.struct(F.when(F.col("kind") == "full", 0).otherwise(1).alias("kind"), "edits"))
     hit = write_shared(hit.groupBy("value", "ref_no").agg(rank.alias("rank")), "hits")
