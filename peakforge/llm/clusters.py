@@ -25,7 +25,7 @@ LIST_ROWS, BLOCK = 300, 1500
 #: A pass over lists is repeated while it removes at least this share of the clusters.
 WORTH = 0.05
 #: Distance ratio up to which a cluster is posted to further lists, and lists at most.
-SPREAD, MOST_POSTS = 1.05, 16
+SPREAD, MOST_POSTS = 1.06, 16
 MOST_ROUNDS = 40
 
 _CLUSTER = "id bigint, n bigint, s binary"
