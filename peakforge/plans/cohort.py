@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from peakforge.operators import differential, drift, evaluation, filters, replicates, similarity, susceptibility
 from peakforge.plans.registry import Registry
-from peakforge.plans.views import BINS, MIC, RESISTANT_ABOVE, START, WIDTH, labels, matrix, peaks, points, records, rounded, spectra, sql
+from peakforge.plans.views import MIC, RESISTANT_ABOVE, START, WIDTH, labels, matrix, peaks, records, rounded, spectra, sql
 from peakforge.sources.tables import table
 
 R = Registry()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peakforge.functions.arrays import median, total
 from peakforge.operators import alignment, binning, peaks, pipeline, quality, transforms
 from peakforge.plans.registry import Registry
-from peakforge.plans.views import BINS, START, WIDTH, matrix, points, rounded, spectra, sql
+from peakforge.plans.views import START, WIDTH, matrix, points, rounded, spectra, sql
 from peakforge.plans.views import peaks as peak_arrays
 
 R = Registry()
