@@ -1,17 +1,22 @@
 """Train, validation and test splits that keep related records together.
 
 Related rows are stars around the smallest row of their isolate and of their patient; their components are placed as a
-whole. Placement is grouped iterative stratification: components are dealt with by their rarest label, rarest first,
-and each such stratum is shared out over the splits in proportion to what each still needs of that label.
+whole. Placement is grouped iterative stratification: again and again the label with the fewest rows outstanding is
+taken, and its components, large ones first, go one by one to the split that needs most of it.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakforge.functions.numbers import running_total
 from peakforge.llm.components import components
+from peakforge.session import write_shared
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
@@ -67,52 +72,99 @@ def pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "component").where("first_no < second_no").select("first_no", "second_no")
 
 
-def _fractions(matrix: dict, shares) -> list[tuple]:
-    """(label, from, to, split) intervals of each stratum, in order of rarity.
+def _order(sets: list[tuple]) -> dict:
+    """Rank of each label: again and again the label with the fewest rows among the components not yet dealt.
 
-    matrix[stratum][label] is the number of rows of a label within the components of a stratum.
+    ``sets`` has (labels, {label: rows}) of all components with these labels, once per set.
+    """
+    left: dict = {}
+    holds: dict = {}
+    for i, (_, rows) in enumerate(sets):
+        for label, n in rows.items():
+            left[label] = left.get(label, 0) + n
+            holds.setdefault(label, []).append(i)
+    rank: dict = {}
+    dealt: set = set()
+    while len(rank) < len(left):
+        label = min((x for x in left if x not in rank), key=lambda x: (left[x], x))
+        rank[label] = len(rank)
+        for i in holds[label]:
+            if i not in dealt:
+                dealt.add(i)
+                for other, n in sets[i][1].items():
+                    left[other] -= n
+    return rank
+
+
+def _deal(need: dict, label: int, vector: dict, m: int, shares) -> list[int]:
+    """How many of ``m`` components of the same ``vector`` (rows by label) each split gets; lowers ``need`` by them.
+
+    Each goes to the split that needs most of ``label``, equal needs to the one that needs most rows at all. What all
+    splits are sure to get on the way to equal needs is dealt at once, the few others one by one; the result is the same.
     """
-    totals: dict = {}
-    for row in matrix.values():
-        for label, n in row.items():
-            totals[label] = totals.get(label, 0) + n
-    need = {label: {s: n * f for s, f in shares} for label, n in totals.items()}
-    out = []
-    for stratum in sorted(matrix, key=lambda x: (totals[x], x)):
-        left = {s: max(0.0, need[stratum][s]) for s, _ in shares}
-        if not sum(left.values()):
-            left = dict(shares)
-        whole, at = sum(left.values()), 0.0
-        for i, (s, _) in enumerate(shares):
-            part = left[s] / whole
-            to = 1.0 if i == len(shares) - 1 else at + part
-            out.append((stratum, at, to, s))
-            at = to
-            for label, n in matrix[stratum].items():
-                need[label][s] -= n * part
+    own, size = need[label], need[None]
+    c, every = vector[label], sum(vector.values())
+    out = [0] * len(shares)
+
+    def give(i, n):
+        out[i] += n
+        for x, k in vector.items():
+            need[x][i] -= n * k
+        size[i] -= n * every
+
+    high = sorted(own, reverse=True)
+    level = max((sum(high[:k]) - m * c) / k for k in range(1, len(high) + 1))
+    for i, n in enumerate([max(0, math.floor((x - level) / c - 1e-6)) for x in own]):
+        give(i, n)
+    for _ in range(m - sum(out)):
+        give(max(range(len(shares)), key=lambda i: (round(own[i], 6), round(size[i], 6), -i)), 1)
     return out
 
 
 def assign(spark: SparkSession, members: DataFrame, labels: DataFrame, shares=SHARES) -> DataFrame:
     """(row_no, component, split) for all members.
 
-    ``labels`` is (row_no, label) with a bounded set of labels; rows without label count as label 0. Only the matrix of
-    row counts by stratum and label, at most the square of the number of labels, reaches the driver. Within a
-    stratum components stand in the order of a hash, and a component goes where its middle row falls. An empty table
-    gives an empty result.
+    ``labels`` is (row_no, label) with a bounded set of labels; rows without label count as label 0. Components with the
+    same rows of each label are one kind. The driver gets the row counts by set of labels; one task deals the kinds
+    in order and holds only what each split still needs of each label. Within a kind components stand in the order of a
+    hash. An empty table gives an empty result.
     """
     rows = members.join(labels, "row_no", "left").select("row_no", "component", F.coalesce("label", F.lit(0)).cast("bigint").alias("label"))
     vector = rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    totals = vector.groupBy("label").agg(F.sum("n").alias("total"))
-    ranked = vector.join(F.broadcast(totals), "label")
-    group = ranked.groupBy("component").agg(F.min_by("label", F.struct("total", "label")).alias("stratum"), F.sum("n").alias("size"))
-    matrix: dict = {}
-    for s, label, n in vector.join(group, "component").groupBy("stratum", "label").agg(F.sum("n").alias("n")).collect():
-        matrix.setdefault(s, {})[label] = n
-    cuts = spark.createDataFrame(_fractions(matrix, shares), "stratum bigint, lower double, upper double, split string")
-    sizes = spark.createDataFrame([(s, None) for s in matrix], "stratum bigint, nothing string").select("stratum")
-    whole = group.groupBy("stratum").agg(F.sum("size").alias("whole")).join(sizes, "stratum")
-    ordered = running_total(group.withColumn("h", F.xxhash64("component")), "size", F.shiftright("h", 52), ["h", "component"], ["stratum"])
-    spot = ordered.join(F.broadcast(whole), "stratum").withColumn("spot", (F.col("before") + F.col("size") / 2) / F.col("whole"))
-    placed = spot.join(F.broadcast(cuts), "stratum").where("spot >= lower and spot < upper").select("component", "split")
+    group = vector.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("v"))
+    group = write_shared(group.select("component", F.to_json("v").alias("kind"), "v"), "vectors")
+    kinds = write_shared(group.groupBy("kind").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m")), "kinds")
+    sets: dict = {}
+    each = kinds.select(F.transform("v", lambda x: x["label"]).alias("labels"), "m", F.explode("v").alias("x"))
+    for key, label, n in each.groupBy("labels", "x.label").agg(F.sum(F.col("x.n") * F.col("m")).alias("n")).collect():
+        sets.setdefault(tuple(key), {})[label] = n
+    rank = _order(sorted(sets.items()))
+    total: dict = {None: 0}
+    for part in sets.values():
+        for label, n in part.items():
+            total[label] = total.get(label, 0) + n
+            total[None] += n
+    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "label bigint, rank int"))
+    first = kinds.select("kind", "m", "v", F.explode("v").alias("x")).select("kind", "m", "v", "x.label", "x.n").join(ranks, "label")
+    first = first.groupBy("kind").agg(F.min_by(F.struct("rank", "label", "n", "m", "v"), "rank").alias("f")).select("kind", "f.*")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = {label: [n * f for _, f in shares] for label, n in total.items()}
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                at = 0
+                for (split, _), n in zip(shares, _deal(need, r["label"], {x["label"]: x["n"] for x in r["v"]}, r["m"], shares)):
+                    if n:
+                        out.append((r["kind"], at, at + n, split))
+                        at += n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["kind", "lower", "upper", "split"])
+
+    size = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    ordered = first.repartition(1).sortWithinPartitions("rank", F.desc("n"), F.desc(size), "kind")
+    cuts = write_shared(ordered.select("kind", "label", "m", "v").mapInArrow(deal, "kind string, lower bigint, upper bigint, split string"), "cuts")
+    numbered = group.select("component", "kind", F.lit(1).alias("one"), F.xxhash64("component").alias("h"))
+    numbered = running_total(numbered, "one", F.shiftright("h", 52), ["h", "component"], ["kind"])
+    placed = numbered.join(cuts, "kind").where("before >= lower and before < upper").select("component", "split")
     return members.join(placed, "component").select("row_no", "component", "split")

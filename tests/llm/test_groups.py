@@ -60,3 +60,32 @@ def test_splits_keep_groups_and_shares(spark):
     rare = {r["split"]: r["count"] for r in small.join(labels, "row_no").where("label = 3").groupBy("split").count().collect()}
     assert abs(rare["train"] / sum(rare.values()) - 0.8) < 0.06
     assert splits.assign(spark, members.limit(0), labels).count() == 0
+
+
+def test_splits_even_out_what_was_placed(spark):
+    # Five components of a rare label: by need 50 rows and 30 rows go to train, 10 to validation, 5 and 5 to test.
+    sizes = {1: 50, 2: 30, 3: 10, 4: 5, 5: 5}
+    rows = [(c, 7) for c, n in sizes.items() for _ in range(n)]
+    # The large component of label 8 brings 100 rows of label 9 to train, so fewer of the 200 loose ones may go there.
+    rows += [(10, 8)] + [(10, 9)] * 100 + [(1000 + i, 9) for i in range(200)]
+    members = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], "row_no bigint, component bigint")
+    labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "row_no bigint, label bigint")
+    n = {(r["label"], r["split"]): r["count"] for r in splits.assign(spark, members, labels).join(labels, "row_no").groupBy("label", "split").count().collect()}
+    assert n == {(7, "train"): 80, (7, "validation"): 10, (7, "test"): 10, (8, "train"): 1, (9, "train"): 240, (9, "validation"): 30, (9, "test"): 30}
+
+
+def test_dealing_at_once_equals_one_by_one():
+    rnd = random.Random(3)
+    for _ in range(200):
+        vector = {1: rnd.randrange(1, 4), 2: rnd.randrange(1, 6)}
+        a = {x: [rnd.uniform(-20, 90) for _ in splits.SHARES] for x in (1, 2, None)}
+        b = {x: list(v) for x, v in a.items()}
+        m = rnd.randrange(1, 60)
+        one = [sum(x) for x in zip(*(splits._deal(b, 1, vector, 1, splits.SHARES) for _ in range(m)))]
+        assert splits._deal(a, 1, vector, m, splits.SHARES) == one
+
+
+def test_order_counts_outstanding_rows():
+    # Once label 1 is dealt, only two rows of label 3 are outstanding, so it comes before label 2.
+    sets = [((1, 3), {1: 4, 3: 50}), ((2,), {2: 30}), ((3,), {3: 2})]
+    assert splits._order(sets) == {1: 0, 3: 1, 2: 2}
