@@ -61,6 +61,24 @@ def test_neighbours_in_one_list_are_exact(spark):
     assert vectors.neighbours(df.limit(0), "spectrum_no", "x").count() == 0
 
 
+def test_packed_vectors_lose_nothing():
+    x = planted(300, 61, 40, 3)[1].astype(np.float32)
+    x[5] = 0
+    x[6, :3] = [-1.5, 3.4e38, 1e-42]
+    assert (vectors.unpack(vectors.pack(x), 61) == x).all()
+    assert vectors.unpack([], 61).shape == (0, 61)
+
+
+def test_all_lists_within_reach_are_read(spark):
+    # Noise without groups: nearly all of the 50 lists are about as near, and no number of lists may cut the search.
+    x = np.random.default_rng(8).normal(size=(1000, 80))
+    want = {k: v for k, v in brute(x, least=0.2).items() if v}
+    found = {}
+    for r in vectors.neighbours(frame(spark, x), "spectrum_no", "x", least=0.2, spread=9.0, reach=9.0, list_rows=20).collect():
+        found.setdefault(r["query_no"], set()).add(r["other_no"])
+    assert found == {k: set(v) for k, v in want.items()}
+
+
 def test_graph_search_finds_the_nearest_list():
     x = vectors.unit(planted(3000, 60, 800, 4, 0)[1])
     lists = vectors.Lists.fit(x, 30_000, 40)
