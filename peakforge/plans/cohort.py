@@ -464,10 +464,10 @@ def dtw_distance(spark, d):
 
 def _grouped(method, **options):
     def run(spark, d):
-        e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-        # The labels' mean vectors are a cohort of ten, the vectors of whole tables are clustered on posting lists.
-        c = e.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("x"))
-        c = c.select(F.col("label").cast("bigint").alias("id"), "x")
+        c = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("x"))
+        # Refused before any pair is formed; the vectors of larger tables are clustered on posting lists.
+        if c.limit(similarity.MOST_LOCAL + 1).count() > similarity.MOST_LOCAL:
+            raise ValueError(f"more than {similarity.MOST_LOCAL} members")
         return similarity.clustered(similarity.query_distances(c, c, "id", "x"), method, **options)
 
     return run

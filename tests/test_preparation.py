@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from peakforge.functions.numbers import running_total
@@ -138,3 +139,12 @@ def test_running_total_matches_plain_window(spark):
     for r in rows:
         assert got[r["id"]] == total.get(r["g"], 0)
         total[r["g"]] = total.get(r["g"], 0) + r["v"]
+
+
+@pytest.mark.parametrize("name", ["hierarchical", "kmedoids", "hdbscan"])
+def test_clustering_labels_every_vector(spark, data, name):
+    import __spark_entry__ as entry
+
+    ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("embedding is not null").select("vec_id").collect()}
+    got = entry.queries()[name](spark, data).collect()
+    assert len(got) == len(ids) and {r["i"] for r in got} == ids
