@@ -39,16 +39,22 @@ def with_fold_change(moments: DataFrame, by: list[str] = ()) -> DataFrame:
     return joined.withColumn("fold_change", F.log2((F.col("mean_r") + e) / (F.col("mean_s") + e))).drop("_m")
 
 
-def rank_sums(matrix: DataFrame) -> DataFrame:
-    """(bin_index, n_r, n_s, u, ties): Mann-Whitney U of class 1 with average ranks, and the sum of t^3 - t over ties.
+def rank_sums(matrix: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., bin_index, n_r, n_s, u, ties): Mann-Whitney U of class 1 with average ranks, and the sum of t^3 - t over ties.
 
     Equal values of a bin are counted first; ranks are running totals over distinct values, so a bin full of zeros is one row.
     """
-    per = matrix.where("y in (0, 1)").groupBy("bin_index", "intensity").agg(F.count_if(F.col("y") == 1).alias("r"), F.count(F.lit(1)).alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("bin_index").orderBy("intensity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = matrix.where("y in (0, 1)").groupBy(*by, "bin_index", "intensity").agg(F.count_if(F.col("y") == 1).alias("r"), F.count(F.lit(1)).alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by, "bin_index").orderBy("intensity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = per.withColumn("rank", before + (F.col("t") + 1) / 2)
-    g = ranked.groupBy("bin_index").agg(F.sum("r").alias("n_r"), (F.sum("t") - F.sum("r")).alias("n_s"), F.sum(F.col("rank") * F.col("r")).alias("w"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    return g.select("bin_index", "n_r", "n_s", (F.col("w") - F.col("n_r") * (F.col("n_r") + 1) / 2).alias("u"), F.col("ties").cast("double").alias("ties"))
+    g = ranked.groupBy(*by, "bin_index").agg(F.sum("r").alias("n_r"), (F.sum("t") - F.sum("r")).alias("n_s"), F.sum(F.col("rank") * F.col("r")).alias("w"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    return g.select(*by, "bin_index", "n_r", "n_s", (F.col("w") - F.col("n_r") * (F.col("n_r") + 1) / 2).alias("u"), F.col("ties").cast("double").alias("ties"))
+
+
+def rank_sum_p() -> Column:
+    """p of a row of ``rank_sums``; 1 where all values are equal."""
+    n = F.col("n_r") + F.col("n_s")
+    return stats.mann_whitney(F.when(F.col("ties") < n**3 - n, F.col("u")), F.col("n_r"), F.col("n_s"), F.col("ties"))
 
 
 def welch(moments: DataFrame) -> DataFrame:
@@ -60,12 +66,12 @@ def welch(moments: DataFrame) -> DataFrame:
     return moments.withColumn("t", F.when(ok, t)).withColumn("df", F.when(ok, df))
 
 
-def corrected(p_values: DataFrame, p: str = "p_value", method: str = "fdr_bh", order: str = "bin_index", out: str = "adjusted_p_value") -> DataFrame:
-    """Adds the adjusted p over all rows with a p; the others get 1. One row per bin, so one task is enough."""
+def corrected(p_values: DataFrame, p: str = "p_value", method: str = "fdr_bh", order: str = "bin_index", out: str = "adjusted_p_value", by: list[str] = ()) -> DataFrame:
+    """Adds the adjusted p over all rows of a group with a p; the others get 1. One row per bin, so one task per group is enough."""
     known = F.when(F.isnan(p), None).otherwise(F.col(p))
-    all_ = Window.partitionBy()
+    all_ = Window.partitionBy(*by)
     m = F.count(known).over(all_)
-    w = Window.orderBy(F.col("_p").asc_nulls_last(), order)
+    w = all_.orderBy(F.col("_p").asc_nulls_last(), order)
     d = p_values.withColumn("_p", known).withColumn("_m", m).withColumn("_k", F.row_number().over(w))
     if method == "bonferroni":
         adj = F.least(F.lit(1.0), F.col("_p") * F.col("_m"))
@@ -74,7 +80,7 @@ def corrected(p_values: DataFrame, p: str = "p_value", method: str = "fdr_bh", o
         if method == "fdr_by":
             harmonic = F.sum(F.when(F.col("_k") <= F.col("_m"), 1 / F.col("_k"))).over(all_)
             d = d.withColumn("_q", F.col("_q") * harmonic)
-        adj = F.least(F.lit(1.0), F.min("_q").over(Window.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))
+        adj = F.least(F.lit(1.0), F.min("_q").over(all_.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))
     else:
         raise ValueError(f"unknown correction {method}")
     d = d.withColumn(out, F.when(F.col("_p").isNull(), F.lit(1.0)).otherwise(adj))
@@ -92,10 +98,7 @@ def analysis(matrix: DataFrame, test: str = "mann_whitney", correction: str = "f
         matrix = matrix.join(peak_bins.select("bin_index").distinct(), "bin_index", "left_semi")
     m = with_fold_change(class_moments(matrix)).withColumn("effect_size", effect_size())
     if test == "mann_whitney":
-        u = rank_sums(matrix)
-        flat = (F.col("ties") >= (F.col("n_r") + F.col("n_s")) ** 3 - (F.col("n_r") + F.col("n_s")))
-        p = u.select("bin_index", stats.mann_whitney(F.when(~flat, F.col("u")), F.col("n_r"), F.col("n_s"), F.col("ties")).alias("p_value"))
-        m = m.join(p, "bin_index")
+        m = m.join(rank_sums(matrix).select("bin_index", rank_sum_p().alias("p_value")), "bin_index")
     elif test == "t_test":
         m = welch(m).withColumn("p_value", stats.student("t", "df"))
     else:

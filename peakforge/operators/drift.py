@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.operators.differential import class_moments, effect_size
+from peakforge.operators.differential import analysis, class_moments, corrected, effect_size, rank_sum_p, rank_sums, top
 
 DAY = 86_400
 
@@ -69,6 +69,21 @@ def peak_stability(matrix: DataFrame, baseline_top: list[int], cut, days: int =
     return top.select("window_start", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("bins", base)) / union).alias("stability_score"), "n_spectra")
 
 
+def tested_stability(matrix: DataFrame, cut, days: int = 30, n_top: int = 20, min_samples: int = 5, ts: str = "ts") -> DataFrame:
+    """(window_start, stability_score, n_spectra): Jaccard index of each window's top bins with the baseline's; both empty is 1.
+
+    Top are the bins of smallest adjusted p of the rank-sum test, within the baseline and within each window; ties in order of bins.
+    """
+    base = [r["bin_index"] for r in top(analysis(matrix.where(F.col(ts) <= F.lit(cut))), n_top).select("bin_index").collect()]
+    u = rank_sums(windowed(matrix, cut, days, ts), ["window_start"]).where((F.col("n_r") >= min_samples) & (F.col("n_s") >= min_samples))
+    p = corrected(u.withColumn("p_value", rank_sum_p()), by=["window_start"])
+    k = F.row_number().over(Window.partitionBy("window_start").orderBy("adjusted_p_value", "bin_index"))
+    g = p.withColumn("k", k).where(F.col("k") <= n_top).groupBy("window_start").agg(F.collect_list("bin_index").alias("bins"), F.max(F.col("n_r") + F.col("n_s")).alias("n_spectra"))
+    first = F.array(*[F.lit(int(b)) for b in base]).cast("array<int>")
+    union = F.size(F.array_union("bins", first))
+    return g.select("window_start", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("bins", first)) / union).alias("stability_score"), "n_spectra")
+
+
 def principal_axes(matrix: DataFrame, k: int = 2, key: str = "spectrum_no"):
     """(means, scales, loadings) of standardised bins from the covariance aggregated by Spark; the largest loading of an axis is positive.
 

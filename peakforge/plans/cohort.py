@@ -543,6 +543,12 @@ def drift_peak_stability(spark, d):
     return rounded(drift.peak_stability(m, _TOP, cut, 90))
 
 
+@R.add("drift_tested_stability")
+def drift_tested_stability(spark, d):
+    m, cut = _drift(spark, d, True)
+    return rounded(drift.tested_stability(m, cut, 90))
+
+
 @R.add("drift_pca")
 def drift_pca(spark, d):
     m, cut = _drift(spark, d)

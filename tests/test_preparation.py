@@ -148,3 +148,22 @@ def test_clustering_labels_every_vector(spark, data, name):
     ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("embedding is not null").select("vec_id").collect()}
     got = entry.queries()[name](spark, data).collect()
     assert len(got) == len(ids) and {r["i"] for r in got} == ids
+
+
+def test_stability_takes_the_baseline_from_the_test(spark):
+    import datetime as dt
+
+    from peakforge.operators import drift
+
+    # Bins 3 and 5 tell the classes apart in the baseline, 3 and 6 in the window.
+    rows = []
+    for late in (0, 1):
+        for i in range(24):
+            y = i % 2
+            for b in range(8):
+                told = b in ((3, 6) if late else (3, 5))
+                v = float((i * 7 + b * 5) % 24 // 2 + (100 if told and y else 0))
+                rows.append((late * 100 + i, dt.datetime(2024, 1 + 2 * late, 1 + i % 5), y, b, v))
+    m = spark.createDataFrame(rows, "spectrum_no bigint, ts timestamp_ntz, y int, bin_index int, intensity double")
+    got = drift.tested_stability(m, dt.datetime(2024, 2, 1), 30, n_top=2).collect()
+    assert [(round(r["stability_score"], 9), r["n_spectra"]) for r in got] == [(round(1 / 3, 9), 24)]
