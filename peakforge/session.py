@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ def get_spark(app: str = "peakforge", cores: str | int = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("PEAKFORGE_SHARED_DIR") or "file://" + tempfile.mkdtemp(prefix="peakforge-"))
         .config("spark.driver.memory", os.environ.get("PEAKFORGE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -28,15 +30,11 @@ def get_spark(app: str = "peakforge", cores: str | int = "*", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a private one is set only where none is configured."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    known = spark.conf.get("peakforge.shared.dir", None)
-    if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="peakforge-")
-        spark.conf.set("peakforge.shared.dir", known)
-    return known
+    """The folder all executors share: spark.checkpoint.dir. An error where none is configured; a machine's own folder would lose rows on a cluster."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        raise RuntimeError("spark.checkpoint.dir names no shared folder; intermediate tables need one")
+    return conf
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +46,18 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shared(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`write_shared` once nothing reads it any more."""
+    """Delete a table made by :func:`write_shared`, folder included, once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the session drop shuffle files nothing refers to any more, so that the rounds of an iteration don't pile up on the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fitting(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
