@@ -1,11 +1,13 @@
 """Clusters of mutually similar vectors by reciprocal-nearest-neighbour average linkage.
 
-A cluster is kept as its size and the sum of its unit vectors, which gives the average similarity of two clusters exactly.
-Clusters that may be near lie in one posting list (see ``vectors``), which makes the graph sparse. While that shrinks
-the clusters notably, every list merges all its mutual best pairs, round by round, down to the threshold; blocks of a
-list are bounded, so a group of any size shrinks by the block size per pass. Then clusters near a border between lists are
-posted to several lists, the best partner of each is found over all of them, and all mutual best pairs merge at once,
-until no pair reaches the threshold.
+A cluster is kept as its size and the mean of its unit vectors, which gives the average similarity of two clusters exactly.
+Clusters that may be near lie in one posting list (see ``vectors``), which makes the graph sparse: a cluster is posted to
+every list within ``spread`` of its nearest one, and its best partner is the best one over all of them. All mutual best pairs
+merge in each round. A cluster posted to one list alone has all its partners there; so have the clusters it merges into, since the
+average similarity to a merged pair is never above the better one of the two. Such clusters therefore merge on within their
+list for as long as they are each other's best, clusters posted elsewhere too being compared but left as they are.
+A cluster without a partner rests; when no pair is left, all clusters are searched again on fresh lists, and the end is a
+search over all clusters that finds no pair. No pair merges that is best in a part of the data only.
 """
 
 from __future__ import annotations
@@ -17,36 +19,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.llm.vectors import Lists, sample_rows, to_matrix, unit, usable
-from peakforge.session import drop_shared, write_shared
+from peakforge.llm.vectors import Lists, pack, sample_rows, set_aside, tasks_of, to_matrix, unit, unpack, usable
+from peakforge.session import drop_shared, fitting, release, write_shared
 
 LEAST = 0.85
-LIST_ROWS, BLOCK = 300, 1500
-#: A pass over lists is repeated while it removes at least this share of the clusters.
-WORTH = 0.05
-#: Distance ratio up to which a cluster is posted to further lists, and lists at most.
-SPREAD, MOST_POSTS = 1.06, 16
-MOST_ROUNDS = 40
+LIST_ROWS, BLOCK = 400, 2_000
+#: Distance ratio up to which a cluster is posted to further lists.
+SPREAD = 1.06
 
-_CLUSTER = "id bigint, n bigint, s binary"
+_ROUND = "id bigint, root bigint, n bigint, x binary, other bigint, sim double"
 
 
-def merge_block(ids: np.ndarray, n: np.ndarray, s: np.ndarray, least: float) -> np.ndarray:
-    """Position of the cluster each row ends in: all mutual best pairs merge per round while they reach ``least``.
+def _lots(ids: np.ndarray) -> np.ndarray:
+    """A number for each id by which equal similarities are told apart."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(float) / 1024.0
 
-    Rows must be in ascending order of ``ids``; a merged pair lives on as its earlier row, equal similarities go to it too.
-    The average similarity to a merged pair is the weighted mean of the two, so the matrix is updated, not recomputed.
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers below 1e-10, one for each pair of ids, the same in any place: equally similar pairs are taken in a random order, else they would merge one by one."""
+    return 1e-10 * np.modf(np.outer(_lots(a), _lots(b)))[0]
+
+
+def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float, sole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(root, other, sim): position of the cluster each row ends in, and position and similarity of the best partner of each cluster left (-1: none).
+
+    Rows must be in ascending order of ``ids``; a merged pair lives on as its earlier row. All mutual best pairs of ``sole`` rows
+    (default: all) merge per round while they reach ``least``. The average similarity to a merged pair is the weighted
+    mean of the two, so the matrix is updated, not recomputed.
     """
-    root = np.arange(len(ids))
-    mean = s / n[:, None]
-    sim = mean @ mean.T
+    root, other, found = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
+    may = np.ones(len(ids), bool) if sole is None else sole.copy()
+    rough = mean.astype(np.float32)
+    sim = rough @ rough.T
     np.fill_diagonal(sim, -2.0)
-    live = np.nonzero(sim.max(axis=1) >= least)[0] if len(ids) > 1 else np.zeros(0, int)
-    sim, w = sim[np.ix_(live, live)], n[live].astype(float)
-    while len(live) > 1:
-        best = sim.argmax(axis=1)
+    # Single precision sets aside rows without any partner, nothing else.
+    live = np.nonzero(sim.max(axis=1) >= least - 1e-4)[0] if len(ids) > 1 else np.zeros(0, int)
+    if not len(live):
+        return root, other, found
+    sim = mean[live] @ mean[live].T + _apart(ids[live], ids[live])
+    np.fill_diagonal(sim, -2.0)
+    w = n[live].astype(float)
+    while True:
         at = np.arange(len(live))
-        a = at[(best[best] == at) & (at < best) & (sim[at, best] >= least)]
+        best = sim.argmax(axis=1)
+        near = sim[at, best] >= least
+        a = at[(best[best] == at) & (at < best) & near & may[live] & may[live[best]]]
         if not len(a):
             break
         b = best[a]
@@ -59,184 +76,178 @@ def merge_block(ids: np.ndarray, n: np.ndarray, s: np.ndarray, least: float) ->
         keep[b] = False
         sim, w, live = sim[np.ix_(keep, keep)], w[keep], live[keep]
         np.fill_diagonal(sim, -2.0)
+    other[live[near]], found[live[near]] = live[best[near]], sim[at, best][near]
     while (root[root] != root).any():
         root = root[root]
-    return root
-
+    return root, other, found
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(rows, dtype=np.float32)
-    step = 4 * data.shape[1] if data.ndim == 2 else 4
-    offsets = pa.py_buffer(np.arange(0, step * (len(data) + 1), step, dtype=np.int32).tobytes()) if len(data) else pa.py_buffer(np.zeros(1, np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, offsets, pa.py_buffer(data.tobytes())])
 
-
-def _posted(clusters: DataFrame, lists: Lists, dim: int, several: bool, seed: int) -> DataFrame:
-    """(list, block, id, n, s): each cluster in its nearest list, or in every list within SPREAD of it."""
-    shared = clusters.sparkSession.sparkContext.broadcast(vars(lists))
+def _round(clusters: DataFrame, dim: int, seed: int, list_rows: int, block: int, least: float, spread: float) -> DataFrame:
+    """One row (id, root) per merged cluster, one (id, n, x) per cluster left, one (id, other, sim) per list in which a cluster left has a partner."""
+    spark = clusters.sparkSession
+    sample, rows = sample_rows(clusters, "id", "x", dim)
+    lists = Lists.fit(sample, rows, list_rows if rows > 4 * list_rows else 4 * list_rows, block, seed, spread, spread)
+    shared = spark.sparkContext.broadcast(vars(lists))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Lists(**shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids = part.column("id").to_numpy()
-                s = to_matrix(part.column("s"), dim)
-                u = unit(s)
-                sims = index.search(u)
-                if several:
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
-                    keep = d <= d.min(axis=1, keepdims=True) * SPREAD + 1e-7
-                    if d.shape[1] > MOST_POSTS:
-                        keep &= d <= np.partition(d, MOST_POSTS - 1, axis=1)[:, MOST_POSTS - 1 : MOST_POSTS]
-                    r, c = np.nonzero(keep)
-                    block = np.zeros(len(r), np.int64)
-                else:
-                    r, c = np.arange(len(ids)), sims.argmax(axis=1)
-                    h = ((ids + seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    block = h.astype(np.int64) % index.blocks[c]
-                n = part.column("n").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(ids[r]), pa.array(n[r]), _binary(s[r])], ["list", "block", "id", "n", "s"]
-                )
-
-    return clusters.mapInArrow(post, f"list int, block int, {_CLUSTER}")
-
-
-def _sorted_block(table: pa.Table, dim: int):
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    n = table.column("n").to_numpy()[order].astype(np.int64)
-    s = to_matrix(table.column("s").combine_chunks(), dim)[order]
-    single = n == 1
-    s[single] = unit(s[single])
-    return ids[order], n, s
-
-
-def _local_pass(clusters: DataFrame, seed: int, list_rows: int, least: float) -> DataFrame:
-    """(id, root, n, s) of all clusters after merging inside each list; n and s only where id is root."""
-    sample, rows = sample_rows(clusters, "id", "s")
-    dim = sample.shape[1]
-    lists = Lists.fit(sample, rows, list_rows, BLOCK, seed)
-
-    def merge(table: pa.Table) -> pa.Table:
-        ids, n, s = _sorted_block(table, dim)
-        root = merge_block(ids, n, s, least)
-        total, weight = np.zeros_like(s), np.zeros_like(n)
-        np.add.at(total, root, s)
-        np.add.at(weight, root, n)
-        top = root == np.arange(len(root))
-        col = _binary(total.astype(np.float32))
-        return pa.table({"id": ids, "root": ids[root], "n": pa.array(weight, mask=~top), "s": pa.array(col.to_pylist(), pa.binary(), mask=~top)})
-
-    return _posted(clusters, lists, dim, False, seed).groupBy("list", "block").applyInArrow(merge, "id bigint, root bigint, n bigint, s binary")
-
-
-def _best_partners(clusters: DataFrame, seed: int, list_rows: int, least: float) -> DataFrame:
-    """(id, other): the best partner, over all lists, of each cluster that has one of at least ``least``."""
-    sample, rows = sample_rows(clusters, "id", "s")
-    dim = sample.shape[1]
-    lists = Lists.fit(sample, rows, list_rows, BLOCK, seed)
-
-    def best(table: pa.Table) -> pa.Table:
-        ids, n, s = _sorted_block(table, dim)
-        mean = s / n[:, None]
-        a, b, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for at in range(0, len(ids), 1000):
-            sim = mean[at : at + 1000] @ mean.T
-            rows_ = np.arange(len(sim))
-            sim[rows_, at + rows_] = -2.0
-            o = sim.argmax(axis=1)
-            hit = sim[rows_, o] >= least
-            a.append(ids[at : at + 1000][hit])
-            b.append(ids[o][hit])
-            v.append(sim[rows_, o][hit])
-        return pa.table({"id": np.concatenate(a), "other": np.concatenate(b), "sim": np.concatenate(v)})
-
-    found = _posted(clusters, lists, dim, True, seed).groupBy("list", "block").applyInArrow(best, "id bigint, other bigint, sim double")
-    return found.groupBy("id").agg(F.max_by("other", F.struct(F.round("sim", 9), -F.col("other"))).alias("other"))
-
-
-def _joined(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+                ids, n, x = part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("x")
+                m = to_matrix(x, dim)
+                if not pa.types.is_binary(x.type):
+                    m = unit(m)
+                near, _ = index.near(unit(m), spread, spread)
+                r, c, cell, posted, asks = index.cells(ids, near, near)
+                whole = (index.postings * index.queries)[c] == 1
+                sole = whole & (near.sum(axis=1) == 1)[r]
+                # One of a row's copies brings it into the next round.
+                home = np.zeros(len(r), bool)
+                home[np.unique(r, return_index=True)[1]] = True
+                cells = pack(m.astype(np.float32))
+                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), posted, asks, sole, home, ids[r], n[r])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "posted", "asks", "sole", "home", "id", "n", "x"])
+
+    def work(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        table = table.take(pa.array(np.argsort(ids, kind="stable")))
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        posted, asks, sole, home = (table.column(c).to_numpy() for c in ("posted", "asks", "sole", "home"))
+        cells = table.column("x").to_pylist()
+        mean = unpack(cells, dim).astype(np.float64)
+        mean[n == 1] = unit(mean[n == 1])
+        if posted.all() and asks.all():
+            root, other, sim = merge_block(ids, n, mean, least, sole)
+        else:
+            # A cell of a list that is cut into blocks: partners are looked up, nothing merges here.
+            root, other, sim = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
+            p, q = np.nonzero(posted)[0], np.nonzero(asks)[0]
+            for at in range(0, len(q) if len(p) else 0, 1000):
+                i = q[at : at + 1000]
+                s = mean[i] @ mean[p].T + _apart(ids[i], ids[p])
+                s[ids[i][:, None] == ids[p][None, :]] = -2.0
+                o = s.argmax(axis=1)
+                v = s[np.arange(len(i)), o]
+                other[i], sim[i] = np.where(v >= least, p[o], -1), v
+        top, total = root == np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        np.add.at(total, root, n)
+        grown = np.nonzero(top & (total > n))[0]
+        if len(grown):
+            order = np.argsort(root, kind="stable")
+            sums = np.add.reduceat(mean[order] * n[order][:, None], np.nonzero(np.diff(root[order], prepend=-1))[0])
+            heads = root[order][np.nonzero(np.diff(root[order], prepend=-1))[0]]
+            kept = np.searchsorted(heads, grown)
+            for i, c in zip(grown, pack((sums[kept] / total[grown][:, None]).astype(np.float32))):
+                cells[i] = c
+        gone, left, some = np.nonzero(~top)[0], np.nonzero(top & home)[0], np.nonzero(other >= 0)[0]
+        k, l_, m = len(gone), len(left), len(some)
+        none = lambda size, kind: pa.nulls(size, kind)
+        return pa.table({
+            "id": pa.array(np.concatenate([ids[gone], ids[left], ids[some]])),
+            "root": pa.concat_arrays([pa.array(ids[root[gone]]), none(l_ + m, pa.int64())]),
+            "n": pa.concat_arrays([none(k, pa.int64()), pa.array(total[left]), none(m, pa.int64())]),
+            "x": pa.concat_arrays([none(k, pa.binary()), pa.array([cells[i] for i in left], pa.binary()), none(m, pa.binary())]),
+            "other": pa.concat_arrays([none(k + l_, pa.int64()), pa.array(ids[other[some]])]),
+            "sim": pa.concat_arrays([none(k + l_, pa.float64()), pa.array(sim[some])]),
+        })
+
+    posts = clusters.select("id", "n", "x").mapInArrow(post, "list int, cell int, posted boolean, asks boolean, sole boolean, home boolean, id bigint, n bigint, x binary")
+    posts = posts.repartition(tasks_of(spark, lists.rows, 60 + 2 * dim), "list", "cell")
+    return posts.groupBy("list", "cell").applyInArrow(work, _ROUND)
+
+
+def _joined(pairs: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
     """Clusters of the merged pairs (id, other), the id being the smaller."""
-    a = pairs.join(clusters, "id").select("id", "other", "n", "s")
-    both = a.join(clusters.select(F.col("id").alias("other"), F.col("n").alias("n2"), F.col("s").alias("s2")), "other")
+    both = pairs.join(clusters, "id").join(clusters.select(F.col("id").alias("other"), F.col("n").alias("n2"), F.col("x").alias("x2")), "other")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            sums = []
-            for side, size in (("s", "n"), ("s2", "n2")):
-                x = np.frombuffer(b"".join(b.column(side).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64)
-                one = b.column(size).to_numpy() == 1
-                x[one] = unit(x[one])
-                sums.append(x)
-            n = b.column("n").to_numpy() + b.column("n2").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), _binary(sums[0] + sums[1])], ["id", "n", "s"])
+            if b.num_rows:
+                n, n2 = b.column("n").to_numpy(), b.column("n2").to_numpy()
+                x, x2 = (unpack(b.column(c).to_pylist(), dim).astype(np.float64) for c in ("x", "x2"))
+                mean = (x * n[:, None] + x2 * n2[:, None]) / (n + n2)[:, None]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n + n2), pa.array(pack(mean.astype(np.float32)), pa.binary())], ["id", "n", "x"])
 
-    return both.mapInArrow(add, _CLUSTER)
+    return both.select("id", "n", "x", "n2", "x2").mapInArrow(add, "id bigint, n bigint, x binary")
 
 
-def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster_no), (id, n, s)): membership of every usable vector, and size and vector sum of every cluster.
+def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_rows: int = LIST_ROWS, block: int = BLOCK, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
+    """((id, cluster_no), (id, n, x)): membership of every usable vector, and size and packed mean unit vector of every cluster.
 
     A cluster is named after its smallest key; a vector without a partner is a cluster of its own. Null, empty and zero vectors
-    belong to none. Equal vectors end in one cluster. An empty table gives empty results.
+    belong to none; a shorter vector counts as followed by zeros. Equal vectors are one cluster from the start; equally similar pairs
+    merge in the order of a hash of their keys. An empty table gives empty results.
     """
-    rows = usable(vectors, key, x).select(F.col(key).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"), F.col(x).alias("s"))
-    member, now, before, old = None, rows, None, []
-    for seed in range(1, MOST_ROUNDS):
-        done = write_shared(_local_pass(now, seed, list_rows, least), "pass")
-        step = done.select("id", "root")
-        was = member
-        member = write_shared(step.select("id", F.col("root").alias("cluster_no")) if was is None else was.join(step.withColumnRenamed("id", "cluster_no"), "cluster_no").select("id", F.col("root").alias("cluster_no")), "member")
-        now = done.where("s is not null").select("id", "n", "s")
-        left = now.count()
-        for t in old:
-            drop_shared(t)
-        old = [done, member]
-        if before is not None and left > before * (1 - WORTH):
-            break
-        before = left
-    active, moved = now, []
-    for seed in range(MOST_ROUNDS, 2 * MOST_ROUNDS):
-        best = write_shared(_best_partners(active, seed, list_rows, least), "best")
+    rows, dim = usable(vectors, key, x)
+    firsts, spare, groups = set_aside(rows, 1)
+    counted = groups.select(F.col("first").alias("id"), F.col("n").alias("m"))
+    active = firsts.join(fitting(counted), "id", "left").select("id", F.coalesce("m", F.lit(1)).cast("bigint").alias("n"), "x")
+    gone, resting, seed, whole, old = None, [], 0, True, []
+    while True:
+        seed += 1
+        turn = write_shared(_round(active, dim, seed, list_rows, block, least, spread), "round")
+        release(vectors.sparkSession)
+        best = turn.where("other is not null").groupBy("id").agg(F.max_by("other", F.struct("sim", -F.col("other"))).alias("other"))
+        best = write_shared(best, "best")
         back = best.select(F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = write_shared(best.join(back, ["id", "other"]).where("id < other"), "pairs")
-        if pairs.isEmpty():
+        local = turn.where("root is not null").select("id", "root")
+        left = turn.where("x is not null").select("id", "n", "x")
+        met = pairs.select(F.col("other").alias("root"), F.col("id").alias("to"))
+        step = local.join(met, "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(met.select(F.col("root").alias("id"), F.col("to").alias("root")))
+        if gone is not None:
+            on = step.select(F.col("id").alias("root"), F.col("root").alias("to"))
+            step = step.union(gone.join(on, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        old = [t for t in (gone,) if t is not None]
+        gone = write_shared(step, "gone")
+        for t in old:
+            drop_shared(t)
+        ended = pairs.isEmpty()
+        if whole and ended and local.isEmpty():
             break
-        moved.append(pairs)
-        merged = write_shared(_joined(pairs, active), "merged")
-        rest = active.join(best.select("id"), "id", "left_semi").join(pairs.select(F.explode(F.array("id", "other")).alias("id")), "id", "left_anti")
-        now = now.join(pairs.select(F.explode(F.array("id", "other")).alias("id")), "id", "left_anti").union(merged)
-        active = write_shared(rest.union(merged), "active")
-    for pairs in moved:
-        step = pairs.select(F.col("other").alias("cluster_no"), F.col("id").alias("to"))
-        member = member.join(step, "cluster_no", "left").select("id", F.coalesce("to", "cluster_no").alias("cluster_no"))
-    return member, now
-
-
-def typical(vectors: DataFrame, key: str, x: str, member: DataFrame, sums: DataFrame, most: int = 3) -> DataFrame:
+        partner = left.join(best.select("id"), "id", "left_semi")
+        rest = write_shared(left.join(best.select("id"), "id", "left_anti"), "rest")
+        merged = pairs.select(F.explode(F.array("id", "other")).alias("id"))
+        now = write_shared(partner.join(merged, "id", "left_anti").union(_joined(pairs, partner, dim)), "active")
+        for t in (turn, best, pairs, *([] if seed == 1 else [active])):
+            drop_shared(t)
+        resting.append(rest)
+        whole = ended or now.isEmpty()
+        if whole:  # nothing merges any more among these: all clusters are searched again
+            for r in resting:
+                now = now.union(r)
+            now, parts = write_shared(now, "all"), [now, *resting]
+            for r in resting:
+                drop_shared(r)
+            resting = []
+        active = now
+    member = rows.select("id").join(spare, "id", "left").select("id", F.coalesce("first", "id").alias("root"))
+    last = gone.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    return member.join(last, "root", "left").select("id", F.coalesce("to", "root").alias("cluster_no")), left
+
+
+def typical(vectors: DataFrame, key: str, x: str, member: DataFrame, means: DataFrame, most: int = 3) -> DataFrame:
     """(cluster_no, size, place, id, similarity): the members nearest to the average of their cluster; ties to the smaller key.
 
     Members are scored where they lie, with one equality join on the cluster; only each partition's best reach the merge.
     """
-    dense = sums.mapInArrow(_as_arrays, "id bigint, n bigint, c array<float>")
-    rows = vectors.select(F.col(key).alias("id"), F.col(x).alias("x")).join(member, "id").join(dense.select(F.col("id").alias("cluster_no"), F.col("n").alias("size"), "c"), "cluster_no")
+    rows, dim = usable(vectors, key, x)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = unpack(b.column("x").to_pylist(), dim)
+                one = b.column("n").to_numpy() == 1
+                flat[one] = unit(flat[one].astype(np.float64))
+                lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, dim, dtype=np.int32), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), lists], ["cluster_no", "size", "c"])
+
+    centres = means.select("id", "n", "x").mapInArrow(dense, "cluster_no bigint, size bigint, c array<float>")
+    rows = rows.join(member, "id").join(centres, "cluster_no")
+    v = F.transform("x", lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)))
     dot = F.aggregate(F.zip_with("x", "c", lambda a, b: F.coalesce(a, F.lit(0.0)).cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)).cast("double") * F.coalesce(v, F.lit(0.0))))
-    scored = rows.select("cluster_no", "size", "id", F.round(dot / norm / F.col("size"), 6).alias("similarity"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, v: s + v * v))
+    scored = rows.select("cluster_no", "size", "id", F.round(dot / norm, 6).alias("similarity"))
     w = Window.partitionBy("cluster_no").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-
-
-def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            flat = np.frombuffer(b"".join(b.column("s").to_pylist()), np.float32).reshape(b.num_rows, -1)
-            one = b.column("n").to_numpy() == 1
-            flat = flat.copy()
-            flat[one] = unit(flat[one].astype(np.float64))
-            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), lists], ["id", "n", "c"])

@@ -3,7 +3,8 @@
 A bounded sample gives the centroids: sampled vectors, moved twice to the mean of their share, so that dense regions get
 as many lists as they need. The centroids lie in memory as a graph, whose pivots lead to their nearest centroids. A vector
 is posted to its nearest list and to every list whose distance is within ``spread`` of that; a query reads all lists
-within ``reach`` of its nearest one, however many. Vectors travel compressed without loss. Lists are worked off in blocks of bounded size, query blocks against posting blocks.
+within ``reach`` of its nearest one, however many. A list is worked off as a grid: its postings and its queries are cut into
+blocks of bounded size, and every block of queries meets every block of postings. Vectors travel compressed without loss.
 All vectors are indexed, all are queries.
 """
 
@@ -17,26 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.session import write_shared
+from peakforge.session import drop_shared, fitting, write_shared
 
-#: Rows of the sample on which the lists are fitted, at most; the driver holds it.
+#: Rows of the sample on which the lists are fitted, at most; the driver holds it. It bounds the centroids too: lists of more rows are cut into more blocks.
 SAMPLE = 20_000
-#: Vectors a list should hold, lists at most, rows of a block at most.
-LIST_ROWS, MOST_LISTS, BLOCK = 400, 10_000, 2_000
+#: Vectors a list should hold, rows of a block (of postings and of queries).
+LIST_ROWS, BLOCK = 400, 2_000
 #: Distance ratios up to which further lists take a vector and up to which a query reads further lists.
 SPREAD, REACH = 1.05, 1.06
-#: Pivots a search starts from.
-BEAM = 8
+#: Distance ratio up to which a search of the graph starts from further pivots.
+START = 1.15
+#: Bytes a task should read.
+TASK_BYTES = 8_000_000
 
 
 def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list or binary column as float64 matrix; all rows must have ``dim`` numbers, nulls inside count as 0."""
+    """Rows of a list column (or of cells of ``pack``) as float64 matrix; shorter rows are followed by zeros, nulls and infinities inside count as 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, dim))
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
-    flat = column.flatten()
-    return np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, dim)
+        return unpack(column.to_pylist(), dim).astype(np.float64)
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+    if len(flat) == dim * len(column):
+        sizes = np.diff(column.offsets.to_numpy())
+        if (sizes == dim).all():
+            return flat.reshape(-1, dim)
+    out = np.zeros((len(column), dim))
+    sizes = np.diff(column.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]] = flat
+    return out
 
 
 def pack(m: np.ndarray) -> list[bytes]:
@@ -65,106 +78,170 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)
 
 
+def _distance(sims: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
+
+
 @dataclass
 class Lists:
-    """Centroids of the posting lists, the graph over them and the number of blocks each list is cut into."""
+    """Centroids of the posting lists, the graph over them, and the blocks of postings and of queries each list is cut into."""
 
     centroids: np.ndarray
     pivots: np.ndarray
     links: np.ndarray
-    blocks: np.ndarray
+    postings: np.ndarray
+    queries: np.ndarray
+    rows: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, list_rows: int = LIST_ROWS, block: int = BLOCK, seed: int = 7) -> Lists:
+    def fit(cls, sample: np.ndarray, rows: int, list_rows: int = LIST_ROWS, block: int = BLOCK, seed: int = 7, spread: float = SPREAD, reach: float = REACH) -> Lists:
         """Fit on unit vectors ``sample`` drawn from ``rows`` rows."""
         sample = sample.astype(np.float32)
         rng = np.random.default_rng(seed)
-        n = int(np.clip(-(-rows // list_rows), 1, max(1, min(MOST_LISTS, len(sample)))))
+        n = int(np.clip(-(-rows // list_rows), 1, max(1, len(sample) // 2)))
         c = sample[rng.permutation(len(sample))[:n]] if len(sample) else np.zeros((1, 1), np.float32)
-        own = np.zeros(len(sample), int)
+        steps = range(0, len(sample), 2000)
         for _ in range(2):
-            own = np.concatenate([np.argmax(sample[i : i + 2000] @ c.T, axis=1) for i in range(0, len(sample), 2000)] or [own])
+            own = np.concatenate([np.argmax(sample[i : i + 2000] @ c.T, axis=1) for i in steps] or [np.zeros(0, int)])
             sums = np.zeros_like(c)
             np.add.at(sums, own, sample)
             full = np.linalg.norm(sums, axis=1) > 0
             c[full] = unit(sums[full])
-        if len(sample):
-            own = np.concatenate([np.argmax(sample[i : i + 2000] @ c.T, axis=1) for i in range(0, len(sample), 2000)])
-        share = np.bincount(own, minlength=len(c)) * (rows / max(1, len(sample)))
         p = min(len(c), int(2 * np.sqrt(len(c))) + 1)
         pivots = rng.permutation(len(c))[:p]
         m = min(len(c), max(64, 16 * len(c) // p))
         near = c[pivots] @ c.T
         links = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(len(c)), (p, 1))
-        return cls(c, pivots, links, np.maximum(1, np.ceil(share / block)).astype(int))
+        one = np.ones(len(c), int)
+        out = cls(c, pivots, links, one, one, 0.0)
+        held, asked = np.zeros(len(c)), np.zeros(len(c))
+        for i in steps:
+            posted, asks = out.near(sample[i : i + 2000], spread, reach)
+            held += posted.sum(axis=0)
+            asked += asks.sum(axis=0)
+        share = rows / max(1, len(sample))
+        out.postings, out.queries = (np.maximum(1, np.ceil(v * share / block)).astype(int) for v in (held, asked))
+        out.rows = float((np.maximum(held, asked) * np.maximum(out.postings, out.queries)).sum() * share)
+        return out
 
     def search(self, x: np.ndarray) -> np.ndarray:
         """Similarity of each row to the centroids the graph leads to; -2 for those it doesn't reach."""
         x = x.astype(np.float32)
+        if len(self.pivots) == len(self.centroids):
+            return x @ self.centroids.T
         sims = np.full((len(x), len(self.centroids)), -2.0, np.float32)
-        start = x @ self.centroids[self.pivots].T
-        beam = min(BEAM, len(self.pivots))
-        best = np.argpartition(-start, beam - 1, axis=1)[:, :beam] if beam < len(self.pivots) else np.tile(np.arange(beam), (len(x), 1))
-        for p in np.unique(best):
-            rows = np.nonzero((best == p).any(axis=1))[0]
+        d = _distance(x @ self.centroids[self.pivots].T)
+        starts = d <= d.min(axis=1, keepdims=True) * START + 1e-7
+        for p in np.nonzero(starts.any(axis=0))[0]:
+            rows = np.nonzero(starts[:, p])[0]
             sims[np.ix_(rows, self.links[p])] = x[rows] @ self.centroids[self.links[p]].T
         return sims
 
-
-def sample_rows(vectors: DataFrame, key: str, x: str, most: int = SAMPLE) -> tuple[np.ndarray, int]:
+    def near(self, x: np.ndarray, spread: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(posted, asks): the lists that take each row and the lists it reads."""
+        d = _distance(self.search(x))
+        best = d.min(axis=1, keepdims=True)
+        return d <= best * spread + 1e-7, d <= best * reach + 1e-7
+
+    def cells(self, ids: np.ndarray, posted: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, list, cell, posted, asks): every row in the cells (block of postings, block of queries) of its lists' grids where it is needed."""
+        r, c = np.nonzero(posted | asks)
+        h = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        wide, high = self.queries[c], self.postings[c]
+        p, q = h % high, (h >> 7) % wide
+        is_p, is_q = posted[r, c], asks[r, c]
+
+        def spread_over(some, width):
+            i = np.nonzero(some)[0]
+            rep = np.repeat(i, width[i])
+            return rep, np.arange(len(rep)) - np.repeat(np.cumsum(width[i]) - width[i], width[i])
+
+        a, qa = spread_over(is_p, wide)
+        b, pb = spread_over(is_q, high)
+        lone = ~is_p[b] | (pb != p[b])
+        b, pb = b[lone], pb[lone]
+        i = np.concatenate([a, b])
+        cell = np.concatenate([p[a] * wide[a] + qa, pb * wide[b] + q[b]])
+        here = np.concatenate([is_q[a] & (qa == q[a]), np.ones(len(b), bool)])
+        return r[i], c[i], cell, np.arange(len(i)) < len(a), here
+
+
+def tasks_of(spark, rows: float, row_bytes: int) -> int:
+    """Partitions for ``rows`` rows, so that a task reads about TASK_BYTES; at least as many as the session shuffles into."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * row_bytes / TASK_BYTES) + 1)
+
+
+def sample_rows(vectors: DataFrame, key: str, x: str, dim: int, most: int = SAMPLE) -> tuple[np.ndarray, int]:
     """(unit sample, number of rows): rows chosen by a hash of the key, about ``most`` at most."""
     n = vectors.count()
     part = vectors.select(key, x)
     if n > most:
         part = part.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    t = part.select(x).toArrow()
-    if t.num_rows == 0:
-        return np.zeros((0, 1)), n
-    col = t.column(0).combine_chunks()
-    first = col[0].as_py()
-    return unit(to_matrix(col, len(first) // 4 if isinstance(first, bytes) else len(first))), n
+    return unit(to_matrix(part.select(x).toArrow().column(0), dim)), n
 
 
-def usable(vectors: DataFrame, key: str, x: str) -> DataFrame:
-    """Rows (key, x) whose vector is neither null nor empty nor all zero nor without key.
+def usable(vectors: DataFrame, key: str, x: str) -> tuple[DataFrame, int]:
+    """(rows (id, x), length): rows whose vector is neither null nor empty nor all zero nor without key, and the greatest length.
 
-    Vectors must have one length; rows whose length isn't the most frequent one are left out, a tie going to the longer.
-    Nulls inside a vector count as 0.
+    A shorter vector counts as followed by zeros. Nulls inside a vector count as 0.
     """
-    v = vectors.select(key, x).where(F.col(key).isNotNull() & F.exists(x, lambda v: (v != 0) & ~F.isnan(v)))
-    lengths = v.groupBy(F.size(x).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size(x) == (lengths[0] if lengths else 0))
+    v = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(x).alias("x")).where(F.col(key).isNotNull() & F.exists(x, lambda v: (v != 0) & ~F.isnan(v)))
+    return v, int(v.agg(F.max(F.size("x"))).first()[0] or 1)
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int, least: float):
-    """Per row the k best columns by similarity rounded to 9 decimals, ties to the smaller id; ids must be ascending."""
-    hit = sims >= least - 5e-10
-    rows = np.nonzero(hit.any(axis=1))[0]
-    for r in rows:
-        cols = np.nonzero(hit[r])[0]
-        s = np.round(sims[r, cols], 9)
-        order = np.lexsort((ids[cols], -s))[:k]
-        yield r, cols[order], s[order]
+def set_aside(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows kept, copies (id, first), groups (first, n)): of equal vectors only the ``keep`` smallest ids stay, the others point to the smallest.
 
+    Each partition passes on ``keep`` rows of a group at most, so a group of any size is folded before the shuffle.
+    """
+    marks = write_shared(rows.select("id", F.xxhash64("x").alias("h"), F.hash("x").alias("g")), "marks")
+    groups = marks.groupBy("h", "g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > keep)
+    groups = write_shared(groups, "groups")
+    place = marks.withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("place") <= keep)
+    stay = place.join(fitting(groups), ["h", "g"], "left_semi").select("id")
+    spare = write_shared(marks.join(fitting(groups), ["h", "g"]).select("id", "first").join(stay, "id", "left_anti"), "copies")
+    drop_shared(marks)
+    return rows.join(fitting(spare.select("id")), "id", "left_anti"), spare, groups
 
-def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float = 0.85, spread: float = SPREAD, reach: float = REACH, list_rows: int = LIST_ROWS) -> DataFrame:
+
+def _best(r: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row ``r``: similarities rounded to 9 decimals, ties to the smaller id."""
+    order = np.lexsort((ids, -sims, r))
+    sorted_ = r[order]
+    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, bool)
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
+
+
+def similar(u: np.ndarray, rough: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the rows ``a`` and ``b`` of u that are similar by ``least`` at 9 decimals.
+
+    ``rough`` is u in single precision, off by less than 1e-4: it sets aside pairs without a chance, nothing else.
+    """
+    hit = rough[a] @ rough[b].T >= least - 1e-4
+    i, j = np.nonzero(hit)
+    if len(i) * 8 > hit.size:
+        s = (u[a] @ u[b].T)[i, j]
+    else:
+        s = np.einsum("ij,ij->i", u[a[i]], u[b[j]]) if len(i) else np.zeros(0)
+    s = np.round(s, 9)
+    keep = s >= least - 5e-10
+    return a[i[keep]], b[j[keep]], s[keep]
+
+
+def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float = 0.85, spread: float = SPREAD, reach: float = REACH, list_rows: int = LIST_ROWS, block: int = BLOCK) -> DataFrame:
     """(query_no, other_no, similarity, place): the k most similar other vectors of every vector by cosine.
 
     Only similarities of at least ``least`` count (after rounding to 9 decimals); ties go to the smaller key. Keys are bigint and unique.
-    Of equal vectors only the k+1 smallest keys can be neighbours, so further copies are set aside and get the
-    result of their first copy. Within the lists read the result is exact; what pruning loses is measured in the tests
-    against brute force.
+    Shorter vectors count as followed by zeros; null, empty and zero vectors and null keys have no neighbours. Of equal vectors only
+    the k+1 smallest keys can be neighbours, so further copies are set aside and get the result of their first copy. Within the
+    lists read the result is exact; what pruning loses is measured in the tests against brute force.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, key, x)
-    same = Window.partitionBy("h", "g").orderBy("id")
-    copies = rows.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"))
-    place = copies.withColumn("place", F.row_number().over(same)).withColumn("first", F.min("id").over(same))
-    spare = write_shared(place.where(F.col("place") > k + 1).select("id", "first"), "copies")
-    rows = rows.join(spare.select(F.col("id").alias(key)), key, "left_anti")
-    sample, n = sample_rows(rows, key, x)
-    dim = sample.shape[1]
-    lists = Lists.fit(sample, n, list_rows)
+    rows, dim = usable(vectors, key, x)
+    rows, spare, _ = set_aside(rows, k + 1)
+    sample, n = sample_rows(rows, "id", "x", dim)
+    lists = Lists.fit(sample, n, list_rows, block, spread=spread, reach=reach)
     shared = spark.sparkContext.broadcast(vars(lists))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,57 +249,33 @@ def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float =
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids = part.column(0).to_numpy()
-                m = to_matrix(part.column(1), dim).astype(np.float32)
-                u = unit(m.astype(np.float64))
-                s = index.search(u)
-                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * s))
-                best = d.min(axis=1, keepdims=True)
-                keep = d <= best * reach + 1e-7
-                r, c = np.nonzero(keep)
-                posted = d[r, c] <= best[r, 0] * spread + 1e-7
-                own = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.blocks[c]
-                # A query meets every block of its lists; a posting lies in one.
-                width = index.blocks[c]
-                rep = np.repeat(np.arange(len(r)), width)
-                first = np.cumsum(width) - width
-                block = np.arange(len(rep)) - first[rep]
-                mine = posted[rep] & (block == own[rep])
+                ids = part.column("id").to_numpy()
+                m = to_matrix(part.column("x"), dim).astype(np.float32)
+                r, c, cell, posted, asks = index.cells(ids, *index.near(unit(m.astype(np.float64)), spread, reach))
                 cells = pack(m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[rep].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(mine), pa.array(ids[r][rep]), pa.array([cells[i] for i in r[rep]], pa.binary())],
-                    ["list", "block", "posted", "id", "x"],
+                    [pa.array(c.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(posted), pa.array(asks), pa.array(ids[r]), pa.array([cells[i] for i in r], pa.binary())],
+                    ["list", "cell", "posted", "asks", "id", "x"],
                 )
 
     def score(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        posted = table.column("posted").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, posted = ids[order], posted[order]
-        u = unit(unpack(table.column("x").to_pylist(), dim)[order].astype(np.float64))
-        pi = np.nonzero(posted)[0]
-        rough, place = u.astype(np.float32), np.cumsum(posted) - 1
-        q, o, sim = [], [], []
-        for at in range(0, len(u), 1000):
-            if not len(pi):
-                break
-            # Single precision is off by less than 1e-4: it sets aside rows and columns without any hit, nothing else.
-            hit = rough[at : at + 1000] @ rough[pi].T >= least - 1e-4
-            own = np.nonzero(posted[at : at + 1000])[0]
-            hit[own, place[at + own]] = False
-            rows, some = at + np.nonzero(hit.any(axis=1))[0], pi[hit.any(axis=0)]
-            s = u[rows] @ u[some].T
-            s[ids[rows, None] == ids[some][None, :]] = -2.0
-            for r, cols, v in _top(ids[some], s, k, least):
-                q.append(np.full(len(cols), ids[rows[r]]))
-                o.append(ids[some][cols])
-                sim.append(v)
-        cat = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0, t))
-        return pa.table({"query_no": cat(q, np.int64), "other_no": cat(o, np.int64), "similarity": cat(sim, np.float64)})
-
-    posts = rows.select(F.col(key).cast("bigint").alias("id"), x).mapInArrow(post, "list int, block int, posted boolean, id bigint, x binary")
-    found = posts.groupBy("list", "block").applyInArrow(score, "query_no bigint, other_no bigint, similarity double")
-    found = write_shared(found, "found")
+        u = unit(unpack(table.column("x").to_pylist(), dim).astype(np.float64))
+        rough = u.astype(np.float32)
+        held, asking = (np.nonzero(table.column(c).to_numpy())[0] for c in ("posted", "asks"))
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for at in range(0, len(asking), 1000):
+            i, j, s = similar(u, rough, asking[at : at + 1000], held, least)
+            other = ids[i] != ids[j]
+            i, j, s = i[other], j[other], s[other]
+            top = _best(i, ids[j], s, k)
+            for a, v in zip(out, (ids[i[top]], ids[j[top]], s[top])):
+                a.append(v)
+        return pa.table(dict(zip(("query_no", "other_no", "similarity"), map(np.concatenate, out))))
+
+    posts = rows.select("id", "x").mapInArrow(post, "list int, cell int, posted boolean, asks boolean, id bigint, x binary")
+    posts = posts.repartition(tasks_of(spark, lists.rows, 40 + 2 * dim), "list", "cell")
+    found = write_shared(posts.groupBy("list", "cell").applyInArrow(score, "query_no bigint, other_no bigint, similarity double"), "found")
     heirs = spare.join(found.withColumnRenamed("query_no", "first"), "first").select(F.col("id").alias("query_no"), "other_no", "similarity")
     found = found.union(heirs).union(spare.select("id", "first", F.lit(1.0)))
     # Each list a query reads gives at most k+1 rows; a pair found in several lists is folded here.

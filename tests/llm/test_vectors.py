@@ -26,7 +26,10 @@ def cosines(x):
 def table_(spark):
     _, x = planted()
     x[700:760] = x[3]  # copies
-    return x, frame(spark, x, [(5001, None), (5002, [0.0] * 60), (5003, []), (None, [1.0] * 60), (5004, [1.0, 2.0])])
+    x[-1] = 0
+    x[-1, :2] = 1, 2  # shorter in the table, as if followed by zeros
+    df = frame(spark, x, [(5001, None), (5002, [0.0] * 60), (5003, []), (None, [1.0] * 60)])
+    return x, df.where(f"spectrum_no is null or spectrum_no <> {len(x)}").union(spark.createDataFrame([(len(x), [1.0, 2.0], "clash")], df.schema))
 
 
 def brute(x, k=5, least=0.85):
@@ -88,7 +91,8 @@ def test_graph_search_finds_the_nearest_list():
 def test_merge_block_is_average_linkage():
     rng = np.random.default_rng(0)
     x = vectors.unit(np.abs(rng.normal(size=(30, 6))))
-    root = clusters.merge_block(np.arange(30), np.ones(30, int), x.copy(), 0.9)
+    root, other, _ = clusters.merge_block(np.arange(30), np.ones(30, int), x.copy(), 0.9)
+    assert (other == -1).all()
     live = {i: [i] for i in range(30)}
     while True:  # plain average linkage, one pair at a time; reciprocal pairs give the same tree
         best = max(((np.mean([x[a] @ x[b] for a in live[i] for b in live[j]]), -i, -j) for i in live for j in live if i < j), default=(0, 0, 0))
@@ -111,6 +115,44 @@ def test_clusters_equal_the_groups_of_the_threshold(spark, table_):
     assert len(top) == sum(n > 1 for n in np.bincount(first))
 
 
+def partition(member):
+    groups = {}
+    for r in member.collect():
+        groups.setdefault(r["cluster_no"], set()).add(r["id"])
+    assert all(k == min(v) for k, v in groups.items())
+    return {frozenset(v) for v in groups.values()}
+
+
+@pytest.mark.parametrize("list_rows,block", [(20, 2000), (100, 150), (1000, 2000)])
+def test_vectors_without_gaps_give_average_linkage_whatever_the_lists(spark, list_rows, block):
+    # With all lists within the spread nothing is lost to pruning, and neither lists nor blocks may show in the result.
+    x = np.cumsum(np.random.default_rng(1).normal(size=(600, 30)), axis=1).astype(np.float32).astype(float)
+    root, _, _ = clusters.merge_block(np.arange(1, 601), np.ones(600, int), vectors.unit(x), 0.85)
+    want = {frozenset(int(i) + 1 for i in np.nonzero(root == r)[0]) for r in set(root)}
+    member, _ = clusters.clusters(frame(spark, x), "spectrum_no", "x", list_rows=list_rows, block=block, spread=99.0)
+    assert partition(member) == want
+
+
+def test_frozen_rows_do_not_merge_but_count_as_partners():
+    x = vectors.unit(np.array([[1.0, 0.0], [1.0, 0.01], [1.0, 0.3], [0.0, 1.0]]))
+    root, other, _ = clusters.merge_block(np.arange(4), np.ones(4, int), x, 0.5, np.array([True, False, True, True]))
+    assert root.tolist() == [0, 1, 2, 3] and other[:2].tolist() == [1, 0] and other[3] == -1
+
+
+def test_a_hot_list_is_cut_into_cells(spark):
+    own, x = planted(1500, 60, 50, 6, 0.5)
+    want = {(k, o) for k, v in brute(x).items() for o in v}
+    got = {(r["query_no"], r["other_no"]) for r in vectors.neighbours(frame(spark, x), "spectrum_no", "x", list_rows=5000, block=100).collect()}
+    assert got == want
+    lists = vectors.Lists.fit(vectors.unit(x), 1500, 5000, 100)
+    ids = np.arange(1500)
+    r, c, cell, posted, asks = lists.cells(ids, *lists.near(vectors.unit(x), 1.05, 1.06))
+    assert max(np.bincount(cell)) <= 400 and posted.sum() == 1500 * lists.queries[0] and asks.sum() == 1500 * lists.postings[0]
+    # Every query meets every posting in exactly one cell.
+    met = sum((asks & (cell == k))[:, None].sum() * (posted & (cell == k)).sum() for k in range(cell.max() + 1))
+    assert met == 1500 * 1500
+
+
 def test_no_vector_at_all(spark):
     empty = spark.createDataFrame([], "spectrum_no bigint, x array<float>")
     assert clusters.clusters(empty, "spectrum_no", "x")[0].count() == 0
