@@ -23,9 +23,9 @@ from peakforge.llm.vectors import Lists, pack, sample_rows, set_aside, tasks_of,
 from peakforge.session import drop_shared, fitting, release, write_shared
 
 LEAST = 0.85
-LIST_ROWS, BLOCK = 400, 2_000
+LIST_ROWS, BLOCK = 400, 3_000
 #: Distance ratio up to which a cluster is posted to further lists.
-SPREAD = 1.06
+SPREAD = 1.04
 
 _ROUND = "id bigint, root bigint, n bigint, x binary, other bigint, sim double"
 
@@ -37,7 +37,10 @@ def _lots(ids: np.ndarray) -> np.ndarray:
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers below 1e-10, one for each pair of ids, the same in any place: equally similar pairs are taken in a random order, else they would merge one by one."""
-    return 1e-10 * np.modf(np.outer(_lots(a), _lots(b)))[0]
+    out = np.outer(_lots(a), _lots(b))
+    out -= np.floor(out)
+    out *= 1e-10
+    return out
 
 
 def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float, sole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,14 +52,17 @@ def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float,
     """
     root, other, found = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
     may = np.ones(len(ids), bool) if sole is None else sole.copy()
-    rough = mean.astype(np.float32)
-    sim = rough @ rough.T
-    np.fill_diagonal(sim, -2.0)
     # Single precision sets aside rows without any partner, nothing else.
-    live = np.nonzero(sim.max(axis=1) >= least - 1e-4)[0] if len(ids) > 1 else np.zeros(0, int)
+    rough, most = mean.astype(np.float32), [np.zeros(0)]
+    for at in range(0, len(ids), 1000):
+        sim = rough[at : at + 1000] @ rough.T
+        sim[np.arange(len(sim)), at + np.arange(len(sim))] = -2.0
+        most.append(sim.max(axis=1))
+    live = np.nonzero(np.concatenate(most) >= least - 1e-4)[0]
     if not len(live):
         return root, other, found
-    sim = mean[live] @ mean[live].T + _apart(ids[live], ids[live])
+    sim = _apart(ids[live], ids[live])
+    sim += mean[live] @ mean[live].T
     np.fill_diagonal(sim, -2.0)
     w = n[live].astype(float)
     while True:
@@ -82,8 +88,11 @@ def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float,
     return root, other, found
 
 
-def _round(clusters: DataFrame, dim: int, seed: int, list_rows: int, block: int, least: float, spread: float) -> DataFrame:
-    """One row (id, root) per merged cluster, one (id, n, x) per cluster left, one (id, other, sim) per list in which a cluster left has a partner."""
+def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int, block: int, least: float, spread: float) -> DataFrame:
+    """One row (id, root) per merged cluster, one (id, n, x) per cluster left, one (id, other, sim) per list in which a cluster left has a partner.
+
+    If ``raw``, x is the vector itself, of any length, of n equal rows.
+    """
     spark = clusters.sparkSession
     sample, rows = sample_rows(clusters, "id", "x", dim)
     lists = Lists.fit(sample, rows, list_rows if rows > 4 * list_rows else 4 * list_rows, block, seed, spread, spread)
@@ -94,45 +103,46 @@ def _round(clusters: DataFrame, dim: int, seed: int, list_rows: int, block: int,
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids, n, x = part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("x")
-                m = to_matrix(x, dim)
-                if not pa.types.is_binary(x.type):
-                    m = unit(m)
-                near, _ = index.near(unit(m), spread, spread)
-                r, c, cell, posted, asks = index.cells(ids, near, near)
-                whole = (index.postings * index.queries)[c] == 1
-                sole = whole & (near.sum(axis=1) == 1)[r]
+                ids, n = part.column("id").to_numpy(), part.column("n").to_numpy()
+                m = to_matrix(part.column("x"), dim)
+                _, near = index.distance(unit(m), spread)
+                r, c, own, cell = index.cells(ids, near)
+                sole = (index.blocks[c] == 1) & (near.sum(axis=1) == 1)[r]
                 # One of a row's copies brings it into the next round.
                 home = np.zeros(len(r), bool)
                 home[np.unique(r, return_index=True)[1]] = True
                 cells = pack(m.astype(np.float32))
-                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), posted, asks, sole, home, ids[r], n[r])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "posted", "asks", "sole", "home", "id", "n", "x"])
+                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), own.astype(np.int32), index.blocks[c] == 1, sole, home, ids[r], n[r])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "block", "whole", "sole", "home", "id", "n", "x"])
 
     def work(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         table = table.take(pa.array(np.argsort(ids, kind="stable")))
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        posted, asks, sole, home = (table.column(c).to_numpy() for c in ("posted", "asks", "sole", "home"))
+        own, whole, sole, home = (table.column(c).to_numpy() for c in ("block", "whole", "sole", "home"))
         cells = table.column("x").to_pylist()
         mean = unpack(cells, dim).astype(np.float64)
-        mean[n == 1] = unit(mean[n == 1])
-        if posted.all() and asks.all():
+        single = (n == 1) | raw
+        mean[single] = unit(mean[single])
+        if whole.all():
             root, other, sim = merge_block(ids, n, mean, least, sole)
         else:
             # A cell of a list that is cut into blocks: partners are looked up, nothing merges here.
             root, other, sim = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
-            p, q = np.nonzero(posted)[0], np.nonzero(asks)[0]
-            for at in range(0, len(q) if len(p) else 0, 1000):
-                i = q[at : at + 1000]
-                s = mean[i] @ mean[p].T + _apart(ids[i], ids[p])
-                s[ids[i][:, None] == ids[p][None, :]] = -2.0
-                o = s.argmax(axis=1)
-                v = s[np.arange(len(i)), o]
-                other[i], sim[i] = np.where(v >= least, p[o], -1), v
+            first = own == own.min()
+            p, q = np.nonzero(first)[0], np.arange(len(ids)) if first.all() else np.nonzero(~first)[0]
+            for at in range(0, len(p) if len(q) else 0, 1000):
+                i = p[at : at + 1000]
+                s = mean[i] @ mean[q].T + _apart(ids[i], ids[q])
+                s[ids[i][:, None] == ids[q][None, :]] = -2.0
+                for mine, theirs, m in ((i, q, s), (q, i, s.T))[: 1 if first.all() else 2]:
+                    o = m.argmax(axis=1)
+                    v = m[np.arange(len(mine)), o]
+                    some = (v >= least) & (v > sim[mine])
+                    other[mine[some]], sim[mine[some]] = theirs[o[some]], v[some]
         top, total = root == np.arange(len(ids)), np.zeros(len(ids), np.int64)
         np.add.at(total, root, n)
-        grown = np.nonzero(top & (total > n))[0]
+        grown = np.nonzero(top & ((total > n) | raw & (n > 1)))[0]
         if len(grown):
             order = np.argsort(root, kind="stable")
             sums = np.add.reduceat(mean[order] * n[order][:, None], np.nonzero(np.diff(root[order], prepend=-1))[0])
@@ -152,8 +162,8 @@ def _round(clusters: DataFrame, dim: int, seed: int, list_rows: int, block: int,
             "sim": pa.concat_arrays([none(k + l_, pa.float64()), pa.array(sim[some])]),
         })
 
-    posts = clusters.select("id", "n", "x").mapInArrow(post, "list int, cell int, posted boolean, asks boolean, sole boolean, home boolean, id bigint, n bigint, x binary")
-    posts = posts.repartition(tasks_of(spark, lists.rows, 60 + 2 * dim), "list", "cell")
+    posts = clusters.select("id", "n", "x").mapInArrow(post, "list int, cell int, block int, whole boolean, sole boolean, home boolean, id bigint, n bigint, x binary")
+    posts = posts.repartition(tasks_of(spark, lists.rows, 60 + dim), "list", "cell")
     return posts.groupBy("list", "cell").applyInArrow(work, _ROUND)
 
 
@@ -166,6 +176,7 @@ def _joined(pairs: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
             if b.num_rows:
                 n, n2 = b.column("n").to_numpy(), b.column("n2").to_numpy()
                 x, x2 = (unpack(b.column(c).to_pylist(), dim).astype(np.float64) for c in ("x", "x2"))
+                x[n == 1], x2[n2 == 1] = unit(x[n == 1]), unit(x2[n2 == 1])
                 mean = (x * n[:, None] + x2 * n2[:, None]) / (n + n2)[:, None]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n + n2), pa.array(pack(mean.astype(np.float32)), pa.binary())], ["id", "n", "x"])
 
@@ -186,7 +197,7 @@ def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_ro
     gone, resting, seed, whole, old = None, [], 0, True, []
     while True:
         seed += 1
-        turn = write_shared(_round(active, dim, seed, list_rows, block, least, spread), "round")
+        turn = write_shared(_round(active, dim, seed == 1, seed, list_rows, block, least, spread), "round")
         release(vectors.sparkSession)
         best = turn.where("other is not null").groupBy("id").agg(F.max_by("other", F.struct("sim", -F.col("other"))).alias("other"))
         best = write_shared(best, "best")

@@ -3,9 +3,8 @@
 A bounded sample gives the centroids: sampled vectors, moved twice to the mean of their share, so that dense regions get
 as many lists as they need. The centroids lie in memory as a graph, whose pivots lead to their nearest centroids. A vector
 is posted to its nearest list and to every list whose distance is within ``spread`` of that; a query reads all lists
-within ``reach`` of its nearest one, however many. A list is worked off as a grid: its postings and its queries are cut into
-blocks of bounded size, and every block of queries meets every block of postings. Vectors travel compressed without loss.
-All vectors are indexed, all are queries.
+within ``reach`` of its nearest one, however many. A list is worked off as a grid: it is cut into blocks of bounded size, and
+any two blocks meet in one cell. Vectors travel compressed without loss. All vectors are indexed, all are queries.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ from peakforge.session import drop_shared, fitting, write_shared
 
 #: Rows of the sample on which the lists are fitted, at most; the driver holds it. It bounds the centroids too: lists of more rows are cut into more blocks.
 SAMPLE = 20_000
-#: Vectors a list should hold, rows of a block (of postings and of queries).
-LIST_ROWS, BLOCK = 400, 2_000
+#: Vectors a list should hold, rows of a block.
+LIST_ROWS, BLOCK = 400, 4_000
 #: Distance ratios up to which further lists take a vector and up to which a query reads further lists.
-SPREAD, REACH = 1.05, 1.06
+SPREAD, REACH = 1.04, 1.04
 #: Distance ratio up to which a search of the graph starts from further pivots.
 START = 1.15
 #: Bytes a task should read.
@@ -84,13 +83,12 @@ def _distance(sims: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lists:
-    """Centroids of the posting lists, the graph over them, and the blocks of postings and of queries each list is cut into."""
+    """Centroids of the posting lists, the graph over them, and the number of blocks each list is cut into; ``rows`` estimates the rows of all cells."""
 
     centroids: np.ndarray
     pivots: np.ndarray
     links: np.ndarray
-    postings: np.ndarray
-    queries: np.ndarray
+    blocks: np.ndarray
     rows: float
 
     @classmethod
@@ -112,16 +110,13 @@ class Lists:
         m = min(len(c), max(64, 16 * len(c) // p))
         near = c[pivots] @ c.T
         links = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(len(c)), (p, 1))
-        one = np.ones(len(c), int)
-        out = cls(c, pivots, links, one, one, 0.0)
-        held, asked = np.zeros(len(c)), np.zeros(len(c))
+        out = cls(c, pivots, links, np.ones(len(c), int), 0.0)
+        held = np.zeros(len(c))
         for i in steps:
-            posted, asks = out.near(sample[i : i + 2000], spread, reach)
-            held += posted.sum(axis=0)
-            asked += asks.sum(axis=0)
-        share = rows / max(1, len(sample))
-        out.postings, out.queries = (np.maximum(1, np.ceil(v * share / block)).astype(int) for v in (held, asked))
-        out.rows = float((np.maximum(held, asked) * np.maximum(out.postings, out.queries)).sum() * share)
+            held += (out.distance(sample[i : i + 2000], max(spread, reach))[1]).sum(axis=0)
+        held *= rows / max(1, len(sample))
+        out.blocks = np.maximum(1, np.ceil(held / block)).astype(int)
+        out.rows = float((held * out.blocks).sum())
         return out
 
     def search(self, x: np.ndarray) -> np.ndarray:
@@ -137,33 +132,21 @@ class Lists:
             sims[np.ix_(rows, self.links[p])] = x[rows] @ self.centroids[self.links[p]].T
         return sims
 
-    def near(self, x: np.ndarray, spread: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(posted, asks): the lists that take each row and the lists it reads."""
+    def distance(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(multiple of the distance to the nearest list, whether it is at most ``ratio``) of each row and list."""
         d = _distance(self.search(x))
         best = d.min(axis=1, keepdims=True)
-        return d <= best * spread + 1e-7, d <= best * reach + 1e-7
-
-    def cells(self, ids: np.ndarray, posted: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, list, cell, posted, asks): every row in the cells (block of postings, block of queries) of its lists' grids where it is needed."""
-        r, c = np.nonzero(posted | asks)
-        h = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-        wide, high = self.queries[c], self.postings[c]
-        p, q = h % high, (h >> 7) % wide
-        is_p, is_q = posted[r, c], asks[r, c]
-
-        def spread_over(some, width):
-            i = np.nonzero(some)[0]
-            rep = np.repeat(i, width[i])
-            return rep, np.arange(len(rep)) - np.repeat(np.cumsum(width[i]) - width[i], width[i])
-
-        a, qa = spread_over(is_p, wide)
-        b, pb = spread_over(is_q, high)
-        lone = ~is_p[b] | (pb != p[b])
-        b, pb = b[lone], pb[lone]
-        i = np.concatenate([a, b])
-        cell = np.concatenate([p[a] * wide[a] + qa, pb * wide[b] + q[b]])
-        here = np.concatenate([is_q[a] & (qa == q[a]), np.ones(len(b), bool)])
-        return r[i], c[i], cell, np.arange(len(i)) < len(a), here
+        return (d - 1e-7) / np.maximum(best, 1e-12), d <= best * ratio + 1e-7
+
+    def cells(self, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, list, block, cell): every row in the cells (two blocks) of its lists' grids."""
+        r, c = np.nonzero(near)
+        g = self.blocks[c]
+        own = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
+        rep = np.repeat(np.arange(len(r)), g)
+        other = np.arange(len(rep)) - np.repeat(np.cumsum(g) - g, g)
+        cell = np.minimum(own[rep], other) * g[rep] + np.maximum(own[rep], other)
+        return r[rep], c[rep], own[rep], cell
 
 
 def tasks_of(spark, rows: float, row_bytes: int) -> int:
@@ -251,30 +234,31 @@ def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float =
                 part = b.slice(at, 2000)
                 ids = part.column("id").to_numpy()
                 m = to_matrix(part.column("x"), dim).astype(np.float32)
-                r, c, cell, posted, asks = index.cells(ids, *index.near(unit(m.astype(np.float64)), spread, reach))
+                ratio, near = index.distance(unit(m.astype(np.float64)), max(spread, reach))
+                r, c, own, cell = index.cells(ids, near)
+                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), own.astype(np.int32), ratio[r, c] <= spread, ratio[r, c] <= reach, ids[r])]
                 cells = pack(m)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(posted), pa.array(asks), pa.array(ids[r]), pa.array([cells[i] for i in r], pa.binary())],
-                    ["list", "cell", "posted", "asks", "id", "x"],
-                )
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "block", "posted", "asks", "id", "x"])
 
     def score(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        ids, own, posted, asks = (table.column(c).to_numpy() for c in ("id", "block", "posted", "asks"))
         u = unit(unpack(table.column("x").to_pylist(), dim).astype(np.float64))
         rough = u.astype(np.float32)
-        held, asking = (np.nonzero(table.column(c).to_numpy())[0] for c in ("posted", "asks"))
+        first = own == own.min()
+        a, b = np.nonzero(first)[0], np.arange(len(ids)) if first.all() else np.nonzero(~first)[0]
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for at in range(0, len(asking), 1000):
-            i, j, s = similar(u, rough, asking[at : at + 1000], held, least)
-            other = ids[i] != ids[j]
-            i, j, s = i[other], j[other], s[other]
-            top = _best(i, ids[j], s, k)
-            for a, v in zip(out, (ids[i[top]], ids[j[top]], s[top])):
-                a.append(v)
+        for at in range(0, len(a), 1000):
+            i, j, s = similar(u, rough, a[at : at + 1000], b, least)
+            for q, o in ((i, j),) if first.all() else ((i, j), (j, i)):
+                some = asks[q] & posted[o] & (ids[q] != ids[o])
+                q, o, v = q[some], o[some], s[some]
+                top = _best(q, ids[o], v, k)
+                for add, x_ in zip(out, (ids[q[top]], ids[o[top]], v[top])):
+                    add.append(x_)
         return pa.table(dict(zip(("query_no", "other_no", "similarity"), map(np.concatenate, out))))
 
-    posts = rows.select("id", "x").mapInArrow(post, "list int, cell int, posted boolean, asks boolean, id bigint, x binary")
-    posts = posts.repartition(tasks_of(spark, lists.rows, 40 + 2 * dim), "list", "cell")
+    posts = rows.select("id", "x").mapInArrow(post, "list int, cell int, block int, posted boolean, asks boolean, id bigint, x binary")
+    posts = posts.repartition(tasks_of(spark, lists.rows, 40 + dim), "list", "cell")
     found = write_shared(posts.groupBy("list", "cell").applyInArrow(score, "query_no bigint, other_no bigint, similarity double"), "found")
     heirs = spare.join(found.withColumnRenamed("query_no", "first"), "first").select(F.col("id").alias("query_no"), "other_no", "similarity")
     found = found.union(heirs).union(spare.select("id", "first", F.lit(1.0)))

@@ -146,11 +146,11 @@ def test_a_hot_list_is_cut_into_cells(spark):
     assert got == want
     lists = vectors.Lists.fit(vectors.unit(x), 1500, 5000, 100)
     ids = np.arange(1500)
-    r, c, cell, posted, asks = lists.cells(ids, *lists.near(vectors.unit(x), 1.05, 1.06))
-    assert max(np.bincount(cell)) <= 400 and posted.sum() == 1500 * lists.queries[0] and asks.sum() == 1500 * lists.postings[0]
-    # Every query meets every posting in exactly one cell.
-    met = sum((asks & (cell == k))[:, None].sum() * (posted & (cell == k)).sum() for k in range(cell.max() + 1))
-    assert met == 1500 * 1500
+    r, c, own, cell = lists.cells(ids, lists.distance(vectors.unit(x), 1.04)[1])
+    assert max(np.bincount(cell)) <= 250 and len(r) == 1500 * lists.blocks[0]
+    # Any two blocks meet in exactly one cell.
+    meet = [frozenset(own[cell == k]) for k in set(cell)]
+    assert len(meet) == len(set(meet)) == lists.blocks[0] * (lists.blocks[0] + 1) // 2
 
 
 def test_no_vector_at_all(spark):
