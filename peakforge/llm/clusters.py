@@ -43,48 +43,89 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(mean: np.ndarray, least: float) -> np.ndarray:
+    """Number of the part each row belongs to: rows joined by chains of similarities of at least ``least``, named after their first row; -1 for rows alone.
+
+    An average similarity is never above the best of its pairs, so clusters grow within a part only. Single precision is off by less than 1e-4.
+    """
+    rough, ends = mean.astype(np.float32), []
+    for at in range(0, len(mean), 1000):
+        i, j = np.nonzero(rough[at : at + 1000] @ rough[at:].T >= least - 1e-4)
+        ends.append(np.stack([at + i, at + j])[:, i < j])
+    i, j = np.concatenate(ends, axis=1)
+    part = np.arange(len(mean))
+    while len(i):
+        low = np.minimum(part[i], part[j])
+        if (part[i] == low).all() and (part[j] == low).all():
+            break
+        np.minimum.at(part, i, low)
+        np.minimum.at(part, j, low)
+        part = part[part]
+    alone = np.ones(len(mean), bool)
+    alone[i] = alone[j] = False
+    part[alone] = -1
+    return part
+
+
+def merge_stack(sim: np.ndarray, w: np.ndarray, may: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(root, other, best) of a stack of k matrices of m similarities, -2 on the diagonal: all mutual best pairs of rows that ``may`` merge, round by round.
+
+    A merged pair lives on as its earlier row. The average similarity to it is the weighted mean of the two, so matrices are updated, not recomputed.
+    """
+    k, m, _ = sim.shape
+    root, at, every = np.tile(np.arange(m), (k, 1)), np.arange(m)[None, :], np.arange(k)[:, None]
+    while True:
+        other = sim.argmax(axis=2)
+        best = np.take_along_axis(sim, other[:, :, None], axis=2)[:, :, 0]
+        hit = (np.take_along_axis(other, other, axis=1) == at) & (at < other) & (best >= least) & may & may[every, other]
+        z, a = np.nonzero(hit)
+        if not len(z):
+            break
+        b = other[z, a]
+        wa, wb = w[z, a][:, None], w[z, b][:, None]
+        sim[z, a] = (wa * sim[z, a] + wb * sim[z, b]) / (wa + wb)
+        sim[z, :, a] = (wa * sim[z, :, a] + wb * sim[z, :, b]) / (wa + wb)
+        sim[z, b], sim[z, :, b], sim[z, a, a] = -2.0, -2.0, -2.0
+        w[z, a] += w[z, b]
+        root[z, b] = a
+        while (np.take_along_axis(root, root, axis=1) != root).any():
+            root = np.take_along_axis(root, root, axis=1)
+    return root, np.where(best >= least, other, -1), best
+
+
 def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float, sole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(root, other, sim): position of the cluster each row ends in, and position and similarity of the best partner of each cluster left (-1: none).
 
-    Rows must be in ascending order of ``ids``; a merged pair lives on as its earlier row. All mutual best pairs of ``sole`` rows
-    (default: all) merge per round while they reach ``least``. The average similarity to a merged pair is the weighted
-    mean of the two, so the matrix is updated, not recomputed.
+    Rows must be in ascending order of ``ids``. All mutual best pairs of ``sole`` rows (default: all) merge per round while they reach
+    ``least``. Parts without similarities between them are worked on by themselves, small ones of like size in one stack.
     """
     root, other, found = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
-    may = np.ones(len(ids), bool) if sole is None else sole.copy()
-    # Single precision sets aside rows without any partner, nothing else.
-    rough, most = mean.astype(np.float32), [np.zeros(0)]
-    for at in range(0, len(ids), 1000):
-        sim = rough[at : at + 1000] @ rough.T
-        sim[np.arange(len(sim)), at + np.arange(len(sim))] = -2.0
-        most.append(sim.max(axis=1))
-    live = np.nonzero(np.concatenate(most) >= least - 1e-4)[0]
-    if not len(live):
-        return root, other, found
-    sim = _apart(ids[live], ids[live])
-    sim += mean[live] @ mean[live].T
-    np.fill_diagonal(sim, -2.0)
-    w = n[live].astype(float)
-    while True:
-        at = np.arange(len(live))
-        best = sim.argmax(axis=1)
-        near = sim[at, best] >= least
-        a = at[(best[best] == at) & (at < best) & near & may[live] & may[live[best]]]
-        if not len(a):
-            break
-        b = best[a]
-        wa, wb = w[a][:, None], w[b][:, None]
-        sim[a] = (wa * sim[a] + wb * sim[b]) / (wa + wb)
-        sim[:, a] = (sim[:, a] * wa.T + sim[:, b] * wb.T) / (wa + wb).T
-        w[a] += w[b]
-        root[live[b]] = live[a]
-        keep = np.ones(len(live), bool)
-        keep[b] = False
-        sim, w, live = sim[np.ix_(keep, keep)], w[keep], live[keep]
-        np.fill_diagonal(sim, -2.0)
-    other[live[near]], found[live[near]] = live[best[near]], sim[at, best][near]
-    while (root[root] != root).any():
-        root = root[root]
+    may = np.ones(len(ids), bool) if sole is None else sole
+    part = _parts(mean, least) if len(ids) else np.zeros(0, int)
+    order = np.argsort(part, kind="stable")[(part == -1).sum() :]
+    starts = np.nonzero(np.diff(part[order], prepend=-1))[0]
+    sizes = np.diff(np.append(starts, len(order)))
+    width = 2 ** np.ceil(np.log2(np.maximum(sizes, 2))).astype(int)
+    width[sizes > 64] = sizes[sizes > 64]
+    for m in np.unique(width):
+        mine = np.nonzero(width == m)[0]
+        step = max(1, 4_000_000 // m**2)
+        for at in range(0, len(mine), step):
+            some = mine[at : at + step]
+            spot = starts[some][:, None] + np.arange(m)[None, :]
+            real = np.arange(m)[None, :] < sizes[some][:, None]
+            rows = order[np.where(real, spot, starts[some][:, None])]
+            lots = _lots(ids[rows])
+            sim = lots[:, :, None] * lots[:, None, :]
+            sim -= np.floor(sim)
+            sim *= 1e-10
+            sim += mean[rows] @ mean[rows].transpose(0, 2, 1)
+            sim[~(real[:, :, None] & real[:, None, :])] = -2.0
+            sim[:, np.arange(m), np.arange(m)] = -2.0
+            to, near, best = merge_stack(sim, n[rows].astype(float), may[rows] & real, least)
+            root[rows[real]] = np.take_along_axis(rows, to, axis=1)[real]
+            hit = (near >= 0) & real
+            other[rows[hit]], found[rows[hit]] = np.take_along_axis(rows, np.maximum(near, 0), axis=1)[hit], best[hit]
     return root, other, found
 
 
@@ -129,13 +170,18 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
         else:
             # A cell of a list that is cut into blocks: partners are looked up, nothing merges here.
             root, other, sim = np.arange(len(ids)), np.full(len(ids), -1), np.full(len(ids), -2.0)
-            first = own == own.min()
+            first, rough = own == own.min(), mean.astype(np.float32)
             p, q = np.nonzero(first)[0], np.arange(len(ids)) if first.all() else np.nonzero(~first)[0]
             for at in range(0, len(p) if len(q) else 0, 1000):
                 i = p[at : at + 1000]
-                s = mean[i] @ mean[q].T + _apart(ids[i], ids[q])
-                s[ids[i][:, None] == ids[q][None, :]] = -2.0
-                for mine, theirs, m in ((i, q, s), (q, i, s.T))[: 1 if first.all() else 2]:
+                near = rough[i] @ rough[q].T >= least - 1e-4
+                near[ids[i][:, None] == ids[q][None, :]] = False
+                i, j = i[near.any(axis=1)], q[near.any(axis=0)]
+                if not len(i):
+                    continue
+                s = mean[i] @ mean[j].T + _apart(ids[i], ids[j])
+                s[ids[i][:, None] == ids[j][None, :]] = -2.0
+                for mine, theirs, m in ((i, j, s), (j, i, s.T))[: 1 if first.all() else 2]:
                     o = m.argmax(axis=1)
                     v = m[np.arange(len(mine)), o]
                     some = (v >= least) & (v > sim[mine])
