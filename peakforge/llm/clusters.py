@@ -13,6 +13,7 @@ search over all clusters that finds no pair. No pair merges that is best in a pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
     """
     spark = clusters.sparkSession
     sample, rows = sample_rows(clusters, "id", "x", dim)
-    lists = Lists.fit(sample, rows, list_rows if rows > 4 * list_rows else 4 * list_rows, block, seed, spread, spread)
+    lists = Lists.fit(sample, rows, list_rows if rows > min(block, 8 * list_rows) else block, block, seed, spread, spread)
     shared = spark.sparkContext.broadcast(vars(lists))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,23 +147,21 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
                 part = b.slice(at, 2000)
                 ids, n = part.column("id").to_numpy(), part.column("n").to_numpy()
                 m = to_matrix(part.column("x"), dim)
-                _, near = index.distance(unit(m), spread)
+                (near,) = index.within(unit(m), spread)
                 r, c, own, cell = index.cells(ids, near)
                 sole = (index.blocks[c] == 1) & (near.sum(axis=1) == 1)[r]
                 # One of a row's copies brings it into the next round.
                 home = np.zeros(len(r), bool)
                 home[np.unique(r, return_index=True)[1]] = True
-                cells = pack(m.astype(np.float32))
                 columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), own.astype(np.int32), index.blocks[c] == 1, sole, home, ids[r], n[r])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "block", "whole", "sole", "home", "id", "n", "x"])
+                yield pa.RecordBatch.from_arrays([*columns, pack(m.astype(np.float32)).take(pa.array(r))], ["list", "cell", "block", "whole", "sole", "home", "id", "n", "x"])
 
     def work(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         table = table.take(pa.array(np.argsort(ids, kind="stable")))
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
         own, whole, sole, home = (table.column(c).to_numpy() for c in ("block", "whole", "sole", "home"))
-        cells = table.column("x").to_pylist()
-        mean = unpack(cells, dim).astype(np.float64)
+        mean = unpack(table.column("x"), dim).astype(np.float64)
         single = (n == 1) | raw
         mean[single] = unit(mean[single])
         if whole.all():
@@ -188,22 +187,19 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
                     other[mine[some]], sim[mine[some]] = theirs[o[some]], v[some]
         top, total = root == np.arange(len(ids)), np.zeros(len(ids), np.int64)
         np.add.at(total, root, n)
-        grown = np.nonzero(top & ((total > n) | raw & (n > 1)))[0]
-        if len(grown):
-            order = np.argsort(root, kind="stable")
-            sums = np.add.reduceat(mean[order] * n[order][:, None], np.nonzero(np.diff(root[order], prepend=-1))[0])
-            heads = root[order][np.nonzero(np.diff(root[order], prepend=-1))[0]]
-            kept = np.searchsorted(heads, grown)
-            for i, c in zip(grown, pack((sums[kept] / total[grown][:, None]).astype(np.float32))):
-                cells[i] = c
         gone, left, some = np.nonzero(~top)[0], np.nonzero(top & home)[0], np.nonzero(other >= 0)[0]
+        grown = np.nonzero(np.isin(root, root[gone]))[0]
+        grown = grown[np.argsort(root[grown], kind="stable")]
+        heads, first = np.unique(root[grown], return_index=True)
+        if len(heads):
+            mean[heads] = np.add.reduceat(mean[grown] * n[grown][:, None], first) / total[heads][:, None]
         k, l_, m = len(gone), len(left), len(some)
         none = lambda size, kind: pa.nulls(size, kind)
         return pa.table({
             "id": pa.array(np.concatenate([ids[gone], ids[left], ids[some]])),
             "root": pa.concat_arrays([pa.array(ids[root[gone]]), none(l_ + m, pa.int64())]),
             "n": pa.concat_arrays([none(k, pa.int64()), pa.array(total[left]), none(m, pa.int64())]),
-            "x": pa.concat_arrays([none(k, pa.binary()), pa.array([cells[i] for i in left], pa.binary()), none(m, pa.binary())]),
+            "x": pa.concat_arrays([none(k, pa.binary()), pack(mean[left].astype(np.float32)), none(m, pa.binary())]),
             "other": pa.concat_arrays([none(k + l_, pa.int64()), pa.array(ids[other[some]])]),
             "sim": pa.concat_arrays([none(k + l_, pa.float64()), pa.array(sim[some])]),
         })
@@ -213,20 +209,21 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
     return posts.groupBy("list", "cell").applyInArrow(work, _ROUND)
 
 
-def _joined(pairs: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
-    """Clusters of the merged pairs (id, other), the id being the smaller."""
-    both = pairs.join(clusters, "id").join(clusters.select(F.col("id").alias("other"), F.col("n").alias("n2"), F.col("x").alias("x2")), "other")
+def _merged(members: DataFrame, dim: int) -> DataFrame:
+    """Clusters (id, n, x) made of the two rows (to, n, x) of each ``to``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 n, n2 = b.column("n").to_numpy(), b.column("n2").to_numpy()
-                x, x2 = (unpack(b.column(c).to_pylist(), dim).astype(np.float64) for c in ("x", "x2"))
+                x, x2 = (unpack(b.column(c), dim).astype(np.float64) for c in ("x", "x2"))
                 x[n == 1], x2[n2 == 1] = unit(x[n == 1]), unit(x2[n2 == 1])
                 mean = (x * n[:, None] + x2 * n2[:, None]) / (n + n2)[:, None]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n + n2), pa.array(pack(mean.astype(np.float32)), pa.binary())], ["id", "n", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n + n2), pack(mean.astype(np.float32))], ["id", "n", "x"])
 
-    return both.select("id", "n", "x", "n2", "x2").mapInArrow(add, "id bigint, n bigint, x binary")
+    two = members.groupBy("to").agg(F.collect_list(F.struct("n", "x")).alias("v"))
+    a, b = F.get("v", F.lit(0)), F.get("v", F.lit(1))
+    return two.select(F.col("to").alias("id"), a["n"].alias("n"), a["x"].alias("x"), b["n"].alias("n2"), b["x"].alias("x2")).mapInArrow(add, "id bigint, n bigint, x binary")
 
 
 def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_rows: int = LIST_ROWS, block: int = BLOCK, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +237,7 @@ def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_ro
     firsts, spare, groups = set_aside(rows, 1)
     counted = groups.select(F.col("first").alias("id"), F.col("n").alias("m"))
     active = firsts.join(fitting(counted), "id", "left").select("id", F.coalesce("m", F.lit(1)).cast("bigint").alias("n"), "x")
-    gone, resting, seed, whole, old = None, [], 0, True, []
+    gone, resting, read, seed, whole = None, [], [], 0, True
     while True:
         seed += 1
         turn = write_shared(_round(active, dim, seed == 1, seed, list_rows, block, least, spread), "round")
@@ -252,32 +249,28 @@ def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_ro
         local = turn.where("root is not null").select("id", "root")
         left = turn.where("x is not null").select("id", "n", "x")
         met = pairs.select(F.col("other").alias("root"), F.col("id").alias("to"))
-        step = local.join(met, "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(met.select(F.col("root").alias("id"), F.col("to").alias("root")))
+        step = local.join(fitting(met), "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(met.select(F.col("root").alias("id"), F.col("to").alias("root")))
         if gone is not None:
             on = step.select(F.col("id").alias("root"), F.col("root").alias("to"))
             step = step.union(gone.join(on, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        old = [t for t in (gone,) if t is not None]
-        gone = write_shared(step, "gone")
-        for t in old:
-            drop_shared(t)
+        was, gone = gone, write_shared(step, "gone")
         ended = pairs.isEmpty()
         if whole and ended and local.isEmpty():
             break
-        partner = left.join(best.select("id"), "id", "left_semi")
-        rest = write_shared(left.join(best.select("id"), "id", "left_anti"), "rest")
-        merged = pairs.select(F.explode(F.array("id", "other")).alias("id"))
-        now = write_shared(partner.join(merged, "id", "left_anti").union(_joined(pairs, partner, dim)), "active")
-        for t in (turn, best, pairs, *([] if seed == 1 else [active])):
+        # Clusters that have a partner go on, merged with it where the choice is mutual; the others rest.
+        target = write_shared(best.select("id").join(pairs.select(F.explode(F.array("id", "other")).alias("id"), F.col("id").alias("to")), "id", "left"), "targets")
+        merged = write_shared(_merged(left.join(fitting(target.where("to is not null")), "id"), dim), "merged")
+        for t in (best, pairs, *[t for t in (was,) if t is not None]):
             drop_shared(t)
-        resting.append(rest)
+        now = left.join(fitting(target.where("to is null").select("id")), "id", "left_semi").union(merged)
+        resting.append(left.join(fitting(target.select("id")), "id", "left_anti"))
+        read += [turn, target, merged]
         whole = ended or now.isEmpty()
         if whole:  # nothing merges any more among these: all clusters are searched again
-            for r in resting:
-                now = now.union(r)
-            now, parts = write_shared(now, "all"), [now, *resting]
-            for r in resting:
-                drop_shared(r)
-            resting = []
+            now = write_shared(reduce(DataFrame.union, [now, *resting]), "all")
+            for t in read:
+                drop_shared(t)
+            read, resting = [now], []
         active = now
     member = rows.select("id").join(spare, "id", "left").select("id", F.coalesce("first", "id").alias("root"))
     last = gone.select(F.col("id").alias("root"), F.col("root").alias("to"))
@@ -294,7 +287,7 @@ def typical(vectors: DataFrame, key: str, x: str, member: DataFrame, means: Data
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                flat = unpack(b.column("x").to_pylist(), dim)
+                flat = unpack(b.column("x"), dim)
                 one = b.column("n").to_numpy() == 1
                 flat[one] = unit(flat[one].astype(np.float64))
                 lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, dim, dtype=np.int32), pa.array(flat.ravel()))

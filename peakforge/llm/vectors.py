@@ -4,7 +4,7 @@ A bounded sample gives the centroids: sampled vectors, moved twice to the mean o
 as many lists as they need. The centroids lie in memory as a graph, whose pivots lead to their nearest centroids. A vector
 is posted to its nearest list and to every list whose distance is within ``spread`` of that; a query reads all lists
 within ``reach`` of its nearest one, however many. A list is worked off as a grid: it is cut into blocks of bounded size, and
-any two blocks meet in one cell. Vectors travel compressed without loss. All vectors are indexed, all are queries.
+any two blocks meet in one cell. Vectors travel packed without loss. All vectors are indexed, all are queries.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
     if len(column) == 0:
         return np.zeros((0, dim))
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        return unpack(column.to_pylist(), dim).astype(np.float64)
+        return unpack(column, dim).astype(np.float64)
     flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
     if len(flat) == dim * len(column):
         sizes = np.diff(column.offsets.to_numpy())
@@ -51,24 +51,44 @@ def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def pack(m: np.ndarray) -> list[bytes]:
-    """Rows of a float32 matrix without loss: which numbers aren't 0, then those numbers byte plane by byte plane, compressed."""
-    codec, some = pa.Codec("zstd", 1), m != 0
-    marks = np.packbits(some, axis=1)
-    return [np.uint32(4 * k.sum()).tobytes() + b.tobytes() + codec.compress(r[k].view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) for r, k, b in zip(m, some, marks)]
-
-
-def unpack(cells: list[bytes], dim: int) -> np.ndarray:
+def pack(m: np.ndarray) -> pa.Array:
+    """Rows of a float32 matrix without loss as binary: which numbers aren't 0, then the bytes of those numbers plane by plane, which shuffles and tables compress."""
+    some, dim = m != 0, m.shape[1]
+    head, k = -(-dim // 8), some.sum(axis=1)
+    size = head + 4 * k
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(start[-1], np.uint8)
+    out[(start[:-1, None] + np.arange(head)).ravel()] = np.packbits(some, axis=1).ravel()
+    numbers = np.ascontiguousarray(m[some]).view(np.uint8).reshape(-1, 4)
+    at = np.repeat(start[:-1] + head - (np.cumsum(k) - k), k) + np.arange(len(numbers))
+    step = np.repeat(k, k)
+    for i in range(4):
+        out[at] = numbers[:, 3 - i]
+        at += step
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(cells: pa.Array, dim: int) -> np.ndarray:
     """The float32 matrix behind cells of ``pack``."""
-    codec, width = pa.Codec("zstd"), 4 + -(-dim // 8)
+    if isinstance(cells, pa.ChunkedArray):
+        cells = pa.concat_arrays(cells.chunks) if cells.num_chunks else pa.array([], pa.binary())
     out = np.zeros((len(cells), dim), np.float32)
-    if not cells:
+    if not len(cells):
         return out
-    heads = np.frombuffer(b"".join(c[:width] for c in cells), np.uint8).reshape(-1, width)
-    some = np.unpackbits(heads[:, 4:], axis=1, count=dim).astype(bool)
-    sizes = heads[:, :4].copy().view(np.uint32)[:, 0].tolist()
-    planes = [np.frombuffer(codec.decompress(c[width:], n, asbytes=True), np.uint8).reshape(4, -1) for c, n in zip(cells, sizes)]
-    out[some] = np.concatenate(planes, axis=1).T.copy().view(np.float32)[:, 0]
+    if cells.offset or not pa.types.is_binary(cells.type):
+        cells = pa.concat_arrays([cells.cast(pa.binary()), pa.array([], pa.binary())])
+    start = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2], np.uint8)
+    head = -(-dim // 8)
+    some = np.unpackbits(data[start[:-1, None] + np.arange(head)], axis=1, count=dim).astype(bool)
+    k = some.sum(axis=1)
+    numbers = np.empty((k.sum(), 4), np.uint8)
+    at = np.repeat(start[:-1] + head - (np.cumsum(k) - k), k) + np.arange(len(numbers))
+    step = np.repeat(k, k)
+    for i in range(4):
+        numbers[:, 3 - i] = data[at]
+        at += step
+    out[some] = numbers.view(np.float32)[:, 0]
     return out
 
 
@@ -78,7 +98,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _distance(sims: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
+    """Distances of unit vectors, in the place of their similarities."""
+    sims *= -2
+    sims += 2
+    np.maximum(sims, 0, out=sims)
+    return np.sqrt(sims, out=sims)
 
 
 @dataclass
@@ -113,7 +137,7 @@ class Lists:
         out = cls(c, pivots, links, np.ones(len(c), int), 0.0)
         held = np.zeros(len(c))
         for i in steps:
-            held += (out.distance(sample[i : i + 2000], max(spread, reach))[1]).sum(axis=0)
+            held += out.within(sample[i : i + 2000], max(spread, reach))[0].sum(axis=0)
         held *= rows / max(1, len(sample))
         out.blocks = np.maximum(1, np.ceil(held / block)).astype(int)
         out.rows = float((held * out.blocks).sum())
@@ -132,11 +156,11 @@ class Lists:
             sims[np.ix_(rows, self.links[p])] = x[rows] @ self.centroids[self.links[p]].T
         return sims
 
-    def distance(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(multiple of the distance to the nearest list, whether it is at most ``ratio``) of each row and list."""
+    def within(self, x: np.ndarray, *ratios: float) -> list[np.ndarray]:
+        """For each ratio, which lists are at most that multiple of the nearest list's distance away from each row."""
         d = _distance(self.search(x))
         best = d.min(axis=1, keepdims=True)
-        return (d - 1e-7) / np.maximum(best, 1e-12), d <= best * ratio + 1e-7
+        return [d <= best * np.float32(r) + np.float32(1e-7) for r in ratios]
 
     def cells(self, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, list, block, cell): every row in the cells (two blocks) of its lists' grids."""
@@ -234,15 +258,14 @@ def neighbours(vectors: DataFrame, key: str, x: str, k: int = 5, least: float =
                 part = b.slice(at, 2000)
                 ids = part.column("id").to_numpy()
                 m = to_matrix(part.column("x"), dim).astype(np.float32)
-                ratio, near = index.distance(unit(m.astype(np.float64)), max(spread, reach))
-                r, c, own, cell = index.cells(ids, near)
-                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), own.astype(np.int32), ratio[r, c] <= spread, ratio[r, c] <= reach, ids[r])]
-                cells = pack(m)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([cells[i] for i in r], pa.binary())], ["list", "cell", "block", "posted", "asks", "id", "x"])
+                posted, asks = index.within(unit(m), spread, reach)
+                r, c, own, cell = index.cells(ids, posted | asks)
+                columns = [pa.array(v) for v in (c.astype(np.int32), cell.astype(np.int32), own.astype(np.int32), posted[r, c], asks[r, c], ids[r])]
+                yield pa.RecordBatch.from_arrays([*columns, pack(m).take(pa.array(r))], ["list", "cell", "block", "posted", "asks", "id", "x"])
 
     def score(table: pa.Table) -> pa.Table:
         ids, own, posted, asks = (table.column(c).to_numpy() for c in ("id", "block", "posted", "asks"))
-        u = unit(unpack(table.column("x").to_pylist(), dim).astype(np.float64))
+        u = unit(unpack(table.column("x"), dim).astype(np.float64))
         rough = u.astype(np.float32)
         first = own == own.min()
         a, b = np.nonzero(first)[0], np.arange(len(ids)) if first.all() else np.nonzero(~first)[0]

@@ -69,7 +69,7 @@ def test_packed_vectors_lose_nothing():
     x[5] = 0
     x[6, :3] = [-1.5, 3.4e38, 1e-42]
     assert (vectors.unpack(vectors.pack(x), 61) == x).all()
-    assert vectors.unpack([], 61).shape == (0, 61)
+    assert vectors.unpack(vectors.pack(x[:0]), 61).shape == (0, 61)
 
 
 def test_all_lists_within_reach_are_read(spark):
@@ -146,7 +146,7 @@ def test_a_hot_list_is_cut_into_cells(spark):
     assert got == want
     lists = vectors.Lists.fit(vectors.unit(x), 1500, 5000, 100)
     ids = np.arange(1500)
-    r, c, own, cell = lists.cells(ids, lists.distance(vectors.unit(x), 1.04)[1])
+    r, c, own, cell = lists.cells(ids, lists.within(vectors.unit(x), 1.04)[0])
     assert max(np.bincount(cell)) <= 250 and len(r) == 1500 * lists.blocks[0]
     # Any two blocks meet in exactly one cell.
     meet = [frozenset(own[cell == k]) for k in set(cell)]
