@@ -60,9 +60,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def fitting(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged for the planner to shuffle.
+def fitting(df: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if the files behind it take at most ``most`` bytes, else unchanged for the planner to shuffle.
 
-    The rows are counted, so ``df`` should be a written table.
+    ``df`` should be a table made by :func:`write_shared`, or part of its rows or columns.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    spark = df.sparkSession
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for file in df.inputFiles():
+        path = fs.Path(file)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+        if size > most:
+            return df
+    return F.broadcast(df)
