@@ -130,13 +130,14 @@ def merge_block(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: float,
     return root, other, found
 
 
-def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int, block: int, least: float, spread: float) -> DataFrame:
+def _round(clusters: DataFrame, dim: int, most: int | None, seed: int, list_rows: int, block: int, least: float, spread: float) -> tuple[DataFrame, int]:
     """One row (id, root) per merged cluster, one (id, n, x) per cluster left, one (id, other, sim) per list in which a cluster left has a partner.
 
-    If ``raw``, x is the vector itself, of any length, of n equal rows.
+    ``most`` is a number the clusters don't exceed; with it comes about how many they are. In the first round it is unknown, and x
+    is the vector itself, of any length, of n equal rows.
     """
-    spark = clusters.sparkSession
-    sample, rows = sample_rows(clusters, "id", "x", dim)
+    spark, raw = clusters.sparkSession, most is None
+    sample, rows = sample_rows(clusters, "id", "x", dim, most)
     lists = Lists.fit(sample, rows, list_rows if rows > min(block, 8 * list_rows) else block, block, seed, spread, spread)
     shared = spark.sparkContext.broadcast(vars(lists))
 
@@ -206,7 +207,7 @@ def _round(clusters: DataFrame, dim: int, raw: bool, seed: int, list_rows: int,
 
     posts = clusters.select("id", "n", "x").mapInArrow(post, "list int, cell int, block int, whole boolean, sole boolean, home boolean, id bigint, n bigint, x binary")
     posts = posts.repartition(tasks_of(spark, lists.rows, 60 + dim), "list", "cell")
-    return posts.groupBy("list", "cell").applyInArrow(work, _ROUND)
+    return posts.groupBy("list", "cell").applyInArrow(work, _ROUND), rows
 
 
 def _merged(members: DataFrame, dim: int) -> DataFrame:
@@ -237,44 +238,44 @@ def clusters(vectors: DataFrame, key: str, x: str, least: float = LEAST, list_ro
     firsts, spare, groups = set_aside(rows, 1)
     counted = groups.select(F.col("first").alias("id"), F.col("n").alias("m"))
     active = firsts.join(fitting(counted), "id", "left").select("id", F.coalesce("m", F.lit(1)).cast("bigint").alias("n"), "x")
-    gone, resting, read, seed, whole = None, [], [], 0, True
+    steps, resting, read, seed, whole, most, total = [], [], [], 0, True, None, 0
     while True:
         seed += 1
-        turn = write_shared(_round(active, dim, seed == 1, seed, list_rows, block, least, spread), "round")
+        plan, most = _round(active, dim, most, seed, list_rows, block, least, spread)
+        total = total or most
+        turn = write_shared(plan, "round")
         release(vectors.sparkSession)
         best = turn.where("other is not null").groupBy("id").agg(F.max_by("other", F.struct("sim", -F.col("other"))).alias("other"))
         best = write_shared(best, "best")
-        back = best.select(F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = write_shared(best.join(back, ["id", "other"]).where("id < other"), "pairs")
+        # Clusters that have a partner go on, merged with it where the choice is mutual; the others rest.
+        back = best.select(F.col("id").alias("other"), F.col("other").alias("back"))
+        target = best.join(fitting(back), "other", "left").select("id", F.when(F.col("back") == F.col("id"), F.least("id", "other")).alias("to"))
+        target = write_shared(target, "targets")
+        drop_shared(best)
+        met = target.where("to < id").select(F.col("id").alias("root"), "to")
         local = turn.where("root is not null").select("id", "root")
+        step = local.join(fitting(met), "root", "left").select(F.col("id").alias("from"), F.coalesce("to", "root").alias("to")).union(met.select(F.col("root").alias("from"), "to"))
+        step = write_shared(step, "step")
+        ended, still = met.isEmpty(), step.isEmpty()
         left = turn.where("x is not null").select("id", "n", "x")
-        met = pairs.select(F.col("other").alias("root"), F.col("id").alias("to"))
-        step = local.join(fitting(met), "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(met.select(F.col("root").alias("id"), F.col("to").alias("root")))
-        if gone is not None:
-            on = step.select(F.col("id").alias("root"), F.col("root").alias("to"))
-            step = step.union(gone.join(on, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        was, gone = gone, write_shared(step, "gone")
-        ended = pairs.isEmpty()
-        if whole and ended and local.isEmpty():
+        if whole and still:
             break
-        # Clusters that have a partner go on, merged with it where the choice is mutual; the others rest.
-        target = write_shared(best.select("id").join(pairs.select(F.explode(F.array("id", "other")).alias("id"), F.col("id").alias("to")), "id", "left"), "targets")
+        steps.append(step)
         merged = write_shared(_merged(left.join(fitting(target.where("to is not null")), "id"), dim), "merged")
-        for t in (best, pairs, *[t for t in (was,) if t is not None]):
-            drop_shared(t)
         now = left.join(fitting(target.where("to is null").select("id")), "id", "left_semi").union(merged)
         resting.append(left.join(fitting(target.select("id")), "id", "left_anti"))
         read += [turn, target, merged]
-        whole = ended or now.isEmpty()
-        if whole:  # nothing merges any more among these: all clusters are searched again
-            now = write_shared(reduce(DataFrame.union, [now, *resting]), "all")
+        whole = ended or (whole and seed > 1)
+        if whole:  # nothing merges any more among these, or little did among all: all clusters are searched again
+            now, most = write_shared(reduce(DataFrame.union, [now, *resting]), "all"), total
             for t in read:
                 drop_shared(t)
             read, resting = [now], []
         active = now
-    member = rows.select("id").join(spare, "id", "left").select("id", F.coalesce("first", "id").alias("root"))
-    last = gone.select(F.col("id").alias("root"), F.col("root").alias("to"))
-    return member.join(last, "root", "left").select("id", F.coalesce("to", "root").alias("cluster_no")), left
+    member = rows.select("id").join(fitting(spare), "id", "left").select("id", F.coalesce("first", "id").alias("root"))
+    for step in steps:
+        member = member.join(fitting(step), F.col("root") == F.col("from"), "left").select("id", F.coalesce("to", "root").alias("root"))
+    return member.select("id", F.col("root").alias("cluster_no")), left
 
 
 def typical(vectors: DataFrame, key: str, x: str, member: DataFrame, means: DataFrame, most: int = 3) -> DataFrame:

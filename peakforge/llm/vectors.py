@@ -178,13 +178,18 @@ def tasks_of(spark, rows: float, row_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * row_bytes / TASK_BYTES) + 1)
 
 
-def sample_rows(vectors: DataFrame, key: str, x: str, dim: int, most: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """(unit sample, number of rows): rows chosen by a hash of the key, about ``most`` at most."""
-    n = vectors.count()
-    part = vectors.select(key, x)
-    if n > most:
-        part = part.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return unit(to_matrix(part.select(x).toArrow().column(0), dim)), n
+def sample_rows(vectors: DataFrame, key: str, x: str, dim: int, n: int | None = None, most: int = SAMPLE) -> tuple[np.ndarray, int]:
+    """(unit sample, number of rows): rows chosen by a hash of the key, about ``most`` at most.
+
+    Rows are counted, unless ``n``, a number they don't exceed, is given; then the sample tells how many they are about.
+    """
+    limit, counted = (vectors.count(), True) if n is None else (n, False)
+    part, share = vectors.select(key, x), 1.0
+    if limit > most:
+        share = int(1_000_000 * most / limit) / 1_000_000
+        part = part.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * share))
+    sample = unit(to_matrix(part.select(x).toArrow().column(0), dim))
+    return sample, limit if counted else min(limit, -int(-len(sample) // share))
 
 
 def usable(vectors: DataFrame, key: str, x: str) -> tuple[DataFrame, int]:
