@@ -27,7 +27,14 @@ DRUG_REMARKS = ["iv", "im", "sc", "po", "oral", "orally", "high", "low", "dose",
 #: all letters are the same (two swaps), else PART_EDITS.
 FULL_EDITS, PART_EDITS = 4, 3
 #: An abbreviated genus has at most so many letters; shorter words than LEAST can't be names.
-ABBREVIATED, LEAST = 4, 5
+ABBREVIATED, LEAST = 4, 3
+#: A word written alone may be genus and epithet in one from so many letters on.
+JOINED = 6
+
+
+def allowed(size: Column) -> Column:
+    """Edits that a word of so many letters allows at most: short words must be right."""
+    return F.when(size < 5, 0).when(size == 5, 1).otherwise(FULL_EDITS)
 
 
 def _letters(word: Column) -> Column:
@@ -42,32 +49,32 @@ def _tokens(text: Column, remarks: list[str]) -> Column:
 
 
 def species_forms(value: Column) -> Column:
-    """array<struct<form, head, kind>>: readings of a typed organism.
+    """array<struct<form, head, tail, kind>>: readings of a typed organism.
 
-    ``full``: two neighbouring words in either order, or one long word, written together; ``part``: a word behind an
-    abbreviated genus, which is the head. A genus alone has no reading.
+    ``full``: two neighbouring words in either order (genus first in head and tail), or one long word, written together (head and
+    tail null); ``part``: a word behind an abbreviated genus, which is the head.
     """
     t = _tokens(value, SPECIES_REMARKS)
     spots = F.when(F.size(t) > 1, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(spots, lambda i: F.struct(F.get(t, i).alias("a"), F.get(t, i + 1).alias("b")))
 
-    def form(text: Column, head: Column, kind: str) -> Column:
-        return F.struct(text.alias("form"), head.alias("head"), F.lit(kind).alias("kind"))
+    def form(text: Column, head: Column, tail: Column, kind: str) -> Column:
+        return F.struct(text.alias("form"), head.alias("head"), tail.alias("tail"), F.lit(kind).alias("kind"))
 
     whole = F.filter(pairs, lambda p: (F.length(p["a"]) >= LEAST) & (F.length(p["b"]) >= LEAST))
     short = F.filter(pairs, lambda p: (F.length(p["a"]) <= ABBREVIATED) & (F.length(p["b"]) >= LEAST))
-    long = F.filter(t, lambda w: F.length(w) >= 2 * LEAST)
-    none = F.lit("")
+    long = F.filter(t, lambda w: F.length(w) >= JOINED)
+    none = F.lit(None).cast("string")
     return F.concat(
-        F.transform(whole, lambda p: form(F.concat(p["a"], p["b"]), none, "full")),
-        F.transform(whole, lambda p: form(F.concat(p["b"], p["a"]), none, "full")),
-        F.transform(long, lambda w: form(w, none, "full")),
-        F.transform(short, lambda p: form(p["b"], p["a"], "part")),
+        F.transform(whole, lambda p: form(F.concat(p["a"], p["b"]), p["a"], p["b"], "full")),
+        F.transform(whole, lambda p: form(F.concat(p["b"], p["a"]), p["b"], p["a"], "full")),
+        F.transform(long, lambda w: form(w, none, none, "full")),
+        F.transform(short, lambda p: form(p["b"], p["a"], p["b"], "part")),
     )
 
 
 def drug_forms(value: Column) -> Column:
-    """array<struct<form, head, kind>>: the one reading of a typed drug.
+    """array<struct<form, head, tail, kind>>: the one reading of a typed drug.
 
     What stands in brackets behind a name, footnote figures, routes and doses are dropped. All words left over are
     written together, so that a drug with an unknown partner can't pass for the drug alone.
@@ -75,21 +82,20 @@ def drug_forms(value: Column) -> Column:
     bare = F.when(value.rlike(r"^\s*[\(\[].*[\)\]]\s*$"), value).otherwise(F.regexp_replace(value, r"[\(\[][^\)\]]*[\)\]]?", " "))
     bare = F.regexp_replace(bare, r"(?<=[A-Za-z])[0-9]+(?:,[0-9]+)*(?![A-Za-z0-9])|\b[A-Za-z]\.(?:[A-Za-z]\.)*", " ")
     t = F.filter(_tokens(bare, DRUG_REMARKS), lambda w: F.length(w) > 1)
-    one = F.struct(F.array_join(t, "").alias("form"), F.lit("").alias("head"), F.lit("full").alias("kind"))
-    return F.when(F.size(t) > 0, F.array(one)).otherwise(F.array().cast("array<struct<form:string,head:string,kind:string>>"))
+    one = F.struct(F.array_join(t, "").alias("form"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"), F.lit("full").alias("kind"))
+    return F.when(F.size(t) > 0, F.array(one)).otherwise(F.array().cast("array<struct<form:string,head:string,tail:string,kind:string>>"))
 
 
 def pigeonhole_join(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """(form, kind, ref_form, edits): all pairs of equal kind within the reference string's ``k`` edits.
+    """(form, kind, ref_form, edits): all pairs of equal kind within the reference string's ``k`` edits, at most one less than it has letters.
 
     ``values`` has form and kind, ``reference`` ref_form, kind and k. Both are made distinct first. A string that two
     segments find is verified once. The lengths of segments are the only thing brought to the driver: at most as many
     numbers as the longest reference string has letters.
     """
-    reference = reference.select("ref_form", "kind", "k").distinct()
-    size = F.length("ref_form")
+    reference = reference.where("ref_form <> ''").select("ref_form", "kind", F.least("k", F.length("ref_form") - 1).alias("k")).distinct()
     cut = F.expr("transform(sequence(0, k), i -> named_struct('at', CAST(floor(i * length(ref_form) / (k + 1)) AS INT), 'to', CAST(floor((i + 1) * length(ref_form) / (k + 1)) AS INT)))")
-    segments = reference.where(size > F.col("k")).select("ref_form", "kind", "k", F.explode(cut).alias("s"))
+    segments = reference.select("ref_form", "kind", "k", F.explode(cut).alias("s"))
     segments = segments.select("ref_form", "kind", "k", "s.at", F.expr("substring(ref_form, s.at + 1, s.to - s.at)").alias("segment"))
     lengths = sorted(r[0] for r in segments.select(F.length("segment")).distinct().collect())
     if not lengths:
@@ -112,22 +118,24 @@ def pigeonhole_join(values: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def species_reference(species_ref: DataFrame) -> DataFrame:
-    """(ref_no, ref_form, ref_head, kind, k, plain) for names and former names; nulls name nothing."""
+    """(ref_no, ref_form, ref_head, ref_tail, kind, k, plain) for names and former names; nulls name nothing."""
     names = species_ref.select(F.col("species_no").cast("bigint").alias("ref_no"), F.explode(F.array("species", "former_name")).alias("name")).where("name is not null")
     t = _tokens(F.col("name"), [])
     names = names.select("ref_no", F.get(t, F.lit(0)).alias("head"), F.array_join(F.slice(t, 2, 99), "").alias("tail"))
-    full = names.select("ref_no", F.concat("head", "tail").alias("ref_form"), "head", F.lit("full").alias("kind"), F.lit(FULL_EDITS).alias("k"), F.lit(FULL_EDITS).alias("plain"))
-    part = names.where("tail <> ''").select("ref_no", F.col("tail").alias("ref_form"), "head", F.lit("part").alias("kind"), F.lit(FULL_EDITS).alias("k"), F.lit(PART_EDITS).alias("plain"))
-    return full.union(part).withColumnRenamed("head", "ref_head")
+    edits = allowed(F.length("tail"))
+    full = names.select("ref_no", F.concat("head", "tail").alias("ref_form"), "head", "tail", F.lit("full").alias("kind"), F.lit(FULL_EDITS).alias("k"), F.lit(FULL_EDITS).alias("plain"))
+    part = names.where("tail <> ''").select("ref_no", F.col("tail").alias("ref_form"), "head", "tail", F.lit("part").alias("kind"), edits.alias("k"), F.least(edits, F.lit(PART_EDITS)).alias("plain"))
+    return full.union(part).withColumnRenamed("head", "ref_head").withColumnRenamed("tail", "ref_tail")
 
 
 def drug_reference(drug_ref: DataFrame) -> DataFrame:
-    """(ref_no, ref_form, ref_head, kind, k, plain): names by their letters; codes allow no edit."""
+    """(ref_no, ref_form, ref_head, ref_tail, kind, k, plain): names by their letters; codes allow no edit."""
     both = drug_ref.select(F.col("drug_no").cast("bigint").alias("ref_no"), "drug", "drug_code")
     names = both.where("drug is not null").select("ref_no", F.array_join(_tokens(F.col("drug"), []), "").alias("ref_form"))
-    names = names.withColumn("k", F.lit(FULL_EDITS)).withColumn("plain", F.when(F.length("ref_form") >= 14, F.lit(FULL_EDITS)).otherwise(F.lit(PART_EDITS)))
+    size = F.length("ref_form")
+    names = names.withColumn("k", allowed(size)).withColumn("plain", F.least(allowed(size), F.when(size >= 14, FULL_EDITS).otherwise(PART_EDITS)))
     codes = both.where("drug_code is not null").select("ref_no", F.array_join(_tokens(F.col("drug_code"), []), "").alias("ref_form"), F.lit(0).alias("k"), F.lit(0).alias("plain"))
-    return names.union(codes).select("ref_no", "ref_form", F.lit("").alias("ref_head"), F.lit("full").alias("kind"), "k", "plain")
+    return names.union(codes).select("ref_no", "ref_form", F.lit("").alias("ref_head"), F.lit("").alias("ref_tail"), F.lit("full").alias("kind"), "k", "plain")
 
 
 def map_values(values: DataFrame, reference: DataFrame, forms) -> DataFrame:
@@ -139,12 +147,16 @@ def map_values(values: DataFrame, reference: DataFrame, forms) -> DataFrame:
     """
     values = write_shared(values.where("value is not null").select("value").distinct(), "values")
     reference = write_shared(reference, "reference")
-    read = write_shared(values.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", "f.head", "f.kind").distinct(), "readings")
+    read = write_shared(values.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", "f.head", "f.tail", "f.kind").distinct(), "readings")
     near = pigeonhole_join(read, reference)
-    hit = read.join(near, ["form", "kind"]).join(reference.select("ref_no", "ref_form", "ref_head", "kind", "plain"), ["ref_form", "kind"])
+    hit = read.join(near, ["form", "kind"]).join(reference.select("ref_no", "ref_form", "ref_head", "ref_tail", "kind", "plain"), ["ref_form", "kind"])
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     hit = hit.where((F.col("edits") <= F.col("plain")) | (letters("form") == letters("ref_form")))
-    hit = hit.where((F.col("kind") == "full") | F.startswith("ref_head", "head"))
+    # A word alone may be genus and epithet in one, but not if it is as near to the genus alone; of two words each must be near its own.
+    near_word = lambda a, b: F.levenshtein(a, b) <= allowed(F.least(F.length(a), F.length(b)))
+    joined = F.col("head").isNull() & ((F.col("ref_head") == "") | (F.col("edits") < F.levenshtein("form", "ref_head")))
+    two = F.col("head").isNotNull() & (F.col("edits") == 0) | (near_word("head", "ref_head") & near_word("tail", "ref_tail"))
+    hit = hit.where(F.when(F.col("kind") == "full", joined | F.coalesce(two, F.lit(False))).otherwise(F.startswith("ref_head", "head")))
     rank = F.min(F.struct(F.when(F.col("kind") == "full", 0).otherwise(1).alias("kind"), "edits"))
     hit = write_shared(hit.groupBy("value", "ref_no").agg(rank.alias("rank")), "hits")
     best = hit.groupBy("value").agg(F.min("rank").alias("rank"))

@@ -16,8 +16,8 @@ R = Registry()
 # 4: mapping free-entered values
 
 
-def _typed(spark, d):
-    """field, row_no, ref_no of all three fields; the species of both tables are mapped together."""
+def _fields(spark, d):
+    """(field, rows (row_no, value), valid values, mapping (value, ref_no)) of all three fields; the species of both tables are mapped together."""
     meta = table(spark, d, "metadata", "row_no", "species").withColumnRenamed("species", "value")
     limits = table(spark, d, "breakpoint_table", "row_no", "species", "drug")
     species, drugs = table(spark, d, "species_ref"), table(spark, d, "drug_ref")
@@ -25,26 +25,23 @@ def _typed(spark, d):
     drug = limits.select("row_no", F.col("drug").alias("value"))
     organisms = canonical.species_of(meta.select("value").union(typed.select("value")), species)
     names, valid = species.select(F.col("species").alias("value")), drugs.select(F.col("drug").alias("value"))
-    parts = [
-        ("metadata.species", canonical.map_rows(meta, names, organisms)),
-        ("breakpoint_table.species", canonical.map_rows(typed, names, organisms)),
-        ("breakpoint_table.drug", canonical.map_rows(drug, valid, canonical.drug_of(drug, drugs))),
-    ]
-    a, b, c = (df.select(F.lit(field).alias("field"), "row_no", "ref_no") for field, df in parts)
-    return a.union(b).union(c)
+    return [("metadata.species", meta, names, organisms), ("breakpoint_table.species", typed, names, organisms), ("breakpoint_table.drug", drug, valid, canonical.drug_of(drug, drugs))]
 
 
 @R.add("p4_found")
 def p4_found(spark, d):
-    return _typed(spark, d)
+    a, b, c = (canonical.map_rows(rows, valid, mapping).select(F.lit(field).alias("field"), "row_no", "ref_no") for field, rows, valid, mapping in _fields(spark, d))
+    return a.union(b).union(c)
 
 
 @R.add("p4_unmatched")
 def p4_unmatched(spark, d):
-    """Values that match no entry, with their number of rows."""
-    rows = table(spark, d, "metadata", "row_no", "species").withColumnRenamed("species", "value").where("value is not null")
-    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(canonical.species_of(counts, table(spark, d, "species_ref")).where("ref_no = 0"), "value").select(F.col("value").alias("species"), "n_rows")
+    """Values of each field that match no entry, with their number of rows."""
+    parts = []
+    for field, rows, _, mapping in _fields(spark, d):
+        counts = rows.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+        parts.append(counts.join(mapping.where("ref_no = 0"), "value").select(F.lit(field).alias("field"), "value", "n_rows"))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 # 2: splits that keep related records together

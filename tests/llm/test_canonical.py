@@ -82,3 +82,24 @@ def test_found_on_small_tables(spark, data):
     n = {r["field"]: r["count"] for r in got.groupBy("field").count().collect()}
     t = spark.read.parquet(f"{data}/breakpoint_table.parquet").join(spark.read.parquet(f"{data}/drug_ref.parquet"), "drug", "left_anti").where(F.col("drug").isNotNull()).count()
     assert n["breakpoint_table.drug"] == t
+
+
+def test_short_words_and_a_genus_alone(spark):
+    ref = spark.createDataFrame([(1, "Escherichia coli", None), (2, "Escherichia albertii", None), (3, "Enterococcus avium", None), (4, "Ba vu", None)], "species_no int, species string, former_name string")
+    cases = {
+        "Escherichia coli": 1, "E. coli": 1, "E coli": 1, "e.coli": 1, "coli Escherichia": 1, "Eschericia coli": 1, "Escherichiacoli": 1, "Escherichiacol": 1, "Escherichia": 0, "Escherichia sp.": 0, "Escherichia xyz": 0, "Escherichiaxyz": 0,
+        "E. cola": 0, "E. avium": 3, "E. avius": 3, "Enterococcus avius": 3, "Enterococcus avi": 0, "Escherichia albertii": 2, "Escherichia albretti": 2, "albertii": 0, "coli": 0, "Enterococcus": 0,
+    }
+    v = spark.createDataFrame([(c,) for c in cases], "value string")
+    assert {r["value"]: r["ref_no"] for r in canonical.species_of(v, ref).collect()} == cases
+    drugs = spark.createDataFrame([(1, "Fusi", "FU"), (2, "Colin", None), (3, "Penifloxacin", "PEN")], "drug_no int, drug string, drug_code string")
+    cases = {"Fusi": 1, "fusi": 1, "FU": 1, "Fusa": 0, "isuF": 0, "Colin": 2, "Coli": 2, "Colan": 2, "Cocan": 0, "Penifloxacin": 3, "Peniflxacin": 3}
+    v = spark.createDataFrame([(c,) for c in cases], "value string")
+    assert {r["value"]: r["ref_no"] for r in canonical.drug_of(v, drugs).collect()} == cases
+
+
+def test_pigeonhole_join_keeps_short_references(spark):
+    values = spark.createDataFrame([("ab", "full"), ("a", "full"), ("", "full"), ("abc", "full")], "form string, kind string")
+    reference = spark.createDataFrame([("ab", "full", 4), ("c", "full", 4), ("", "full", 4)], "ref_form string, kind string, k int")
+    got = {(r["form"], r["ref_form"]): r["edits"] for r in canonical.pigeonhole_join(values, reference).collect()}
+    assert got == {("ab", "ab"): 0, ("a", "ab"): 1, ("abc", "ab"): 1}
