@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,12 @@ ENDS = [".", "。", "!", "?", "！", "？"]
 
 #: How often last words must end a sentence to look final; shares of cut and of complete open texts that do.
 FINAL, CUT_FINAL, WHOLE_FINAL = 0.02, 0.15, 0.95
-#: Texts a limit must hold at least, and how many times more than expected.
-LEAST_AT_LIMIT, EXCESS = 3, 5.0
+#: Different texts a limit must hold at least, how many times more than expected, and the odds against chance over all lengths of a source.
+LEAST_AT_LIMIT, EXCESS, ODDS = 3, 5.0, 1e-3
+#: Lengths on either side whose texts tell how many to expect at a length.
+AROUND = 60
+#: Characters of the trimmed text's end that patterns may take up.
+ENDING = 500
 #: Share of random places at which a text ends like a sentence.
 CLOSED_BY_CHANCE = 0.015
 #: Words of endings that every worker may hold.
@@ -72,25 +77,28 @@ def _chance(m: float, expected: float) -> float:
 
 
 def _limits(h: pd.DataFrame) -> pd.DataFrame:
-    """Candidate limits of one source and unit from its histogram of lengths; more texts beyond a limit than at it refute it."""
+    """Limits of one source and unit from its histogram of lengths: every length is a candidate that holds more texts than those around it lead to expect.
+
+    Texts beyond a limit don't refute it, since only a part of a source may obey it; they are seen whole in the fit.
+    """
     source, unit = h["source"].iloc[0], h["unit"].iloc[0]
-    counts = {int(k): int(v) for k, v in zip(h["len"], h["n"]) if k > 0}
+    h = h[h["len"] > 0].sort_values("len")
+    at, n = h["len"].to_numpy(np.int64), h["n"].to_numpy(np.float64)
     out = []
-    if counts:
-        total, width = sum(counts.values()), 4 if unit == "bytes" else 1
-        tops = sorted(counts, key=lambda k: (-counts[k], -k))[:3]
-        for limit in sorted({max(counts), *tops}):
-            inside = range(limit - width + 1, limit + 1)
-            m = sum(counts.get(k, 0) for k in inside)
-            near = sum(counts.get(k, 0) for k in range(limit - 60, limit - width + 1)) / (61 - width) * width
-            above = sum(c for k, c in counts.items() if k > limit)
-            if m < LEAST_AT_LIMIT or m < EXCESS * near or above > m:
+    if len(at):
+        total, width, sums = n.sum(), 4 if unit == "bytes" else 1, np.concatenate([[0.0], np.cumsum(n)])
+        held = lambda low, high: sums[np.searchsorted(at, high, "right")] - sums[np.searchsorted(at, low, "left")]
+        m = held(at - width + 1, at)
+        near = (held(at - AROUND, at - width) + held(at + 1, at + AROUND)) / (2 * AROUND - width + 1) * width
+        for limit, m_, near_ in zip(at, m, near):
+            if m_ < LEAST_AT_LIMIT or m_ < EXCESS * near_:
                 continue
-            mu, sd = fit_censored([(math.log(k), c) for k, c in counts.items() if k not in inside], math.log(limit), m)
+            inside = (at > limit - width) & (at <= limit)
+            mu, sd = fit_censored(list(zip(np.log(at[~inside]), n[~inside])), math.log(limit), m_)
             z = (math.log(limit) - mu) / sd
-            expected = max(near, total * width * math.exp(-z * z / 2) / (sd * limit * math.sqrt(2 * math.pi)))
-            if m >= EXCESS * expected and _chance(m, expected) * max(counts) < 1e-3:
-                out.append((source, unit, limit, width, m, mu, sd, 1.0 - expected / m))
+            expected = max(near_, total * width * math.exp(-z * z / 2) / (sd * limit * math.sqrt(2 * math.pi)))
+            if m_ >= EXCESS * expected and _chance(m_, expected) * at[-1] < ODDS:
+                out.append((source, unit, int(limit), width, int(m_), mu, sd, 1.0 - expected / m_))
     return pd.DataFrame(out, columns=["source", "unit", "limit_at", "width", "n_at", "mu", "sigma", "p_limit"])
 
 
@@ -100,16 +108,18 @@ LIMITS = "source string, unit string, limit_at bigint, width int, n_at bigint, m
 def length_limits(shape: DataFrame) -> DataFrame:
     """(source, unit, limit_at, width, n_at, mu, sigma, p_limit): limits found, with the posterior of a cut at exactly that length.
 
-    ``shape`` has source, n_chars, n_bytes. Each source is fitted on its histogram, one row per length, aggregated before the shuffle.
+    ``shape`` has source, n_chars, n_bytes, print. Each source is fitted on its histogram, one row per length, aggregated before the shuffle;
+    equal texts count once, so that copies make no limit.
     """
+    shape = shape.select("source", "n_chars", "n_bytes", "print").distinct()
     both = shape.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("len")))).alias("v"))
     hist = both.groupBy("source", "v.unit", "v.len").agg(F.count(F.lit(1)).alias("n"))
     return hist.groupBy("source", "unit").applyInPandas(_limits, LIMITS)
 
 
 def _endings(text: Column) -> dict[str, Column]:
-    """Pieces of the ending; only the last 400 characters of the trimmed text matter to the patterns, the text itself stays whole."""
-    tail = F.rtrim(F.right(text, F.lit(400)), F.lit(" \n\r\t"))
+    """Pieces of the end of the trimmed text, as far as the patterns may reach; the text itself stays whole."""
+    tail = F.right(F.rtrim(text, F.lit(" \n\r\t")), F.lit(ENDING))
     furniture = F.regexp_extract(tail, FURNITURE, 0)
     body = F.regexp_replace(tail, FURNITURE, "")
     return {"tail": tail, "furniture": furniture, "body": body}
@@ -119,11 +129,11 @@ def shapes(documents: DataFrame) -> DataFrame:
     """One row per document with non-empty text: source, lengths, and what its ending looks like."""
     d = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and text <> ''")
     e = _endings(F.col("text"))
-    d = d.select("doc_id", "source", F.char_length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), e["tail"].alias("tail"), e["furniture"].alias("furniture"), e["body"].alias("body"))
+    d = d.select("doc_id", "source", F.char_length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("print"), e["tail"].alias("tail"), e["furniture"].alias("furniture"), e["body"].alias("body"))
     marked = F.col("tail").rlike(CUT_MARK) | F.col("body").rlike(CUT_MARK) | F.col("tail").rlike(OPEN_TAG)
     w = F.regexp_extract_all(F.lower("body"), F.lit(WORD), 0)
     return d.select(
-        "doc_id", "source", "n_chars", "n_bytes", marked.alias("marked"), (~F.col("body").rlike(SENTENCE_END)).alias("open"),
+        "doc_id", "source", "n_chars", "n_bytes", "print", marked.alias("marked"), (~F.col("body").rlike(SENTENCE_END)).alias("open"),
         F.regexp_replace(F.trim("furniture", F.lit(" \n\r\t")), "[0-9]+", "9").alias("trailer"), F.try_element_at(w, F.lit(-1)).alias("last"), F.try_element_at(w, F.lit(-2)).alias("prev"),
     )
 

@@ -3,6 +3,7 @@ import random
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,37 @@ def test_rates(spark):
     d = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert truncation.cut_rates(truncation.judged(d)).count() == 0
     assert math.isclose(truncation._chance(2, 5), 1.0)
+
+
+def _histogram(limits, shares, copies=0, n=20_000, seed=3):
+    """Lengths of a log-normal source of which ``shares`` of the texts are cut at ``limits``."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        x, u = int(rnd.lognormvariate(7, 0.5)), rnd.random()
+        for limit, share in zip(limits, shares):
+            if u < share:
+                x = min(x, limit)
+                break
+            u -= share
+        out.append(x)
+    return pd.Series(out + [777] * copies).value_counts().rename_axis("len").reset_index(name="n").assign(source="s", unit="chars")
+
+
+@pytest.mark.parametrize("limits,shares", [((1500,), (1.0,)), ((1500,), (0.1,)), ((900, 1200, 1500, 1800, 2100), (0.1,) * 5), ((), ())])
+def test_every_limit_is_found_and_no_other(limits, shares):
+    found = truncation._limits(_histogram(limits, shares))
+    assert sorted(found["limit_at"]) == list(limits) and (found["p_limit"] > 0.9).all()
+
+
+def test_copies_make_no_limit(spark):
+    rows = [("s", 700 + i % 400, 700 + i % 400, i) for i in range(4000)] + [("s", 777, 777, 1)] * 500
+    shape = spark.createDataFrame(rows, "source string, n_chars int, n_bytes int, print bigint")
+    assert truncation.length_limits(shape).count() == 0
+
+
+def test_blanks_behind_a_cut(spark):
+    whole = [(i, "s", f"The valve number {i} turns the lens. The rotor lifts a tray.") for i in range(60)]
+    d = spark.createDataFrame([*whole, (900, "s", "The valve turns the lens. The rotor lifts a" + " \n" * 2500), (901, "s", whole[0][2] + " " * 5000)], "doc_id bigint, source string, text string")
+    p = {r["doc_id"]: r["p_cut"] for r in truncation.judged(d).collect()}
+    assert p[900] > 0.5 and p[901] < 0.5
