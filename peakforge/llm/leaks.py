@@ -10,12 +10,14 @@ same leaks; the rarest are the cheapest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakforge.functions.numbers import running_total
 from peakforge.llm.words import normal_text, words, words_of
 from peakforge.session import fitting, write_shared
 
@@ -63,18 +65,33 @@ def _code(pos: Column, term: Column) -> Column:
     return F.shiftleft(pos.cast("bigint"), 31) + term
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms: int = MOST_TERMS) -> DataFrame:
+@dataclass
+class Index:
+    """Written tables: the passages' terms (item_no, at, term) and their postings in the documents (doc_id, pos, term)."""
+
+    places: DataFrame
+    postings: DataFrame
+
+
+def build_index(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms: int = MOST_TERMS) -> Index:
+    """One index for exact and proximity matches; ``documents`` has doc_id and text, ``items`` item_no and passage, other columns are ignored."""
+    places = passage_terms(items, span)
+    # Terms are numbered, so that place and term fit into one number; in the order of words, those of the same two first letters by themselves.
+    found = places.select("word").distinct().withColumn("one", F.lit(1))
+    numbered = running_total(found, "one", F.substring("word", 1, 2), ["word"], out="term")
+    terms = write_shared(numbered.select("word", F.col("term").cast("bigint").alias("term")), "terms")
+    places = write_shared(places.join(terms, "word").select("item_no", "at", "term"), "passages")
+    return Index(places, write_shared(positional_index(documents, terms, most_terms), "postings"))
+
+
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms: int = MOST_TERMS, index: Index | None = None) -> DataFrame:
     """(doc_id, item_no, n_words): leaked passages with the length of their longest run of at least ``span`` words.
 
-    ``documents`` has doc_id and text, ``items`` item_no and passage; other columns are ignored. A document that
+    ``index`` is what :func:`build_index` made of the same tables, if it is there already. A document that
     holds a passage several times appears once; equal documents each appear.
     """
-    places = passage_terms(items, span)
-    # Terms are numbered, so that place and term fit into one number; the window sorts the words of the passages only.
-    numbered = places.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).cast("bigint").alias("term"))
-    terms = write_shared(numbered, "terms")
-    places = write_shared(places.join(terms, "word").select("item_no", "at", "term"), "passages")
-    index = write_shared(positional_index(documents, terms, most_terms), "postings")
+    built = index or build_index(documents, items, span, most_terms)
+    places, index = built.places, built.postings
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     known = places.join(frequency, "term", "left").select("item_no", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
     ahead = Window.partitionBy("item_no").orderBy("at").rowsBetween(0, span - 1)
@@ -106,17 +123,15 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, most_terms:
     return runs.where(F.col("n_words") >= span).groupBy("doc_id", "item_no").agg(F.max("n_words").cast("bigint").alias("n_words"))
 
 
-def near_matches(documents: DataFrame, items: DataFrame, share: float = 0.8, slack: int = 6, least: int = SPAN, most_terms: int = MOST_TERMS) -> DataFrame:
+def near_matches(documents: DataFrame, items: DataFrame, share: float = 0.8, slack: int = 6, least: int = SPAN, most_terms: int = MOST_TERMS, index: Index | None = None) -> DataFrame:
     """(doc_id, item_no, n_terms, n_wanted): passages of which a document holds most of the rarer words, about as far apart as in the passage.
 
     The rarer half of a passage's places is wanted (at least two); a document is near if at least ``share`` of them are found with
     shifts that differ by less than ``slack`` words. That finds passages with words changed, left out or put in, which exact
     runs miss. Passages of fewer than ``least`` words are left out. The best place of each document counts.
     """
-    places = passage_terms(items, least)
-    terms = write_shared(places.select("word").distinct().select("word", F.row_number().over(Window.orderBy("word")).cast("bigint").alias("term")), "terms")
-    places = write_shared(places.join(terms, "word").select("item_no", "at", "term"), "passages")
-    index = write_shared(positional_index(documents, terms, most_terms), "postings")
+    built = index or build_index(documents, items, least, most_terms)
+    places, index = built.places, built.postings
     known = places.join(index.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("item_no").orderBy("n", "term", "at"))
     half = F.greatest(F.ceil(F.count(F.lit(1)).over(Window.partitionBy("item_no")) / 2), F.lit(2))
@@ -128,3 +143,9 @@ def near_matches(documents: DataFrame, items: DataFrame, share: float = 0.8, sla
     found = cells.groupBy("doc_id", "item_no", "n_wanted", "cell").agg(F.size(F.collect_set("at")).cast("bigint").alias("n_terms"))
     found = found.where(F.col("n_terms") >= F.col("n_wanted") * F.lit(share))
     return found.groupBy("doc_id", "item_no", "n_wanted").agg(F.max("n_terms").alias("n_terms")).select("doc_id", "item_no", "n_terms", "n_wanted")
+
+
+def matches(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, item_no, n_words, n_terms, n_wanted): exact runs and proximity matches of one index together; null where a document has only one of them."""
+    index = build_index(documents, items, span)
+    return leaks(documents, items, span, index=index).join(near_matches(documents, items, least=span, index=index), ["doc_id", "item_no"], "full")

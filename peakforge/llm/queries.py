@@ -99,6 +99,12 @@ def p7_near(spark, d):
     return leaks.near_matches(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item"))
 
 
+@R.add("p7_matches")
+def p7_matches(spark, d):
+    """Exact runs and proximity matches of one stored index."""
+    return leaks.matches(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item"))
+
+
 # 8: mixing sources to target weights
 
 

@@ -144,7 +144,7 @@ def assign(spark: SparkSession, members: DataFrame, labels: DataFrame, shares=SH
         for label, n in part.items():
             total[label] = total.get(label, 0) + n
             total[None] += n
-    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "label bigint, rank int"))
+    ranks = spark.createDataFrame(list(rank.items()), "label bigint, rank int")
     first = kinds.select("kind", "m", "v", F.explode("v").alias("x")).select("kind", "m", "v", "x.label", "x.n").join(ranks, "label")
     first = first.groupBy("kind").agg(F.min_by(F.struct("rank", "label", "n", "m", "v"), "rank").alias("f")).select("kind", "f.*")
 
