@@ -56,12 +56,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def windows(x: Column, half: int, reduce_: Callable[[Column], Column]) -> Column:
-    """``reduce_`` of the slice from ``half`` before to ``half`` behind each element, cut at the ends."""
-    spots = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: reduce_(F.slice(x, F.greatest(i - half, F.lit(1)), F.least(i + half, F.size(x)) - F.greatest(i - half, F.lit(1)) + 1)))
-
-
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation as an aggregate; null instead of an error where a side doesn't vary."""
     spread = F.stddev_pop(a) * F.stddev_pop(b)

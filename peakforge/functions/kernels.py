@@ -27,6 +27,36 @@ def savitzky_golay(x: np.ndarray, window: int = 21, order: int = 2) -> np.ndarra
     return out
 
 
+def moving_average(x: np.ndarray, window: int = 5) -> np.ndarray:
+    """Centred mean over an odd window; beyond the ends the spectrum is mirrored with its edge repeated."""
+    h = window // 2
+    if 0 < len(x) < h:
+        raise ValueError("spectrum is shorter than half the window")
+    return np.convolve(mirrored(x, h), np.full(window, 1 / window), mode="valid") if len(x) else x.copy()
+
+
+def rolling(x: np.ndarray, half: int, lower: bool) -> np.ndarray:
+    """Minimum (or maximum) from ``half`` before to ``half`` behind each point, cut at the ends.
+
+    The padded signal is cut into blocks of the window's width; a window is the end of one block and the start of the next, whose running
+    minima are known, so the work doesn't depend on the width.
+    """
+    w, fill, accumulate, join = 2 * half + 1, np.inf if lower else -np.inf, *((np.minimum.accumulate, np.minimum) if lower else (np.maximum.accumulate, np.maximum))
+    padded = np.full(-(-(len(x) + 2 * half) // w) * w, fill)
+    padded[half : half + len(x)] = x
+    blocks = padded.reshape(-1, w)
+    ahead = accumulate(blocks, axis=1).ravel()
+    back = accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return join(back[: len(x)], ahead[2 * half : 2 * half + len(x)])
+
+
+def top_hat(x: np.ndarray, half: int = 100) -> np.ndarray:
+    """Intensity above the grey opening of size 2*half+1."""
+    if half < 1 or len(x) < 2 * half + 1:
+        raise ValueError("half window must be at least 1 and the window not wider than the spectrum")
+    return x - rolling(rolling(x, half, True), half, False)
+
+
 def snip_baseline(x: np.ndarray, half: int = 40) -> np.ndarray:
     """Peak clipping with a shrinking window over a linearly continued spectrum."""
     n = len(x)
@@ -78,10 +108,24 @@ def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
-def local_peaks(x: np.ndarray, prominence: float | None = None, height: float | None = None, distance: int | None = None) -> np.ndarray:
+def widths(x: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Width of each peak at ``share`` of its prominence below the top, in points, between linearly interpolated crossings."""
+    out = np.empty(len(peaks))
+    for j, (p, h) in enumerate(zip(peaks, prominence)):
+        level, ends = x[p] - share * h, []
+        for step in (-1, 1):
+            i = p
+            while 0 < i < len(x) - 1 and x[i] > level:
+                i += step
+            ends.append(i - step * (level - x[i]) / (x[i - step] - x[i]) if x[i] < level else float(i))
+        out[j] = ends[1] - ends[0]
+    return out
+
+
+def local_peaks(x: np.ndarray, prominence: float | None = None, height: float | None = None, distance: int | None = None, width: float | None = None) -> np.ndarray:
     """Indices of local maxima, never at the ends; a plateau counts once at its middle, rounded down.
 
-    Filters apply in the order height, distance (higher peaks win), prominence.
+    Filters apply in the order height, distance (higher peaks win), prominence, width (at half prominence).
     """
     if len(x) < 3:
         return np.zeros(0, int)
@@ -105,6 +149,8 @@ def local_peaks(x: np.ndarray, prominence: float | None = None, height: float |
         peaks = peaks[alive]
     if prominence is not None and len(peaks):
         peaks = peaks[prominences(x, peaks) >= prominence]
+    if width is not None and len(peaks):
+        peaks = peaks[widths(x, peaks, prominences(x, peaks)) >= width]
     return peaks
 
 
@@ -234,6 +280,19 @@ def warp_path(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> tuple[
     return path[::-1], float(math.sqrt(cost[n, m]))
 
 
+def piecewise_offsets(peaks: np.ndarray, target: np.ndarray, axis: np.ndarray, segments: int, sigma: float) -> np.ndarray:
+    """Offsets at ``axis``: the median offset of each segment of peaks, interpolated between the segments' middles and smoothed."""
+    cuts = np.quantile(peaks, np.linspace(0, 1, segments + 1))
+    own = np.clip(np.searchsorted(cuts, peaks, side="right") - 1, 0, segments - 1)
+    used = [s for s in range(segments) if (own == s).any()]
+    mids = np.array([np.median(peaks[own == s]) for s in used])
+    offs = np.array([np.median((target - peaks)[own == s]) for s in used])
+    curve = np.interp(axis, mids, offs)
+    h = max(1, int(4 * min(sigma, len(axis) / 4) + 0.5))
+    kernel = np.exp(-0.5 * (np.arange(-h, h + 1) / max(sigma, 1e-9)) ** 2)
+    return np.convolve(mirrored(curve, h), kernel / kernel.sum(), mode="valid") if h <= len(curve) else curve
+
+
 def align(method: str, axis: np.ndarray, x: np.ndarray, peaks: np.ndarray, reference: np.ndarray, ref_signal: np.ndarray | None = None, most: float = 50.0, segments: int = 5, sigma: float = 2.0, degree: int = 2, share: float = 0.3, rounds: int = 3, radius: int = 10) -> np.ndarray:
     """Signal ``x`` moved so that its peaks (positions on ``axis``) meet the reference peaks.
 
@@ -270,16 +329,7 @@ def align(method: str, axis: np.ndarray, x: np.ndarray, peaks: np.ndarray, refer
         offset = lowess(peaks[order], (target - peaks)[order], share, rounds)
         places = axis + np.interp(axis, peaks[order], offset)
     else:
-        cuts = np.quantile(peaks, np.linspace(0, 1, segments + 1))
-        own = np.clip(np.searchsorted(cuts, peaks, side="right") - 1, 0, segments - 1)
-        used = [s for s in range(segments) if (own == s).any()]
-        mids = np.array([np.median(peaks[own == s]) for s in used])
-        offs = np.array([np.median((target - peaks)[own == s]) for s in used])
-        curve = np.interp(axis, mids, offs)
-        h = max(1, int(4 * min(sigma, len(axis) / 4) + 0.5))
-        kernel = np.exp(-0.5 * (np.arange(-h, h + 1) / max(sigma, 1e-9)) ** 2)
-        curve = np.convolve(mirrored(curve, h), kernel / kernel.sum(), mode="valid") if h <= len(curve) else curve
-        places = axis + curve
+        places = axis + piecewise_offsets(peaks, target, axis, segments, sigma)
     return resample(axis, places, x)
 
 

@@ -42,3 +42,18 @@ def running_total(df: DataFrame, value: str, bucket: Column, order: list[str], w
     for c in cond[1:]:
         on = on & c
     return inside.join(totals, on).select(*[inside[c] for c in df.columns if c != "_b"], (inside["_i"] + totals["_o"]).alias(out))
+
+
+def with_ranges(df: DataFrame, value: str, within: list[str] = (), out: str = "_r", ranges: int = 64) -> DataFrame:
+    """Adds ``out``, the number of the value range a row lies in: ``ranges`` ranges of about as many rows each per group, rising with the value.
+
+    The limits are approximate quantiles, one row per group, so no task sorts a whole group.
+    """
+    limits = df.groupBy(*within).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_l"))
+    if within:
+        renamed = limits.select(*[F.col(c).alias(f"_{c}") for c in within], "_l")
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+        joined = df.join(renamed, on[0] if len(on) == 1 else on[0] & on[1] if len(on) == 2 else on[0] & on[1] & on[2])
+    else:
+        joined = df.crossJoin(limits)  # one row
+    return joined.withColumn(out, F.aggregate("_l", F.lit(0), lambda n, v: n + (v < F.col(value)).cast("int"))).drop("_l", *[f"_{c}" for c in within])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -41,6 +43,7 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+@lru_cache(maxsize=16)
 def rank_sum_ways(n1: int, n2: int) -> list[int]:
     """Number of orders of n1 + n2 distinct values for each value of U, by adding the second group one value at a time."""
     ways = [1] + [0] * (n1 * n2)
@@ -53,14 +56,20 @@ def rank_sum_ways(n1: int, n2: int) -> list[int]:
     return ways
 
 
+@lru_cache(maxsize=16)
+def _rank_sum_tails(n1: int, n2: int) -> tuple[list[int], int]:
+    """Ways of at least each U, and of all."""
+    tails = list(accumulate(reversed(rank_sum_ways(n1, n2))))[::-1]
+    return tails, tails[0]
+
+
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:
     """Two-sided p of U; exact for small groups without ties, else normal with tie and continuity correction."""
     if n1 == 0 or n2 == 0:
         return 1.0
-    if min(n1, n2) <= 8 and ties == 0 and max(n1, n2) <= 200:
-        ways = rank_sum_ways(n1, n2)
-        top = int(max(u, n1 * n2 - u))
-        return min(1.0, 2 * sum(ways[top:]) / sum(ways))
+    if min(n1, n2) <= 8 and ties == 0:
+        tails, all_ = _rank_sum_tails(min(n1, n2), max(n1, n2))
+        return min(1.0, 2 * tails[int(max(u, n1 * n2 - u))] / all_)
     n = n1 + n2
     var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
     if var <= 0:

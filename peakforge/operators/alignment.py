@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,19 @@ from peakforge.functions import kernels
 from peakforge.functions.arrays import correlation, let, median
 
 
+METHODS = ("shift", "linear", "piecewise", "quadratic", "cubic", "lowess", "dtw")
+#: Peaks a reference should have at least.
+MIN_REFERENCE_PEAKS = 5
+
+
+def reference_row(spectra: DataFrame, x: str, place: int, key: str = "spectrum_no") -> np.ndarray:
+    """The spectrum at a 0-based place in order of the key as reference; a place outside is an error."""
+    rows = spectra.select(key, x).orderBy(key).offset(place).limit(1).collect() if place >= 0 else []
+    if not rows:
+        raise ValueError(f"there is no spectrum {place}")
+    return np.asarray(rows[0][x], float)
+
+
 def median_reference(matrix: DataFrame, axis: str = "bin_index", value: str = "intensity") -> DataFrame:
     """(axis, reference): exact median spectrum; one shuffle on the axis."""
     return matrix.groupBy(axis).agg(F.median(value).alias("reference"))
@@ -68,23 +83,34 @@ def alignment_quality(before: DataFrame, after: DataFrame, reference: DataFrame,
 
 
 def warped(spectra: DataFrame, x: str, reference: np.ndarray, method: str, prominence: float = 1e-5, key: str = "spectrum_no", **options) -> DataFrame:
-    """(key, x): binned spectra aligned in bin space; spectra are worked on in Arrow batches, the reference is a bounded array."""
+    """(key, x): binned spectra aligned in bin space; spectra are worked on in Arrow batches, the reference is a bounded array.
+
+    A spectrum of another length than the reference is an error, a null one stays null. Fewer than MIN_REFERENCE_PEAKS peaks of the reference give a warning.
+    """
     ref = np.asarray(reference, float)
     ref_peaks = kernels.local_peaks(ref, prominence=prominence).astype(float)
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
+    if len(ref_peaks) < MIN_REFERENCE_PEAKS:
+        warnings.warn(f"the reference has only {len(ref_peaks)} peaks", stacklevel=2)
+
+    def one(v: np.ndarray, axis: np.ndarray) -> np.ndarray:
+        if len(v) != len(ref):
+            raise ValueError(f"a spectrum has {len(v)} points, the reference {len(ref)}")
+        return kernels.align(method, axis, v, kernels.local_peaks(v, prominence=prominence).astype(float), ref_peaks, ref, **options)
 
     def run(frames):
         axis = np.arange(len(ref), dtype=float)
         for f in frames:
-            out = [kernels.align(method, axis, np.asarray(v, float), kernels.local_peaks(np.asarray(v, float), prominence=prominence).astype(float), ref_peaks, ref, **options) for v in f[x]]
-            yield pd.DataFrame({key: f[key], x: out})
+            yield pd.DataFrame({key: f[key], x: [None if v is None else one(np.asarray(v, float), axis) for v in f[x]]})
 
-    return spectra.select(key, x).where(F.size(x) == len(ref)).mapInPandas(run, f"{key} bigint, {x} array<double>")
+    return spectra.select(key, x).mapInPandas(run, f"{key} bigint, {x} array<double>")
 
 
 def aligned_peaks(sets: DataFrame, reference: list[float], method: str = "shift", key: str = "spectrum_no", **options) -> DataFrame:
     """(key, mz, intensity): peak sets whose m/z are moved towards the reference peaks; dtw isn't defined for peaks."""
-    if method == "dtw":
-        raise ValueError("dtw needs whole spectra")
+    if method not in METHODS or method == "dtw":
+        raise ValueError("dtw needs whole spectra" if method == "dtw" else f"unknown method {method}")
     ref = np.sort(np.asarray(reference, float))
 
     def run(frames):
@@ -103,6 +129,8 @@ def aligned_peaks(sets: DataFrame, reference: list[float], method: str = "shift"
                     out.append(m + kernels.lowess(m, target - m, options.get("share", 0.3), options.get("rounds", 3)))
                 elif method in ("quadratic", "cubic") and len(m) > {"quadratic": 2, "cubic": 3}[method]:
                     out.append(np.polyval(np.polyfit(m, target, {"quadratic": 2, "cubic": 3}[method]), m))
+                elif method == "piecewise" and len(m) > 1:
+                    out.append(m + kernels.piecewise_offsets(m, target, m, options.get("segments", 5), options.get("sigma", 2.0)))
                 else:
                     out.append(m + kernels.shift_of(m, ref, options.get("most", 50.0)))
             yield pd.DataFrame({key: f[key], "mz": out, "intensity": f["intensity"]})

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.functions import stats
+from peakforge.functions.numbers import running_total, with_ranges
 
 
 def class_moments(matrix: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -42,11 +43,11 @@ def with_fold_change(moments: DataFrame, by: list[str] = ()) -> DataFrame:
 def rank_sums(matrix: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by..., bin_index, n_r, n_s, u, ties): Mann-Whitney U of class 1 with average ranks, and the sum of t^3 - t over ties.
 
-    Equal values of a bin are counted first; ranks are running totals over distinct values, so a bin full of zeros is one row.
+    Equal values of a bin are counted first, so a bin full of zeros is one row; ranks are running totals over distinct values, summed in value ranges first.
     """
     per = matrix.where("y in (0, 1)").groupBy(*by, "bin_index", "intensity").agg(F.count_if(F.col("y") == 1).alias("r"), F.count(F.lit(1)).alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by, "bin_index").orderBy("intensity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = running_total(with_ranges(per, "intensity", [*by, "bin_index"]), "t", F.col("_r"), ["intensity"], [*by, "bin_index"])
+    ranked = ranked.withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     g = ranked.groupBy(*by, "bin_index").agg(F.sum("r").alias("n_r"), (F.sum("t") - F.sum("r")).alias("n_s"), F.sum(F.col("rank") * F.col("r")).alias("w"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     return g.select(*by, "bin_index", "n_r", "n_s", (F.col("w") - F.col("n_r") * (F.col("n_r") + 1) / 2).alias("u"), F.col("ties").cast("double").alias("ties"))
 
@@ -87,23 +88,29 @@ def corrected(p_values: DataFrame, p: str = "p_value", method: str = "fdr_bh", o
     return d.drop("_p", "_m", "_k", "_q")
 
 
-def analysis(matrix: DataFrame, test: str = "mann_whitney", correction: str = "fdr_bh", ranges: list[tuple[float, float]] | None = None, peak_bins: DataFrame | None = None, start: str = "bin_start") -> DataFrame:
-    """(bin_index, mean_r, mean_s, fold_change, p_value, adjusted_p_value, effect_size) per bin kept.
+def analysis(matrix: DataFrame, test: str = "mann_whitney", correction: str = "fdr_bh", ranges: list[tuple[float, float]] | None = None, peak_bins: DataFrame | None = None, start: str = "bin_start", by: list[str] = ()) -> DataFrame:
+    """(by..., bin_index, mean_r, mean_s, fold_change, p_value, adjusted_p_value, effect_size) per group and bin kept.
 
-    Bins are kept within ``ranges`` of their start (closed, bounds in any order) and, if given, in ``peak_bins`` (bin_index). Both classes must occur.
+    Bins are kept within ``ranges`` of their start (closed, bounds in any order) and, if given, in ``peak_bins`` (bin_index). Both classes must
+    occur, else it is an error; with ``by``, groups without one of the classes are left out.
     """
+    by = list(by)
+    if not by:
+        seen = {r[0] for r in matrix.where("y in (0, 1)").select("y").distinct().collect()}
+        if len(seen) < 2:
+            raise ValueError("both classes must occur")
     if ranges is not None:
         matrix = matrix.where(reduce(lambda a, b: a | b, [F.col(start).between(min(r), max(r)) for r in ranges]))
     if peak_bins is not None:
         matrix = matrix.join(peak_bins.select("bin_index").distinct(), "bin_index", "left_semi")
-    m = with_fold_change(class_moments(matrix)).withColumn("effect_size", effect_size())
+    m = with_fold_change(class_moments(matrix, by).where("n_r > 0 and n_s > 0"), by).withColumn("effect_size", effect_size())
     if test == "mann_whitney":
-        m = m.join(rank_sums(matrix).select("bin_index", rank_sum_p().alias("p_value")), "bin_index")
+        m = m.join(rank_sums(matrix, by).select(*by, "bin_index", rank_sum_p().alias("p_value")), [*by, "bin_index"])
     elif test == "t_test":
         m = welch(m).withColumn("p_value", stats.student("t", "df"))
     else:
         raise ValueError(f"unknown test {test}")
-    return corrected(m, method=correction).select("bin_index", "mean_r", "mean_s", "fold_change", "p_value", "adjusted_p_value", "effect_size")
+    return corrected(m, method=correction, by=by).select(*by, "bin_index", "mean_r", "mean_s", "fold_change", "p_value", "adjusted_p_value", "effect_size")
 
 
 def top(results: DataFrame, n: int = 20) -> DataFrame:

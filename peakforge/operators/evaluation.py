@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakforge.functions.numbers import with_ranges
+
 
 def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.try_divide(part, whole)).otherwise(0.0)
@@ -43,7 +45,7 @@ def error_curve(rows: DataFrame, truth: str = "y_true", score: str = "score") ->
     per = rows.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(truth) == 1).alias("r"), F.count_if(F.col(truth) == 0).alias("s")
     )
-    per = per.withColumn("b", F.floor("threshold"))
+    per = with_ranges(per, "threshold", out="b")
     inner = Window.partitionBy("b").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     ranges = per.groupBy("b").agg(F.sum("r").alias("rb"), F.sum("s").alias("sb"))

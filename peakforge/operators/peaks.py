@@ -2,57 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peakforge.functions import kernels
+from peakforge.operators.transforms import by_kernel
 
 
-def maxima(x: Column) -> Column:
-    """0-based places of local maxima of an array: a strict rise before, a strict fall behind, never at the ends.
+def with_maxima(spectra: DataFrame, x: str, out: str = "peaks") -> DataFrame:
+    """Adds the 0-based places of local maxima of an array: a strict rise before, a strict fall behind, never at the ends.
 
-    A plateau counts once, at its middle rounded down. One fold over the array: the start of the last rise is carried
-    along and closed by the next fall.
+    A plateau counts once, at its middle rounded down. Null arrays give null, short ones none.
     """
-    none = F.array().cast("array<int>")
-    start = F.struct(F.lit(1).alias("i"), F.lit(-1).alias("up"), none.alias("out"))
 
-    def step(s: Column, v: Column) -> Column:
-        before = F.get(x, s["i"] - 1)
-        up = F.when(v > before, s["i"]).when(v < before, F.lit(-1)).otherwise(s["up"])
-        fell = (v < before) & (s["up"] >= 0)
-        out = F.when(fell, F.array_append(s["out"], F.floor((s["up"] + s["i"] - 1) / 2).cast("int"))).otherwise(s["out"])
-        return F.struct((s["i"] + 1).alias("i"), up.alias("up"), out.alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = [None if v is None else kernels.local_peaks(np.asarray(v, float)).astype(np.int32) for v in b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False)]
+            yield b.append_column(out, pa.array(cells, pa.list_(pa.int32())))
 
-    return F.when(F.size(x) < 3, none).otherwise(F.aggregate(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), start, step, lambda s: s["out"]))
+    return spectra.mapInArrow(run, T.StructType([*spectra.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def peak_rows(spectra: DataFrame, x: str, key: str = "spectrum_no") -> DataFrame:
     """(key, pos, intensity): one row per local maximum."""
-    return spectra.select(key, x, F.explode(maxima(F.col(x))).alias("pos")).select(key, "pos", F.get(x, F.col("pos")).cast("double").alias("intensity"))
+    return with_maxima(spectra.select(key, x), x).select(key, x, F.explode("peaks").alias("pos")).select(key, "pos", F.get(x, F.col("pos")).cast("double").alias("intensity"))
+
+
+def peak_mask(spectra: DataFrame, x: str, out: str = "mask", binary: bool = True) -> DataFrame:
+    """Adds an array of 1 (or the intensity) at peaks, 0 elsewhere."""
+
+    def mask(v: np.ndarray) -> np.ndarray:
+        m = np.zeros(len(v))
+        p = kernels.local_peaks(v)
+        m[p] = 1.0 if binary else v[p]
+        return m
 
+    return by_kernel(spectra.withColumn(out, F.col(x)), out, mask)
 
-def peak_mask(x: Column, binary: bool = True) -> Column:
-    """Array of 1 (or the intensity) at peaks, 0 elsewhere."""
-    marks = F.transform(maxima(x), lambda p: p)
-    value = (lambda v: F.lit(1.0)) if binary else (lambda v: v.cast("double"))
-    return F.get(F.transform(F.array(marks), lambda m: F.transform(x, lambda v, i: F.when(F.array_contains(m, i), value(v)).otherwise(0.0))), F.lit(0))
+
+def _heights(spectra: DataFrame, x: str, *keep: str) -> DataFrame:
+    return with_maxima(spectra.select(*keep, x), x).withColumn("h", F.transform("peaks", lambda p: F.get(x, p).cast("double")))
 
 
 def peak_statistics(spectra: DataFrame, x: str, key: str = "spectrum_no") -> DataFrame:
     """(key, n_peaks, mean_intensity, max_intensity); zeros for spectra without peaks."""
-    one = spectra.select(key, F.transform(maxima(F.col(x)), lambda p: F.get(x, p).cast("double")).alias("h")).where("h is not null")
+    one = _heights(spectra, x, key).where("h is not null")
     mean = F.aggregate("h", F.lit(0.0), lambda s, v: s + v) / F.size("h")
     return one.select(key, F.size("h").alias("n_peaks"), F.when(F.size("h") > 0, mean).otherwise(0.0).alias("mean_intensity"), F.coalesce(F.array_max("h"), F.lit(0.0)).alias("max_intensity"))
 
 
-def peak_set(spectra: DataFrame, x: str, mz: Column, k: int = 200, key: str = "spectrum_no") -> DataFrame:
-    """(key, mz array, intensity array): the k highest peaks in order of m/z; of equal heights the later one stays."""
-    ranked = F.transform(maxima(F.col(x)), lambda p: F.struct(F.get(x, p).cast("double").alias("h"), p.alias("p")))
-    top = F.sort_array(F.transform(F.slice(F.sort_array(ranked, asc=False), 1, k), lambda s: F.struct(s["p"].alias("p"), s["h"].alias("h"))))
-    return spectra.select(key, top.alias("t"), mz.alias("_mz")).select(key, F.transform("t", lambda s: F.get("_mz", s["p"])).alias("mz"), F.transform("t", lambda s: s["h"]).alias("intensity"))
+#: Spectra that an export as one array may hold.
+MOST_PADDED = 100_000
+RANKS = ("intensity", "prominence", "persistence")
+
+
+def ranked_peaks(mz: np.ndarray, x: np.ndarray, k: int, rank_by: str, method: str, options: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mz, intensity, score) of the k best peaks in order of m/z; of equal scores the later one stays."""
+    if method == "ph":
+        p, score = kernels.persistence_peaks(x, options.get("threshold", 1e-6))
+    else:
+        p = kernels.local_peaks(x, **options)
+        score = kernels.prominences(x, p) if rank_by == "prominence" else x[p]
+    if rank_by == "intensity":
+        score = x[p]
+    top = np.sort(np.argsort(-score[::-1], kind="stable")[:k])
+    top = np.sort(len(p) - 1 - top) if len(p) else top
+    return mz[p[top]], x[p[top]], score[top]
+
+
+def peak_set(spectra: DataFrame, mz: str, x: str, k: int = 200, key: str = "spectrum_no", rank_by: str = "intensity", method: str = "local", **options) -> DataFrame:
+    """(key, mz array, intensity array, score array): the k best peaks by intensity, prominence or persistence in order of m/z.
+
+    Of equal scores the later peak stays. Persistence needs method ``ph``. Null arrays give no row, spectra without peaks empty arrays.
+    """
+    if rank_by not in RANKS or method not in ("local", "ph") or k < 1:
+        raise ValueError("rank_by is intensity, prominence or persistence, method local or ph, k positive")
+    if (rank_by == "persistence" and method != "ph") or (rank_by == "prominence" and method == "ph"):
+        raise ValueError("persistence goes with ph, prominence with local")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [ranked_peaks(np.asarray(m, float), np.asarray(v, float), k, rank_by, method, options) for m, v in zip(*(b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([s[i] for s in sets], pa.list_(pa.float64())) for i in range(3)]], [key, "mz", "intensity", "score"])
+
+    rows = spectra.select(key, F.col(mz).alias("mz"), F.col(x).alias("x")).where("mz is not null and x is not null")
+    list_ = T.ArrayType(T.DoubleType())
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *[T.StructField(c, list_) for c in ("mz", "intensity", "score")]]))
 
 
 def detected(spectra: DataFrame, x: str, method: str = "local", key: str = "spectrum_no", **options) -> DataFrame:
@@ -83,7 +124,9 @@ def detected(spectra: DataFrame, x: str, method: str = "local", key: str = "spec
 
 
 def padded(sets: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """((n, P, 2) float32, (n, P) mask) of a small collected peak table (key, mz, intensity), in order of key; export only."""
+    """((n, P, 2) float32, (n, P) mask) of a peak table (key, mz, intensity) of at most MOST_PADDED rows, in order of key; export only."""
+    if sets.limit(MOST_PADDED + 1).count() > MOST_PADDED:
+        raise ValueError(f"more than {MOST_PADDED} spectra; export them in parts")
     rows = sets.orderBy(sets.columns[0]).toPandas()
     size = most or max((len(m) for m in rows["mz"]), default=0)
     out, mask = np.zeros((len(rows), size, 2), np.float32), np.zeros((len(rows), size), bool)

@@ -77,16 +77,16 @@ class PqnNormalizer(Step):
 class MovingAverage(Step):
     window: int = 5
 
-    def columns(self, df):
-        return df.withColumn("intensity", transforms.moving_average(F.col("intensity"), self.window))
+    def kernel(self, mz, x):
+        return kernels.moving_average(x, self.window)
 
 
 @dataclass(frozen=True)
 class TopHatBaseline(Step):
     half: int = 100
 
-    def columns(self, df):
-        return df.withColumn("intensity", transforms.top_hat(F.col("intensity"), self.half))
+    def kernel(self, mz, x):
+        return kernels.top_hat(x, self.half)
 
 
 def _kept(df: DataFrame, points) -> DataFrame:

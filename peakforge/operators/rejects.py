@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakforge.functions.arrays import let
 from peakforge.functions.numbers import finite, number
 
 DELIMITERS = {"space": " +", "tab": "\t", "comma": ",", "semicolon": ";"}
@@ -66,13 +67,17 @@ def judged_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("raw"), F.lit(""))
     spaced = F.coalesce(~F.col("delimiter").isin("tab", "comma", "semicolon"), F.lit(True))
     rows = rows.withColumn("_line", F.when(spaced, F.trim(text)).otherwise(text))
-    rows = rows.withColumn("_f", _fields(F.col("_line"))).withColumn("_open", _open_quotes(F.col("_line")))
     comma = F.coalesce(F.col("delimiter") == "semicolon", F.lit(False))
-    rows = rows.withColumn("mz", number(_unquote(F.get("_f", F.lit(0))), comma)).withColumn("intensity", number(_unquote(F.get("_f", F.lit(1))), comma))
-    two = F.size("_f") == 2
-    good = F.coalesce(F.col("mz").between(*MZ_RANGE), F.lit(False)) & finite(F.col("intensity")) & F.coalesce(F.col("intensity") >= 0, F.lit(False))
-    errors = F.array_compact(F.array(F.when(F.col("_open"), F.lit("quoting")), F.when(~two, F.lit("columns")), F.when(~good, F.lit("value"))))
-    return rows.withColumn("errors", errors).select(*keep, "mz", "intensity", "errors")
+
+    def read(f: Column) -> Column:
+        return F.struct(F.size(f).alias("n"), number(_unquote(F.get(f, F.lit(0))), comma).alias("mz"), number(_unquote(F.get(f, F.lit(1))), comma).alias("intensity"))
+
+    # Each line is read once: what one generator gives isn't computed again by whatever asks for it.
+    rows = rows.withColumn("_r", F.explode(F.array(let(_fields(F.col("_line")), read))))
+    two = F.col("_r.n") == 2
+    good = F.coalesce(F.col("_r.mz").between(*MZ_RANGE), F.lit(False)) & finite(F.col("_r.intensity")) & F.coalesce(F.col("_r.intensity") >= 0, F.lit(False))
+    errors = F.array_compact(F.array(F.when(_open_quotes(F.col("_line")), F.lit("quoting")), F.when(~two, F.lit("columns")), F.when(~good, F.lit("value"))))
+    return rows.withColumn("errors", errors).select(*keep, F.col("_r.mz").alias("mz"), F.col("_r.intensity").alias("intensity"), "errors")
 
 
 def rejected_lines(lines: DataFrame, files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +106,99 @@ def dtw_to(spectra: DataFrame, x: str, reference: np.ndarray, key: str = "spectr
     return spectra.select(key, x).where(F.col(x).isNotNull()).mapInPandas(run, f"{key} bigint, distance double")
 
 
+POINT_METRICS = ("wasserstein", "dtw")
+
+
+def distance_of(metric: str, mz_a: np.ndarray, a: np.ndarray, mz_b: np.ndarray, b: np.ndarray, radius: int | None = None) -> float:
+    """Distance of two spectra by name: wasserstein, dtw (intensities), or cosine, angle, pearson (spectra of one axis)."""
+    if metric == "wasserstein":
+        return kernels.wasserstein(mz_a, a, mz_b, b)
+    if metric == "dtw":
+        return kernels.warp_path(a, b, radius)[1]
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}; known: {', '.join((*METRICS, *POINT_METRICS))}")
+    if len(a) != len(b):
+        raise ValueError("spectra differ in length")
+    u, v = (x - x.mean() if metric == "pearson" else x for x in (a, b))
+    n = np.linalg.norm(u) * np.linalg.norm(v)
+    c = float(np.clip(u @ v / n, -1, 1)) if n >= TINY else None
+    return 1.0 if c is None else float(np.arccos(c) * 2 / np.pi) if metric == "angle" else 1 - c
+
+
+def pairwise(spectra: DataFrame, metric: str = "wasserstein", key: str = "spectrum_no", mz: str = "mz", x: str = "intensity", block: int = 64, **options) -> DataFrame:
+    """(i, j, distance), i < j: the upper triangle of one cohort's distance matrix, at most MOST_LOCAL spectra; more are an error.
+
+    The cohort is cut into blocks, and any two blocks are one task, so that the triangle is spread evenly and no task holds more than
+    two blocks. Spectra with null arrays are left out.
+    """
+    if metric not in METRICS and metric not in POINT_METRICS:
+        raise ValueError(f"unknown metric {metric}; known: {', '.join((*METRICS, *POINT_METRICS))}")
+    rows = spectra.select(F.col(key).cast("bigint").alias("id"), F.col(mz).alias("mz"), F.col(x).alias("x")).where("id is not null and mz is not null and x is not null")
+    n = rows.limit(MOST_LOCAL + 1).count()
+    if n > MOST_LOCAL:
+        raise ValueError(f"more than {MOST_LOCAL} members; search a stated set of queries, or cluster on posting lists")
+    g = max(1, -(-n // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(g)).cast("int"))
+    cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("id", "mz", "x", "own", (F.least("own", "o") * g + F.greatest("own", "o")).alias("cell"))
+
+    def triangle(table: pa.Table) -> pa.Table:
+        ids, own_ = table.column("id").to_numpy(), table.column("own").to_numpy()
+        axes, values = ([np.asarray(v, float) for v in table.column(c).to_pylist()] for c in ("mz", "x"))
+        first = own_ == own_.min()
+        left, right = np.nonzero(first)[0], np.arange(len(ids)) if first.all() else np.nonzero(~first)[0]
+        cell = table.column("cell")[0].as_py()
+        diagonal = cell // g == cell % g
+        out = []
+        if diagonal or not first.all():
+            out = [(min(ids[a], ids[b]), max(ids[a], ids[b]), distance_of(metric, axes[a], values[a], axes[b], values[b], **options)) for a in left for b in right if not diagonal or ids[a] < ids[b]]
+        return pa.table({"i": pa.array([o[0] for o in out], pa.int64()), "j": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
+
+    return cells.groupBy("cell").applyInArrow(triangle, "i bigint, j bigint, distance double")
+
+
+def leaf_order(distances: DataFrame, method: str = "average") -> DataFrame:
+    """(i, place): order of the rows of a distance heatmap by the leaves of the tree, for one cohort of at most MOST_LOCAL members."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, d = _square(f)
+        n, tree = len(ids), kernels.linkage(d, method)
+        stack, leaves = [2 * n - 2], []
+        while stack:
+            v = stack.pop()
+            if v < n:
+                leaves.append(v)
+            else:
+                stack.extend([int(tree[v - n][1]), int(tree[v - n][0])])
+        return pd.DataFrame({"i": ids[leaves], "place": np.arange(1, n + 1)})
+
+    return distances.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "i bigint, place bigint")
+
+
+def tree_of(distances: DataFrame, method: str = "average") -> DataFrame:
+    """(step, a, b, height, size): the merges of the tree (dendrogram) of one cohort of at most MOST_LOCAL members; new nodes are numbered from n on."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        t = kernels.linkage(_square(f)[1], method)
+        return pd.DataFrame({"step": np.arange(1, len(t) + 1), "a": t[:, 0].astype(int), "b": t[:, 1].astype(int), "height": t[:, 2], "size": t[:, 3].astype(int)})
+
+    return distances.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "step bigint, a bigint, b bigint, height double, size bigint")
+
+
+#: Members of a cohort that one task may hold as a matrix.
 MOST_LOCAL = 4000
 
 
+def _square(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.unique(np.concatenate([f["i"], f["j"]]))
+    if len(ids) > MOST_LOCAL:
+        raise ValueError(f"more than {MOST_LOCAL} members")
+    d = np.zeros((len(ids), len(ids)))
+    a, b = np.searchsorted(ids, f["i"]), np.searchsorted(ids, f["j"])
+    d[a, b] = f["distance"]
+    d[b, a] = f["distance"]
+    return ids, d
+
+
 def clustered(distances: DataFrame, method: str, **options) -> DataFrame:
     """(i, label) of a long distance table (i, j, distance) by hierarchical, kmedoids or hdbscan clustering of one small cohort.
 
@@ -116,13 +207,7 @@ def clustered(distances: DataFrame, method: str, **options) -> DataFrame:
     """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([f["i"], f["j"]]))
-        if len(ids) > MOST_LOCAL:
-            raise ValueError(f"more than {MOST_LOCAL} members")
-        d = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, f["i"]), np.searchsorted(ids, f["j"])
-        d[a, b] = f["distance"]
-        d[b, a] = f["distance"]
+        ids, d = _square(f)
         if method == "hierarchical":
             labels = kernels.cut_tree(kernels.linkage(d, options.get("linkage", "average")), len(ids), options.get("clusters"), options.get("height"))
         elif method == "kmedoids":

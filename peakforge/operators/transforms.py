@@ -5,12 +5,17 @@ A spectrum is a row (id, mz array, intensity array). A null array stays null, an
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from peakforge.functions.arrays import doubles, let, median, total, windows
+from peakforge.functions import kernels
+from peakforge.functions.arrays import doubles, let, median, total
 
 
 def clip_negatives(x: Column) -> Column:
@@ -60,28 +65,28 @@ def trim_ranges(points: Column, ranges: list[tuple[float, float]]) -> Column:
     return F.filter(points, lambda p: reduce(lambda a, b: a | b, [p["mz"].between(lo, hi) for lo, hi in ranges]))
 
 
-def moving_average(x: Column, window: int = 5) -> Column:
+def by_kernel(spectra: DataFrame, x: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``spectra`` with the array ``x`` put through a function of one numpy array, in Arrow batches; null arrays stay null, empty ones empty."""
+    at = spectra.columns.index(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = [None if v is None else kernel(np.asarray(v, float)) if len(v) else np.zeros(0) for v in b.column(at).to_numpy(zero_copy_only=False)]
+            yield b.set_column(at, x, pa.array(cells, pa.list_(pa.float64())))
+
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == x else f.dataType) for f in spectra.schema])
+    return spectra.mapInArrow(run, schema)
+
+
+def moving_average(spectra: DataFrame, x: str, window: int = 5) -> DataFrame:
     """Centred mean over an odd window; beyond the ends the array is mirrored with its edge repeated."""
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
-    h = window // 2
+    return by_kernel(spectra, x, partial(kernels.moving_average, window=window))
 
-    def smooth(p: Column) -> Column:
-        spots = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x))).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: total(F.slice(p, i, window)) / window)
 
-    padded = F.concat(F.reverse(F.slice(x, 1, h)), x, F.reverse(F.slice(x, F.greatest(F.size(x) - h + 1, F.lit(1)), h)))
-    short = F.raise_error(F.lit("spectrum is shorter than half the window")).cast("array<double>")
-    return F.when((F.size(x) >= h) | (F.size(x) == 0), let(padded, smooth)).otherwise(short)
-
-
-def top_hat(x: Column, half: int = 100) -> Column:
-    """Intensity above the grey opening of size 2*half+1; longer windows than the spectrum are an error."""
+def top_hat(spectra: DataFrame, x: str, half: int = 100) -> DataFrame:
+    """Intensity above the grey opening of size 2*half+1; a window wider than the spectrum is an error."""
     if half < 1:
         raise ValueError("half window must be at least 1")
-
-    def opened(low: Column) -> Column:
-        return F.zip_with(x, windows(low, half, F.array_max), lambda v, b: v - b)
-
-    wide = F.raise_error(F.lit("window is wider than the spectrum")).cast("array<double>")
-    return F.when(F.size(x) >= 2 * half + 1, let(windows(x, half, F.array_min), opened)).otherwise(wide)
+    return by_kernel(spectra, x, partial(kernels.top_hat, half=half))

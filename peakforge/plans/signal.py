@@ -76,7 +76,7 @@ FROM (SELECT *, bin_index - 2 AS p0, bin_index - 1 AS p1, bin_index + 1 AS p3, b
 
 @R.add("moving_average", sql(_MA, "smooth"))
 def moving_average(spark, d):
-    return rounded(_long(spectra(spark, d).select("spectrum_no", transforms.moving_average(F.col("x"), 5).alias("smooth")), "spectrum_no", "smooth"))
+    return rounded(_long(transforms.moving_average(spectra(spark, d).select("spectrum_no", F.col("x").alias("smooth")), "smooth", 5), "spectrum_no", "smooth"))
 
 
 _W = "OVER (PARTITION BY spectrum_no ORDER BY bin_index ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
@@ -84,7 +84,7 @@ _W = "OVER (PARTITION BY spectrum_no ORDER BY bin_index ROWS BETWEEN 10 PRECEDIN
 
 @R.add("tophat_baseline", sql(f"SELECT spectrum_no, bin_index AS pos, intensity - max(low) {_W} AS top FROM (SELECT *, min(intensity) {_W} AS low FROM matrix)", "top"))
 def tophat_baseline(spark, d):
-    return rounded(_long(spectra(spark, d).select("spectrum_no", transforms.top_hat(F.col("x"), 10).alias("top")), "spectrum_no", "top"))
+    return rounded(_long(transforms.top_hat(spectra(spark, d).select("spectrum_no", F.col("x").alias("top")), "top", 10), "spectrum_no", "top"))
 
 
 def _steps(spark, d, *steps):
@@ -240,13 +240,13 @@ def peak_statistics(spark, d):
 )
 def peakset_topk(spark, d):
     s = spectra(spark, d)
-    sets = peaks.peak_set(s, "x", F.transform("x", lambda v, i: START + WIDTH * i), 12)
+    sets = peaks.peak_set(s.withColumn("mz", F.transform("x", lambda v, i: START + WIDTH * i)), "mz", "x", 12)
     return rounded(sets.select("spectrum_no", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("spectrum_no", "p.mz", "p.intensity"))
 
 
 @R.add("peak_mask", sql("SELECT spectrum_no, bin_index AS pos, CASE WHEN t.pos IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS mask FROM matrix m LEFT JOIN tops t ON m.spectrum_no = t.spectrum_no AND m.bin_index = t.pos".replace("SELECT spectrum_no", "SELECT m.spectrum_no"), ctes=_RUNS))
 def peak_mask(spark, d):
-    return _long(spectra(spark, d).select("spectrum_no", peaks.peak_mask(F.col("x")).alias("mask")), "spectrum_no", "mask")
+    return _long(peaks.peak_mask(spectra(spark, d).select("spectrum_no", "x"), "x"), "spectrum_no", "mask")
 
 
 @R.add("peaks_prominence")

@@ -112,7 +112,7 @@ def _array(spark, x):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=0, max_size=20))
 def test_maxima_in_sql_equal_the_kernel(spark, x):
-    got = _array(spark, [float(v) for v in x]).select(peaks.maxima(F.col("x")).alias("p")).first()["p"]
+    got = peaks.with_maxima(_array(spark, [float(v) for v in x]), "x", "p").first()["p"]
     assert got == K.local_peaks(np.array(x, float)).tolist()
 
 
@@ -122,7 +122,7 @@ def test_arrays_and_transforms_edge_cases(spark):
     assert got == {1: [], 2: None, 3: [0.0, 0.0], 4: [0.25, 0.75]}
     assert df.select(quantile(F.col("x"), 0.25).alias("q")).collect()[3]["q"] == 1.5
     with pytest.raises(ValueError):
-        transforms.moving_average(F.col("x"), 4)
+        transforms.moving_average(None, "x", 4)
 
 
 def test_edges_cover_and_rise():

@@ -10,6 +10,10 @@ import pytest
 import __spark_entry__ as entry
 
 
+#: Queries of which a result without rows is right on the smallest tables.
+MAY_BE_EMPTY = {"diff_significant"}
+
+
 def _cell(v):
     if v is None:
         return "~"
@@ -44,10 +48,13 @@ def test_same_rows(spark, data, duck, name):
     assert got == want
 
 
-def test_every_query_runs(spark, data):
-    for name, q in entry.queries().items():
-        if name not in entry.oracle_sql() and not name[:1] == "p":
-            assert q(spark, data).columns, name
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_query_without_sql_computes(spark, data, name):
+    """All rows are made, not only planned; columns stay as declared."""
+    df = entry.queries()[name](spark, data)
+    rows = df.collect()
+    assert len(set(df.columns)) == len(df.columns) and all(len(r) == len(df.columns) for r in rows)
+    assert rows or name in MAY_BE_EMPTY
 
 
 def test_entry(spark, data):
