@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from peakforge.operators import binning, quality
-from peakforge.operators.peaks import detected
 from peakforge.operators.pipeline import Pipeline
 from peakforge.sources import dataset, text
 
@@ -52,19 +51,20 @@ def preprocess(spark: SparkSession, a: argparse.Namespace) -> int:
     edges = binning.edges_of(a.method, low, high, a.bin_width)
     p = done.select("spectrum_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("spectrum_id", "p.mz", "p.intensity")
     m = binning.bin_points(p, binning.edge_bin(F.col("mz"), edges) if a.method != "uniform" else binning.uniform_bin(F.col("mz"), low, a.bin_width, len(edges) - 1), len(edges) - 1, "spectrum_id")
-    m.write.mode("overwrite").parquet(a.output)
+    if a.format == "csv":
+        rows = m.groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("bin_index", "intensity"))).alias("b"))
+        rows.select("spectrum_id", *[F.get("b", F.lit(i))["intensity"].alias(str(e)) for i, e in enumerate(edges[:-1])]).write.mode("overwrite").option("header", True).csv(a.output)
+    else:
+        m.write.mode("overwrite").parquet(a.output)
+    if a.save_spectra_dir:
+        dataset.SpectrumSet(done, done.select("spectrum_id")).save_spectra(a.save_spectra_dir)
     print(f"{n} spectra, {bad} failed")
     return 0
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> int:
     s = text.read_spectra(spark, a.input).where(F.size("mz") > 0)
-    s = s.withColumn("far", quality.within(F.col("mz"), F.col("intensity"), 19500, 20000)).withColumn("noise", quality.noise_level(F.col("far")))
-    q = s.select("spectrum_id", "noise", quality.snr(F.col("intensity"), F.col("far")).alias("snr"), quality.baseline_fraction(F.col("intensity"), F.col("noise")).alias("baseline_fraction"), quality.dynamic_range(F.col("intensity")).alias("dynamic_range"))
-    numbered = s.withColumn("spectrum_no", F.xxhash64("spectrum_id"))
-    n = detected(numbered, "intensity", prominence=1e-4).groupBy("spectrum_no").agg(F.count(F.lit(1)).alias("peak_count"))
-    q = q.withColumn("spectrum_no", F.xxhash64("spectrum_id")).join(n, "spectrum_no", "left").drop("spectrum_no").fillna(0, ["peak_count"])
-    q.write.mode("overwrite").option("header", True).csv(a.output)
+    quality.full_report(s, "spectrum_id").write.mode("overwrite").option("header", True).csv(a.output)
     return 0
 
 
@@ -84,6 +84,8 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("-o", "--output", required=True)
     c.add_argument("-b", "--bin-width", type=float, default=3.0)
     c.add_argument("--method", default="uniform")
+    c.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="long table, or one column per bin")
+    c.add_argument("--save-spectra-dir", help="folder for the preprocessed spectra")
     c.add_argument("-p", "--pipeline")
     c.set_defaults(run=preprocess)
     c = sub.add_parser("quality", help="quality report of raw text spectra")

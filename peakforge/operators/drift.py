@@ -13,6 +13,51 @@ from peakforge.operators.differential import analysis, class_moments, corrected,
 DAY = 86_400
 
 
+def timestamps(rows: DataFrame, ts: str) -> DataFrame:
+    """``rows`` with ``ts`` as timestamp; a value that can't be read as one is an error that names it, nulls are one too."""
+    text = F.col(ts).cast("string")
+    read = text.try_cast("timestamp")
+    wrong = F.raise_error(F.concat(F.lit(f"{ts} holds no time: "), F.coalesce(text, F.lit("null")))).cast("timestamp")
+    return rows.withColumn(ts, F.coalesce(read, wrong).cast("timestamp_ntz"))
+
+
+class Monitor:
+    """A baseline fitted once, against which later windows are measured.
+
+    ``matrix`` has key, ts, bin_index, intensity, and y where effects or stability are asked for. Fewer than two baseline spectra are an error.
+    """
+
+    def __init__(self, share: float = 0.2, days: int = 30, min_samples: int = 5, key: str = "spectrum_no", ts: str = "ts") -> None:
+        if not 0 < share < 1 or days < 1:
+            raise ValueError("share lies between 0 and 1, days are positive")
+        self.share, self.days, self.min_samples, self.key, self.ts, self.cut = share, days, min_samples, key, ts, None
+
+    def fit(self, matrix: DataFrame) -> Monitor:
+        times = matrix.select(self.key, self.ts).distinct()
+        row = baseline_end(times, self.ts, self.share).first()
+        if row is None or times.where(F.col(self.ts) <= F.lit(row["cut"])).limit(2).count() < 2:
+            raise ValueError("the baseline needs at least two spectra")
+        self.cut = row["cut"]
+        return self
+
+    def _how(self) -> dict:
+        if self.cut is None:
+            raise ValueError("fit the monitor first")
+        return {"days": self.days, "min_samples": self.min_samples, "ts": self.ts}
+
+    def reference(self, matrix: DataFrame) -> DataFrame:
+        return reference_drift(matrix, self.cut, key=self.key, **self._how())
+
+    def pca(self, matrix: DataFrame, k: int = 2) -> DataFrame:
+        return pca_drift(matrix, self.cut, k=k, key=self.key, **self._how())
+
+    def stability(self, matrix: DataFrame, n_top: int = 20) -> DataFrame:
+        return tested_stability(matrix, self.cut, n_top=n_top, **self._how())
+
+    def effects(self, matrix: DataFrame, bins: list[int]) -> DataFrame:
+        return window_effects(matrix, self.cut, bins, key=self.key, **self._how())
+
+
 def baseline_end(times: DataFrame, ts: str = "ts", share: float = 0.2):
     """The time stamp at the end of the first ``share`` of the sorted times, as a one-row frame (cut).
 

@@ -41,6 +41,30 @@ def merge_grids(spectra: DataFrame, group: str) -> DataFrame:
     return spectra.select(group, "mz", "intensity").where("mz is not null and intensity is not null and size(mz) > 0").groupBy(group).applyInPandas(run, f"{group} {kind}, mz array<double>, intensity array<double>")
 
 
+def merge_overlap(spectra: DataFrame, group: str) -> DataFrame:
+    """(group, mz, intensity) arrays: mean of the spectra of a group on the range they share.
+
+    Steps are the smallest of the spectra's median steps. A lone spectrum stays as it is; spectra that share no range are an error. Null and
+    empty spectra are left out. One group must fit into a task: replicates of one isolate.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        axes, values = ([np.asarray(v, float) for v in f[c]] for c in ("mz", "intensity"))
+        if len(axes) == 1:
+            return pd.DataFrame({group: [f[group].iloc[0]], "mz": axes, "intensity": values})
+        low, high = max(a.min() for a in axes), min(a.max() for a in axes)
+        if low >= high:
+            raise ValueError(f"replicates of {f[group].iloc[0]} share no range")
+        step = min((float(np.median(np.diff(a))) for a in axes if len(a) > 1), default=0.0)
+        if step <= 0:
+            raise ValueError(f"replicates of {f[group].iloc[0]} have no steps")
+        grid = np.arange(low, high + step / 2, step)
+        return pd.DataFrame({group: [f[group].iloc[0]], "mz": [grid], "intensity": [np.mean([np.interp(grid, a, v) for a, v in zip(axes, values)], axis=0)]})
+
+    kind = dict(spectra.dtypes)[group]
+    return spectra.select(group, "mz", "intensity").where("mz is not null and intensity is not null and size(mz) > 0").groupBy(group).applyInPandas(run, f"{group} {kind}, mz array<double>, intensity array<double>")
+
+
 def outlier_replicates(points: DataFrame, group: str, key: str, axis: str = "bin_index", value: str = "intensity", threshold: float = 3.0) -> DataFrame:
     """(group, key, correlation, keep): spectra whose correlation with the group's median spectrum is not far below the usual.
 

@@ -149,6 +149,18 @@ def pairwise(spectra: DataFrame, metric: str = "wasserstein", key: str = "spectr
         cell = table.column("cell")[0].as_py()
         diagonal = cell // g == cell % g
         out = []
+        if metric in METRICS and (diagonal or not first.all()):
+            if len({len(v) for v in values}) > 1:
+                raise ValueError("spectra differ in length")
+            m = np.stack(values)
+            m = m - m.mean(axis=1, keepdims=True) if metric == "pearson" else m
+            norm = np.linalg.norm(m, axis=1)
+            size = norm[left][:, None] * norm[right][None, :]
+            c = np.clip(m[left] @ m[right].T / np.where(size >= TINY, size, 1.0), -1, 1)
+            d = np.where(size >= TINY, np.arccos(c) * 2 / np.pi if metric == "angle" else 1 - c, 1.0)
+            a, b = np.nonzero(ids[left][:, None] < ids[right][None, :]) if diagonal else (v.ravel() for v in np.indices(d.shape))
+            i, j = ids[left][a], ids[right][b]
+            return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": d[a, b]})
         if diagonal or not first.all():
             out = [(min(ids[a], ids[b]), max(ids[a], ids[b]), distance_of(metric, axes[a], values[a], axes[b], values[b], **options)) for a in left for b in right if not diagonal or ids[a] < ids[b]]
         return pa.table({"i": pa.array([o[0] for o in out], pa.int64()), "j": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})

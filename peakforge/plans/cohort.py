@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakforge.operators import differential, drift, evaluation, filters, replicates, similarity, susceptibility
+from peakforge.operators import differential, drift, evaluation, filters, plots, replicates, similarity, susceptibility
 from peakforge.plans.registry import Registry
 from peakforge.plans.views import MIC, RESISTANT_ABOVE, START, WIDTH, labels, matrix, peaks, records, rounded, spectra, sql
 from peakforge.sources.tables import table
@@ -386,7 +386,7 @@ def pseudogel_rank(spark, d):
     return rounded(m.select("spectrum_no", "instrument", F.row_number().over(w).cast("bigint").alias("place"), F.log1p("m").alias("shade")))
 
 
-# similarity: every hundredth embedding as query against all
+# similarity: every fiftieth embedding as query against all
 
 
 _DOT = "list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), lambda p: p[1] * p[2]))"
@@ -553,3 +553,98 @@ def drift_tested_stability(spark, d):
 def drift_pca(spark, d):
     m, cut = _drift(spark, d)
     return rounded(drift.pca_drift(m, cut, 90), 4)
+
+
+# all drugs through the whole analysis
+
+
+def _per_drug(spark, d):
+    """(drug, bin_index, fold_change, adjusted_p_value, ...) of every drug of the list, by rank-sum test and correction per drug."""
+    drugs = [r[0] for r in table(spark, d, "drug_ref", "drug").where("drug is not null").orderBy("drug").collect()]
+    r = records(spark, d).where(F.col("drug").isin(drugs)).select("id", "drug", susceptibility.mic_value(F.col("mic")).alias("v")).where("v is not null")
+    m = spectra(spark, d).join(r, "id").select("drug", (F.col("v") > RESISTANT_ABOVE).cast("int").alias("y"), F.posexplode("x").alias("bin_index", "intensity"))
+    return drugs, differential.analysis(m, by=["drug"])
+
+
+@R.add("diff_by_drug")
+def diff_by_drug(spark, d):
+    return rounded(_per_drug(spark, d)[1])
+
+
+@R.add("compare_all_drugs")
+def compare_all_drugs(spark, d):
+    """Bin x drug flags over the bins that are significant for any drug of the list."""
+    drugs, results = _per_drug(spark, d)
+    return differential.compared(results, drugs, fold=0.1, p=0.5)
+
+
+@R.add("upset_all_drugs")
+def upset_all_drugs(spark, d):
+    drugs, results = _per_drug(spark, d)
+    return differential.flag_sets(differential.compared(results, drugs, fold=0.1, p=0.5), drugs)
+
+
+# plot data
+
+
+@R.add(
+    "plot_label_order",
+    sql(
+        """SELECT label, shown, row_number() OVER (ORDER BY g, number, label) AS place, n FROM (
+SELECT label, CASE label WHEN 'S' THEN 'Susceptible' WHEN 'I' THEN 'Intermediate' WHEN 'R' THEN 'Resistant' ELSE label END AS shown, n,
+ CASE WHEN label IN ('S', 'I', 'R') THEN 0 WHEN try_cast(label AS DOUBLE) IS NOT NULL THEN 1 WHEN label IS NOT NULL THEN 2 ELSE 3 END AS g,
+ CASE label WHEN 'S' THEN 1 WHEN 'I' THEN 2 WHEN 'R' THEN 3 ELSE try_cast(label AS DOUBLE) END AS number
+FROM (SELECT mic AS label, count(*) AS n FROM metadata WHERE mic IS NULL OR regexp_matches(mic, '^[0-9.]+$') GROUP BY 1))"""
+    ),
+)
+def plot_label_order(spark, d):
+    return plots.ordered_labels(_meta(spark, d).where(F.col("mic").isNull() | F.col("mic").rlike("^[0-9.]+$")), "mic")
+
+
+_GEL = """mm AS (SELECT spectrum_no, y, avg(intensity) AS m FROM matrix JOIN labels USING (spectrum_no) GROUP BY 1, 2),
+lanes AS (SELECT spectrum_no, y, row_number() OVER (PARTITION BY y ORDER BY round(m, 9) DESC, spectrum_no) AS place FROM mm),
+cells AS (SELECT spectrum_no, 0 AS region, bin_index, ln(1 + intensity) AS shade FROM matrix WHERE 2000 + 75 * bin_index BETWEEN 3000 AND 4000
+ UNION ALL SELECT spectrum_no, 1, bin_index, ln(1 + intensity) FROM matrix WHERE 2000 + 75 * bin_index BETWEEN 9000 AND 9500
+ UNION ALL SELECT spectrum_no, 0, NULL, NULL FROM lanes)"""
+
+
+@R.add("plot_pseudogel", sql("SELECT y, place, spectrum_no, CAST(region AS INTEGER) AS region, bin_index, shade FROM lanes JOIN cells USING (spectrum_no)", "shade", ctes=_GEL))
+def plot_pseudogel(spark, d):
+    m = matrix(spark, d).join(labels(spark, d).dropDuplicates(["spectrum_no"]), "spectrum_no")
+    return rounded(plots.pseudogel(m, "y", [(3000.0, 4000.0), (9000.0, 9500.0)], START, WIDTH))
+
+
+@R.add("plot_pca")
+def plot_pca(spark, d):
+    return rounded(plots.embedding(matrix(spark, d)), 4)
+
+
+def _cohort(spark, d):
+    """The embeddings as one cohort of spectra on one axis."""
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda v, i: i.cast("double")).alias("mz"), F.col("embedding").alias("intensity"))
+
+
+@R.add(
+    "pairwise_cosine",
+    "SELECT CAST(a.vec_id AS BIGINT) AS i, CAST(b.vec_id AS BIGINT) AS j, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id",
+)
+def pairwise_cosine(spark, d):
+    return rounded(similarity.pairwise(_cohort(spark, d), "cosine", "vec_id"))
+
+
+@R.add("heatmap_order")
+def heatmap_order(spark, d):
+    return similarity.leaf_order(similarity.pairwise(_cohort(spark, d), "cosine", "vec_id"))
+
+
+@R.add("dendrogram")
+def dendrogram(spark, d):
+    return rounded(similarity.tree_of(similarity.pairwise(_cohort(spark, d), "cosine", "vec_id")))
+
+
+@R.add("drift_monitor")
+def drift_monitor(spark, d):
+    """The reference drift of a fitted monitor on bins of 600 Da."""
+    m = drift.timestamps(matrix(spark, d, "acquired_at"), "acquired_at")
+    m = m.groupBy("spectrum_no", F.col("acquired_at").alias("ts"), F.floor(F.col("bin_index") / 8).cast("int").alias("bin_index")).agg(F.sum("intensity").alias("intensity"))
+    return rounded(drift.Monitor(days=90).fit(m).reference(m))

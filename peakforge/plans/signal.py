@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peakforge.functions.arrays import median, total
-from peakforge.operators import alignment, binning, peaks, pipeline, quality, transforms
+from peakforge.operators import alignment, binning, peaks, pipeline, plots, quality, raw_alignment, transforms
 from peakforge.plans.registry import Registry
 from peakforge.plans.views import START, WIDTH, matrix, points, rounded, spectra, sql
 from peakforge.plans.views import peaks as peak_arrays
@@ -206,10 +206,23 @@ def noise_mad(spark, d):
     return rounded(spectra(spark, d).select("spectrum_no", quality.mad_noise(F.col("x")).alias("noise")))
 
 
-@R.add("snr_median_top", sql("SELECT spectrum_no, list_aggregate(list_sort(intensity, 'DESC')[1:10], 'median') AS top_median, list_sum(intensity) AS total FROM peaks", "top_median", "total"))
+@R.add(
+    "snr_median_top",
+    sql(
+        """SELECT spectrum_no, CASE WHEN coalesce(mad, 0) > 0 THEN least(list_aggregate(list_sort(intensity, 'DESC')[1:10], 'median') / (mad * 1.4826), 1e6) ELSE 1e6 END AS snr
+FROM peaks JOIN dev USING (spectrum_no)""",
+        "snr", ctes=_QUALITY, digits=4,
+    ),
+)
 def snr_median_top(spark, d):
-    p = peak_arrays(spark, d)
-    return rounded(p.select("spectrum_no", median(F.slice(F.reverse(F.array_sort("intensity")), 1, 10)).alias("top_median"), total(F.col("intensity")).alias("total")))
+    p = peak_arrays(spark, d).withColumn("far", quality.within(F.col("mz"), F.col("intensity"), 12000, 20000))
+    return rounded(p.select("spectrum_no", quality.snr(F.col("intensity"), F.col("far"), 10).alias("snr")), 4)
+
+
+@R.add("quality_full")
+def quality_full(spark, d):
+    s = spectra(spark, d).select("spectrum_no", F.transform("x", lambda v, i: START + WIDTH * i).alias("mz"), F.col("x").alias("intensity"))
+    return rounded(quality.full_report(s), 4)
 
 
 # peaks
@@ -326,3 +339,103 @@ for _m in ("shift", "linear", "piecewise", "quadratic", "cubic", "lowess"):
 def peaks_aligned(spark, d):
     out = alignment.aligned_peaks(peak_arrays(spark, d), _REF, "lowess")
     return rounded(_long(out, "spectrum_no", "mz", "intensity"))
+
+
+# raw spectra, each on its own axis: here the bins' starts
+
+
+def _axes(spark, d):
+    return spectra(spark, d).select("spectrum_no", F.transform("x", lambda v, i: START + WIDTH * i).alias("mz"), F.col("x").alias("intensity"))
+
+
+_GRID = """raw AS (SELECT spectrum_no, x, CAST(unnest(range(479)) AS INTEGER) AS pos FROM spectra),
+held AS (SELECT spectrum_no, pos, (x[pos // 2 + 1] + x[(pos + 1) // 2 + 1]) / 2 AS v FROM raw),
+refs AS (SELECT pos, median(v) AS reference FROM held GROUP BY 1)"""
+
+
+@R.add("raw_reference", sql("SELECT pos, CAST(2000 + 37.5 * pos AS DOUBLE) AS mz, reference FROM refs", "reference", ctes=_GRID))
+def raw_reference(spark, d):
+    s = _axes(spark, d)
+    return rounded(raw_alignment.reference_points(s, raw_alignment.common_axis(s, 37.5)))
+
+
+@R.add("raw_moved")
+def raw_moved(spark, d):
+    s = _axes(spark, d)
+    return rounded(_long(raw_alignment.moved(s, raw_alignment.fit(s, 37.5), most=150.0), "spectrum_no", "mz", "intensity"))
+
+
+@R.add("raw_moved_binned")
+def raw_moved_binned(spark, d):
+    s = _axes(spark, d)
+    out = raw_alignment.moved(s, raw_alignment.fit(s, 37.5), "lowess", most=150.0)
+    return rounded(raw_alignment.binned(out, binning.uniform_edges(2000.0, 20000.0, 300.0)))
+
+
+@R.add("raw_binned", sql("SELECT spectrum_no, CAST(greatest(ceil(75 * bin_index / 300.0) - 1, 0) AS INTEGER) AS bin_index, sum(intensity) AS intensity FROM matrix GROUP BY ALL", "intensity"))
+def raw_binned(spark, d):
+    return rounded(raw_alignment.binned(_axes(spark, d), binning.uniform_edges(2000.0, 20000.0, 300.0)))
+
+
+_RAWQ = _GRID + """, late AS (SELECT spectrum_no, pos, CASE WHEN pos < 2 THEN 0 ELSE lag(v, 2) OVER (PARTITION BY spectrum_no ORDER BY pos) END AS v FROM held),
+both_ AS (SELECT spectrum_no, (SELECT 1) AS one, corr(h.v, r.reference) AS b FROM held h JOIN refs r USING (pos) GROUP BY 1),
+after_ AS (SELECT spectrum_no, corr(l.v, r.reference) AS a FROM late l JOIN refs r USING (pos) GROUP BY 1)"""
+
+
+@R.add(
+    "raw_quality",
+    sql("SELECT spectrum_no, c AS corr_before, e AS corr_after, e - c AS improvement FROM (SELECT spectrum_no, CASE WHEN isnan(coalesce(b, 0)) THEN 0 ELSE coalesce(b, 0) END AS c, CASE WHEN isnan(coalesce(a, 0)) THEN 0 ELSE coalesce(a, 0) END AS e FROM both_ JOIN after_ USING (spectrum_no))", "corr_before", "corr_after", "improvement", ctes=_RAWQ, digits=4),
+)
+def raw_quality(spark, d):
+    """The spectra against the same ones moved by one bin."""
+    s = _axes(spark, d)
+    ref = raw_alignment.fit(s, 37.5)
+    late = s.withColumn("mz", F.transform("mz", lambda v: v + WIDTH))
+    return rounded(raw_alignment.quality(s, late, ref), 4)
+
+
+@R.add("peaks_by_prominence")
+def peaks_by_prominence(spark, d):
+    return rounded(_long(peaks.peak_set(_axes(spark, d), "mz", "intensity", 12, rank_by="prominence"), "spectrum_no", "mz", "intensity", "score"))
+
+
+@R.add("peaks_by_persistence")
+def peaks_by_persistence(spark, d):
+    return rounded(_long(peaks.peak_set(_axes(spark, d), "mz", "intensity", 12, rank_by="persistence", method="ph", threshold=0.005), "spectrum_no", "mz", "intensity", "score"))
+
+
+@R.add("peaks_aligned_piecewise")
+def peaks_aligned_piecewise(spark, d):
+    return rounded(_long(alignment.aligned_peaks(peak_arrays(spark, d), _REF, "piecewise"), "spectrum_no", "mz", "intensity"))
+
+
+R.add("warp_dtw")(_warp("dtw"))
+
+
+@R.add("warp_to_row")
+def warp_to_row(spark, d):
+    s = spectra(spark, d)
+    return rounded(_long(alignment.warped(s, "x", alignment.reference_row(s, "x", 0), "shift"), "spectrum_no", "x"))
+
+
+# plot data
+
+
+@R.add("plot_spectrum", sql("SELECT spectrum_no, pos, mz, intensity, CASE WHEN top > 0 THEN intensity / top ELSE 0 END AS share FROM (SELECT *, max(intensity) OVER (PARTITION BY spectrum_no) AS top FROM points)", "intensity", "share"))
+def plot_spectrum(spark, d):
+    return rounded(plots.spectrum_lines(peak_arrays(spark, d)))
+
+
+@R.add("plot_peaks", sql("SELECT m.spectrum_no, m.bin_index AS pos, m.intensity, t.pos IS NOT NULL AS is_peak FROM matrix m LEFT JOIN tops t ON m.spectrum_no = t.spectrum_no AND m.bin_index = t.pos", "intensity", ctes=_RUNS))
+def plot_peaks(spark, d):
+    lines = matrix(spark, d).withColumnRenamed("bin_index", "pos")
+    return rounded(plots.peak_overlay(lines, peaks.peak_rows(spectra(spark, d), "x")))
+
+
+@R.add(
+    "plot_before_after",
+    sql("SELECT spectrum_no, bin_index, 'before' AS stage, intensity FROM matrix UNION ALL SELECT spectrum_no, bin_index, 'after', coalesce(lag(intensity) OVER (PARTITION BY spectrum_no ORDER BY bin_index), 0) FROM matrix", "intensity"),
+)
+def plot_before_after(spark, d):
+    moved = spectra(spark, d).select("spectrum_no", F.posexplode(alignment.shift_binned(F.col("x"), F.lit(1.0), 5)).alias("bin_index", "intensity"))
+    return rounded(plots.before_after(matrix(spark, d), moved))

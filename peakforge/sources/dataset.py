@@ -103,9 +103,9 @@ class SpectrumSet:
         return self.meta.select("spectrum_id", c.alias("isolate"))
 
     def averaged(self) -> SpectrumSet:
-        """One spectrum per isolate, the mean of its replicates."""
+        """One spectrum per isolate, the mean of its replicates on the range they share."""
         keyed = self.spectra.join(self.isolates(), "spectrum_id")
-        merged = replicates.merge_grids(keyed, "isolate").withColumnRenamed("isolate", "spectrum_id")
+        merged = replicates.merge_overlap(keyed, "isolate").withColumnRenamed("isolate", "spectrum_id")
         meta = self.meta.join(self.isolates(), "spectrum_id")
         first = replicates.resolve_duplicates(meta, "isolate", ["spectrum_id"], "first").withColumn("spectrum_id", F.col("isolate")).drop("isolate")
         return SpectrumSet(merged, first, self.drugs, self.species)
@@ -119,13 +119,34 @@ class SpectrumSet:
         rows = self.matrix(width, low=low, high=high).groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("bin_index", "intensity"))).alias("b"))
         rows.select("spectrum_id", *[F.get("b", F.lit(i))["intensity"].alias(str(e)) for i, e in enumerate(edges[:-1])]).write.mode("overwrite").option("header", True).csv(path)
 
-    def save_spectra(self, path: str, fmt: str = "csv") -> None:
-        """Points of every spectrum below ``spectrum_id=...``, as CSV or tab-separated text."""
-        p = self.spectra.select("spectrum_id", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p")).select("spectrum_id", "pos", "p.mz", "p.intensity")
+    def save_spectra(self, path: str, fmt: str = "csv", stage: str = "preprocessed", width: float = 3.0) -> None:
+        """Points of every spectrum below ``spectrum_id=...``, as CSV or tab-separated text; the binned stage has the starts of the bins as m/z.
+
+        A set holds the spectra of one stage; their raw state is that of the frame it was made from.
+        """
+        if stage not in STAGES or fmt not in ("csv", "txt"):
+            raise ValueError("stage is raw, preprocessed or binned, fmt csv or txt")
+        held = self.spectra
+        if stage == "binned":
+            rows = self.matrix(width).groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct((F.col("bin_index") * width + 2000.0).alias("mz"), "intensity"))).alias("p"))
+            held = rows.select("spectrum_id", F.transform("p", lambda v: v["mz"]).alias("mz"), F.transform("p", lambda v: v["intensity"]).alias("intensity"))
+        p = held.select("spectrum_id", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p")).select("spectrum_id", "pos", "p.mz", "p.intensity")
         p = p.repartition("spectrum_id").sortWithinPartitions("spectrum_id", "pos").drop("pos")
         p.write.mode("overwrite").partitionBy("spectrum_id").option("header", True).option("sep", "," if fmt == "csv" else "\t").csv(path)
 
 
+def write_text(spectra: DataFrame, path: str, binned: bool = False) -> None:
+    """One line per point below ``spectrum_id=...``: m/z and intensity with six decimals, of binned spectra the bin's number and all digits."""
+    p = spectra.select("spectrum_id", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p"))
+    line = F.concat(F.col("pos").cast("string"), F.lit(" "), F.col("p.intensity").cast("double").cast("string")) if binned else F.format_string("%.6f %.6f", F.col("p.mz").cast("double"), F.col("p.intensity").cast("double"))
+    rows = p.select("spectrum_id", "pos", line.alias("value")).repartition("spectrum_id").sortWithinPartitions("spectrum_id", "pos").drop("pos")
+    if binned:
+        head = rows.select("spectrum_id", F.lit(-1).alias("pos"), F.lit("bin_index binned_intensity").alias("value")).distinct()
+        both = p.select("spectrum_id", "pos", line.alias("value")).union(head.select("spectrum_id", "pos", "value"))
+        rows = both.repartition("spectrum_id").sortWithinPartitions("spectrum_id", "pos").drop("pos")
+    rows.write.mode("overwrite").partitionBy("spectrum_id").text(path)
+
+
 def build(spark: SparkSession, layout: FlatLayout, out: str, name: str, pipeline: Pipeline | None = None, bin_width: float = 3.0, extra: list[Output] = (), on_error: str = "warn") -> dict:
     """Write raw, preprocessed and binned spectra as parquet by stage and year, the metadata by year, the failures and a manifest.
 
@@ -160,8 +181,8 @@ def build(spark: SparkSession, layout: FlatLayout, out: str, name: str, pipeline
     return report
 
 
-def load(spark: SparkSession, path: str, stage: str | None = None, year: int | None = None, species: str | None = None, drugs: list[str] = (), id_transform: Callable | None = None, average: bool = False) -> SpectrumSet:
-    """A built dataset: the named stage or preprocessed, pruned to a year, metadata filtered before spectra are read."""
+def load(spark: SparkSession, path: str, stage: str | None = None, year: int | None = None, species: str | None = None, drugs: list[str] = (), id_transform: Callable | None = None, average: bool = False, then: Callable[[SpectrumSet], SpectrumSet] | None = None) -> SpectrumSet:
+    """A built dataset: the named stage or preprocessed, pruned to a year, metadata filtered before spectra are read; ``then`` is applied before averaging."""
     meta = records.prefiltered(spark.read.parquet(f"{path}/metadata"), species, list(drugs))
     s = spark.read.parquet(f"{path}/stage={stage or 'preprocessed'}")
     if year is not None:
@@ -169,6 +190,16 @@ def load(spark: SparkSession, path: str, stage: str | None = None, year: int | N
     if id_transform is not None:
         meta, s = (df.withColumn("spectrum_id", id_transform(F.col("spectrum_id"))) for df in (meta, s))
     out = SpectrumSet(s.drop("year").join(meta.select("spectrum_id").distinct(), "spectrum_id", "left_semi"), meta, drugs, species)
+    out = then(out) if then else out
+    return out.averaged() if average else out
+
+
+def load_layout(spark: SparkSession, layout, species: str | None = None, drugs: list[str] = (), average: bool = False, then: Callable[[SpectrumSet], SpectrumSet] | None = None) -> SpectrumSet:
+    """A set from any layout with ``metadata`` and ``spectra``: metadata filtered first, spectra only of ids that are left."""
+    meta = records.prefiltered(layout.metadata(spark), species, list(drugs))
+    s = layout.spectra(spark).where(F.size("mz") > 0).join(meta.select("spectrum_id").distinct(), "spectrum_id", "left_semi")
+    out = SpectrumSet(s.select("spectrum_id", "mz", "intensity"), meta, drugs, species)
+    out = then(out) if then else out
     return out.averaged() if average else out
 
 

@@ -96,21 +96,36 @@ def read_breakpoints(spark: SparkSession, path: str, version: str | None = None,
     return spark.createDataFrame(rows, "row_no bigint, guideline string, version string, year int, source string, species string, drug string, s_le double, r_gt double, atu_low double, atu_high double")
 
 
+def _manifest(folder: str):
+    """(file system, path) of the manifest, on whatever file system the folder lies."""
+    spark = SparkSession.builder.getOrCreate()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/site_info.json")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def write_manifest(folder: str, info: dict) -> None:
     """``site_info.json`` with the format version and the time of writing."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
     body = {"format_version": FORMAT, "written_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), **info}
-    (Path(folder) / "site_info.json").write_text(json.dumps(body, indent=2))
+    fs, path = _manifest(folder)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(json.dumps(body, indent=2).encode()))
+    finally:
+        out.close()
 
 
 def read_manifest(folder: str, missing_ok: bool = True) -> dict | None:
     """The manifest, also of newer versions; lacking keys are an error, a lacking file only if not ``missing_ok``."""
-    p = Path(folder) / "site_info.json"
-    if not p.exists():
+    fs, path = _manifest(folder)
+    if not fs.exists(path):
         if missing_ok:
             return None
-        raise FileNotFoundError(p)
-    d = json.loads(p.read_text())
+        raise FileNotFoundError(path.toString())
+    stream = fs.open(path)
+    try:
+        d = json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
     for key in ("format_version", "name", "stages"):
         if key not in d:
             raise ValueError(f"manifest lacks {key}")
