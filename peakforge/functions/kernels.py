@@ -32,7 +32,7 @@ def moving_average(x: np.ndarray, window: int = 5) -> np.ndarray:
     h = window // 2
     if 0 < len(x) < h:
         raise ValueError("spectrum is shorter than half the window")
-    return np.convolve(mirrored(x, h), np.full(window, 1 / window), mode="valid") if len(x) else x.copy()
+    return np.convolve(mirrored(x, h), np.ones(window), mode="valid") / window if len(x) else x.copy()
 
 
 def rolling(x: np.ndarray, half: int, lower: bool) -> np.ndarray:

@@ -642,7 +642,7 @@ def dendrogram(spark, d):
     return rounded(similarity.tree_of(similarity.pairwise(_cohort(spark, d), "cosine", "vec_id")))
 
 
-@R.add("drift_monitor")
+@R.add("drift_monitor", R.sql["drift_reference"])
 def drift_monitor(spark, d):
     """The reference drift of a fitted monitor on bins of 600 Da."""
     m = drift.timestamps(matrix(spark, d, "acquired_at"), "acquired_at")

@@ -82,17 +82,34 @@ def _lines(spark, d):
     return table(spark, d, "peak_set_raw", "line_no", "file_no", "sample_id", "pos", "raw"), table(spark, d, "raw_input", "file_no", "delimiter")
 
 
-@R.add("p5_found")
+# A line's quoted fields give way to one sign, so that what is left can be split plainly.
+_READ = r"""
+WITH files AS (SELECT file_no, min(delimiter) AS delimiter FROM raw_input WHERE file_no IS NOT NULL GROUP BY file_no),
+lines AS (SELECT l.*, coalesce(delimiter, 'space') AS d, coalesce(raw, '') AS text FROM peak_set_raw l LEFT JOIN files USING (file_no) WHERE NOT starts_with(coalesce(raw, ''), '#')),
+bare AS (SELECT *, CASE WHEN d IN ('tab', 'comma', 'semicolon') THEN text ELSE trim(text, ' ') END AS line FROM lines),
+held AS (SELECT *, regexp_extract_all(line, '"(?:[^"]|"")*"') AS quoted, regexp_replace(line, '"(?:[^"]|"")*"', chr(1), 'g') AS rest FROM bare),
+cut AS (SELECT *, CASE d WHEN 'tab' THEN string_split(rest, chr(9)) WHEN 'comma' THEN string_split(rest, ',') WHEN 'semicolon' THEN string_split(rest, ';') ELSE string_split_regex(rest, ' +') END AS f FROM held),
+typed AS (SELECT *, contains(rest, '"') OR len(list_filter(f, lambda v: contains(v, chr(1)) AND trim(v, ' ') <> chr(1))) > 0 AS open_,
+  CASE WHEN trim(f[1], ' ') = chr(1) THEN replace(quoted[1][2:-2], '""', '"') ELSE f[1] END AS a,
+  CASE WHEN trim(f[2], ' ') = chr(1) THEN replace(quoted[CASE WHEN trim(f[1], ' ') = chr(1) THEN 2 ELSE 1 END][2:-2], '""', '"') ELSE f[2] END AS b FROM cut),
+plain AS (SELECT *, CASE WHEN d = 'semicolon' AND NOT contains(a, '.') THEN regexp_replace(trim(a, ' ' || chr(9) || chr(13)), '^([^,]*),([^,]*)$', '\1.\2') ELSE trim(a, ' ' || chr(9) || chr(13)) END AS na,
+  CASE WHEN d = 'semicolon' AND NOT contains(b, '.') THEN regexp_replace(trim(b, ' ' || chr(9) || chr(13)), '^([^,]*),([^,]*)$', '\1.\2') ELSE trim(b, ' ' || chr(9) || chr(13)) END AS nb FROM typed),
+numbers AS (SELECT *, CASE WHEN regexp_full_match(na, NUMBER) THEN try_cast(na AS DOUBLE) END AS mz, CASE WHEN regexp_full_match(nb, NUMBER) THEN try_cast(nb AS DOUBLE) END AS intensity FROM plain),
+judged AS (SELECT *, CASE WHEN open_ THEN 'quoting' WHEN len(f) <> 2 THEN 'columns' WHEN NOT coalesce(mz BETWEEN 1000 AND 30000 AND intensity >= 0 AND isfinite(intensity), false) THEN 'value' END AS reason FROM numbers)
+""".replace("NUMBER", r"'[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?'")
+
+
+@R.add("p5_found", _READ + "SELECT line_no, reason FROM judged WHERE reason IS NOT NULL")
 def p5_found(spark, d):
     return rejects.rejected_lines(*_lines(spark, d))
 
 
-@R.add("p5_loaded")
+@R.add("p5_loaded", _READ + "SELECT line_no, file_no, sample_id, pos, mz, intensity FROM judged WHERE reason IS NULL")
 def p5_loaded(spark, d):
     return rejects.loaded_lines(*_lines(spark, d)).select("line_no", "file_no", "sample_id", "pos", "mz", "intensity")
 
 
-@R.add("p5_reasons")
+@R.add("p5_reasons", _READ + "SELECT coalesce(reason, 'loaded') AS outcome, count(*) AS n_lines, count(DISTINCT file_no) AS n_files FROM judged GROUP BY 1")
 def p5_reasons(spark, d):
     lines, files = _lines(spark, d)
     judged = rejects.judged_lines(lines, files)
