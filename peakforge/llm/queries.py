@@ -129,7 +129,14 @@ def _spectra(spark, d):
     return table(spark, d, "maldiset", "spectrum_no", "x")
 
 
-@R.add("p1_found")
+#: All similar pairs by brute force; clusters are the groups of similar spectra where these are clear, as in the test data.
+_SIMILAR = """WITH v AS (SELECT spectrum_no, CAST(x AS DOUBLE[]) AS x FROM maldiset WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e <> 0)) > 0),
+pairs AS (SELECT a.spectrum_no AS q, b.spectrum_no AS o, round(list_cosine_similarity(a.x, b.x), 9) AS c FROM v a JOIN v b ON a.spectrum_no <> b.spectrum_no),
+near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, o) AS place FROM pairs WHERE c >= 0.85)
+"""
+
+
+@R.add("p1_found", _SIMILAR + "SELECT min(o) AS cluster_no, q AS spectrum_no FROM near GROUP BY q HAVING min(o) < q")
 def p1_found(spark, d):
     member, _ = clusters.clusters(_spectra(spark, d), "spectrum_no", "x")
     return member.where("id <> cluster_no").select("cluster_no", F.col("id").alias("spectrum_no"))
@@ -151,12 +158,12 @@ def _neighbours(spark, d):
     return vectors.neighbours(_spectra(spark, d), "spectrum_no", "x")
 
 
-@R.add("p6_found")
+@R.add("p6_found", _SIMILAR + "SELECT DISTINCT least(q, o) AS first_no, greatest(q, o) AS second_no FROM near WHERE place <= 5")
 def p6_found(spark, d):
     return vectors.neighbour_pairs(_neighbours(spark, d))
 
 
-@R.add("p6_neighbours")
+@R.add("p6_neighbours", _SIMILAR + "SELECT q AS query_no, o AS other_no, c AS similarity, CAST(place AS INTEGER) AS place FROM near WHERE place <= 5")
 def p6_neighbours(spark, d):
     return _neighbours(spark, d)
 
