@@ -29,6 +29,8 @@ SPREAD, REACH = 1.04, 1.04
 START = 1.15
 #: Bytes a task should read.
 TASK_BYTES = 8_000_000
+#: Rows below which a task isn't worth its start.
+TASK_ROWS = 5_000
 
 
 def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -146,8 +148,8 @@ class Lists:
     def search(self, x: np.ndarray) -> np.ndarray:
         """Similarity of each row to the centroids the graph leads to; -2 for those it doesn't reach."""
         x = x.astype(np.float32)
-        if len(self.pivots) == len(self.centroids):
-            return x @ self.centroids.T
+        if len(self.centroids) <= 8 * self.links.shape[1]:
+            return x @ self.centroids.T  # few enough that walking the graph would cost more than looking at all
         sims = np.full((len(x), len(self.centroids)), -2.0, np.float32)
         d = _distance(x @ self.centroids[self.pivots].T)
         starts = d <= d.min(axis=1, keepdims=True) * START + 1e-7
@@ -174,8 +176,8 @@ class Lists:
 
 
 def tasks_of(spark, rows: float, row_bytes: int) -> int:
-    """Partitions for ``rows`` rows, so that a task reads about TASK_BYTES; at least as many as the session shuffles into."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * row_bytes / TASK_BYTES) + 1)
+    """Partitions for ``rows`` rows, so that a task reads about TASK_BYTES; as many as the session shuffles into, if there are enough rows for them."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows / TASK_ROWS) + 1), int(rows * row_bytes / TASK_BYTES) + 1)
 
 
 def sample_rows(vectors: DataFrame, key: str, x: str, dim: int, n: int | None = None, most: int = SAMPLE) -> tuple[np.ndarray, int]:
@@ -209,9 +211,9 @@ def set_aside(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFra
     marks = write_shared(rows.select("id", F.xxhash64("x").alias("h"), F.hash("x").alias("g")), "marks")
     groups = marks.groupBy("h", "g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > keep)
     groups = write_shared(groups, "groups")
-    place = marks.withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("place") <= keep)
-    stay = place.join(fitting(groups), ["h", "g"], "left_semi").select("id")
-    spare = write_shared(marks.join(fitting(groups), ["h", "g"]).select("id", "first").join(stay, "id", "left_anti"), "copies")
+    many = marks.join(fitting(groups), ["h", "g"]).select("h", "g", "id", "first")
+    stay = many.withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("place") <= keep)
+    spare = write_shared(many.join(stay.select("id"), "id", "left_anti").select("id", "first"), "copies")
     drop_shared(marks)
     return rows.join(fitting(spare.select("id")), "id", "left_anti"), spare, groups
 

@@ -83,7 +83,12 @@ def test_all_lists_within_reach_are_read(spark):
 
 
 def test_graph_search_finds_the_nearest_list():
-    x = vectors.unit(planted(3000, 60, 800, 4, 0)[1])
+    # 750 lists are looked at all, 5,000 by the graph.
+    x = vectors.unit(planted(10_000, 60, 2500, 4, 0)[1])
+    lists = vectors.Lists.fit(x, 10_000, 2)
+    assert len(lists.centroids) > 8 * lists.links.shape[1]
+    x = x[:3000]
+    assert (lists.search(x).argmax(axis=1) == (x.astype(np.float32) @ lists.centroids.T).argmax(axis=1)).mean() > 0.9
     lists = vectors.Lists.fit(x, 30_000, 40)
     assert (lists.search(x).argmax(axis=1) == (x.astype(np.float32) @ lists.centroids.T).argmax(axis=1)).mean() > 0.9
 
