@@ -3,8 +3,10 @@
 Two kinds of evidence are combined per source. Lengths: a log-normal distribution is fitted by maximum likelihood with
 the texts at a candidate limit as right-censored, and gives the posterior that a text of exactly this length was cut.
 Endings: what sources put behind a text (page numbers, closing tags, end marks) is taken off; a text that then lacks a
-sentence end is open, and all texts together tell how often its last words end a sentence. A source that leaves
-complete texts without full stop shows so by many open texts with words that do.
+sentence end is open, and all texts together tell how often its last words end a sentence, among all places at which a cut
+would leave these words: a cut inside a longer word leaves its beginning. A source that leaves complete texts without full
+stop shows so by many open texts with words that do. A full stop that all texts put behind a word without ever ending a line
+there belongs to an abbreviation and ends no text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.session import write_shared
+from peakforge.session import fitting, write_shared
 
 # Marks of a cut, and what may stand behind a complete text.
 CUT_MARK = (
@@ -33,9 +35,15 @@ SENTENCE_END = r"""[.。!?！？]["'”»)\]]*$"""
 WORD = r"[\p{L}\p{N}]+|[.。!?！？;:](?=\s|$|<)|。"
 PY_WORD = r"[^\W_]+|[.。!?！？;:](?=\s|$|<)|。"
 ENDS = [".", "。", "!", "?", "！", "？"]
+#: The word at the end of a text or of what stands before a full stop.
+TOKEN = r"""[^\s>("“«]{1,40}"""
 
 #: How often last words must end a sentence to look final; shares of cut and of complete open texts that do.
-FINAL, CUT_FINAL, WHOLE_FINAL = 0.02, 0.15, 0.95
+FINAL, CUT_FINAL, WHOLE_FINAL = 0.02, 0.05, 0.95
+#: Share of complete open texts of a source below which none is taken to exist there; less where the source has more texts.
+RARELY_OPEN = 0.0005
+#: An abbreviation's full stop ends a line so much more rarely than full stops do, and should have ended so many lines at least.
+LINE_SHARE, LINES = 0.02, 10
 #: Different texts a limit must hold at least, how many times more than expected, and the odds against chance over all lengths of a source.
 LEAST_AT_LIMIT, EXCESS, ODDS = 3, 5.0, 1e-3
 #: Lengths on either side whose texts tell how many to expect at a length.
@@ -135,9 +143,35 @@ def shapes(documents: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "source", "n_chars", "n_bytes", "print", marked.alias("marked"), (~F.col("body").rlike(SENTENCE_END)).alias("open"),
         F.regexp_replace(F.trim("furniture", F.lit(" \n\r\t")), "[0-9]+", "9").alias("trailer"), F.try_element_at(w, F.lit(-1)).alias("last"), F.try_element_at(w, F.lit(-2)).alias("prev"),
+        F.regexp_extract("body", rf"({TOKEN}?)\.?$", 1).alias("token"),
     )
 
 
+def abbreviations(documents: DataFrame) -> DataFrame:
+    """(token): words behind which a full stop stands often, but hardly ever at the end of a line or before a tag. Texts without such places say nothing."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(TOKEN + "$").search
+        for batch in batches:
+            inner, ending = Counter(), Counter()
+            for text in batch.column("text").to_pylist():
+                if not text:
+                    continue
+                broken = [*text.split(".\n")[:-1], *text.split(".<")[:-1]]
+                if broken:
+                    ending.update(m[0] for x in broken if (m := token(x[-40:])))
+                    inner.update(m[0] for x in text.split(". ")[:-1] if (m := token(x[-40:])))
+            keys = list(inner.keys() | ending.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inner[k] for k in keys], pa.int64()), pa.array([ending[k] for k in keys], pa.int64())], ["token", "inner", "ending"])
+
+    counted = documents.select("text").mapInArrow(count, "token string, inner bigint, ending bigint")
+    counted = write_shared(counted.groupBy("token").agg(F.sum("inner").alias("inner"), F.sum("ending").alias("ending")), "stops")
+    n, e = counted.agg(F.sum(F.col("inner") + F.col("ending")), F.sum("ending")).first()
+    share = (e or 0) / max(1, n or 0)
+    due = (F.col("inner") + F.col("ending")) * share
+    return counted.where((due >= LINES) & (F.col("ending") < LINE_SHARE * due)).select("token")
+
+
 def word_endings(documents: DataFrame, open_: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """(prev, last, n, ends): how often each pair of words with a last or previous word of ``open_`` stands in all texts, and how often a sentence ends behind it.
 
@@ -175,15 +209,21 @@ def word_endings(documents: DataFrame, open_: DataFrame, most_words: int = MOST_
 
 
 def finality(documents: DataFrame, open_: DataFrame) -> DataFrame:
-    """(last, prev, final): estimated share of places with these last two words at which a sentence ends; 0 for a word never seen elsewhere."""
+    """(last, prev, final): estimated share of sentence ends among the places at which a cut would leave these last two words; 0 for a word never seen elsewhere.
+
+    These are the places with the two words, and those where a longer word begins with the last one.
+    """
     pairs = write_shared(word_endings(documents, open_), "endings")
     one = pairs.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("ends").alias("e1"))
     two = pairs.groupBy("prev").agg(F.sum("n").alias("n2"), F.sum("ends").alias("e2"))
-    asked = open_.select("last", "prev").where("last is not null").distinct()
-    both = asked.join(one, "last", "left").join(two, "prev", "left").join(pairs, ["prev", "last"], "left")
+    asked = write_shared(open_.select("last", "prev").where("last is not null").distinct(), "asked")
+    begun = pairs.join(fitting(asked.select("prev").distinct()), "prev", "left_semi").where(F.char_length("last") > 1)
+    begun = begun.select("prev", "n", F.explode(F.expr("transform(sequence(1, char_length(last) - 1), i -> left(last, i))")).alias("last"))
+    begun = begun.join(fitting(asked), ["prev", "last"], "left_semi").groupBy("prev", "last").agg(F.sum("n").alias("longer"))
+    both = asked.join(one, "last", "left").join(two, "prev", "left").join(pairs, ["prev", "last"], "left").join(begun, ["prev", "last"], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     base = F.sqrt(z("e1") / (z("n1") + 1) * (z("e2") / (z("n2") + 1)))
-    return both.select("last", "prev", F.when(z("n1") > 0, (z("ends") + 2 * base) / (z("n") + 2)).otherwise(0.0).alias("final"))
+    return both.select("last", "prev", F.when(z("n1") > 0, (z("ends") + 2 * base) / (z("n") + z("longer") + 2)).otherwise(0.0).alias("final"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -202,9 +242,12 @@ def judged(documents: DataFrame) -> DataFrame:
     known = shape.groupBy("source", "trailer").agg(F.count(F.lit(1)).alias("n"))
     size = shape.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg((F.col("trailer") != "").cast("double")).alias("trailed"))
     rare = known.join(size, "source").where((F.col("trailer").startswith("|")) & (F.col("n") < 0.01 * F.col("docs") * F.col("trailed"))).select("source", "trailer", F.lit(True).alias("strange"))
-    shape = shape.join(at, "doc_id", "left").join(rare, ["source", "trailer"], "left").withColumn("open", F.col("open") | F.coalesce("strange", F.lit(False)))
-    final = finality(d, shape.where("open and not marked"))
-    shape = shape.join(final, ["last", "prev"], "left").withColumn("final", F.when(F.coalesce("strange", F.lit(False)), 0.0).otherwise(F.coalesce("final", F.lit(0.0))))
+    short = write_shared(abbreviations(d), "abbreviations").withColumn("short", F.lit(True))
+    shape = shape.join(at, "doc_id", "left").join(rare, ["source", "trailer"], "left").join(fitting(short), "token", "left").drop("token")
+    # A strange trailer or an abbreviation is no end, whatever stands there.
+    shape = shape.withColumn("strange", F.coalesce("strange", "short", F.lit(False))).withColumn("open", F.col("open") | F.col("strange")).drop("short")
+    final = finality(d, shape.where("open and not marked and not strange"))
+    shape = shape.join(final, ["last", "prev"], "left").withColumn("final", F.when(F.col("strange"), 0.0).otherwise(F.coalesce("final", F.lit(0.0))))
     shape = write_shared(shape, "judged")
     free = (~F.col("marked")) & F.col("open") & F.col("p_limit").isNull()
     way = shape.groupBy("source").agg(
@@ -213,7 +256,7 @@ def judged(documents: DataFrame) -> DataFrame:
         F.count_if(free & (F.col("final") < FINAL)).alias("lo"),
         F.avg((F.col("trailer") != "").cast("double")).alias("trailed"),
     )
-    way = way.select("source", F.greatest((F.col("hi") - 0.1 * F.col("lo")) / F.col("docs"), F.lit(0.0005)).alias("q"), F.greatest((F.col("lo") + 0.5) / F.col("docs"), F.lit(0.001)).alias("prior"), "trailed")
+    way = way.select("source", F.greatest((F.col("hi") - 0.1 * F.col("lo")) / F.col("docs"), F.least(F.lit(RARELY_OPEN), 0.5 / F.col("docs"))).alias("q"), F.greatest((F.col("lo") + 0.5) / F.col("docs"), F.lit(0.001)).alias("prior"), "trailed")
     full = shape.where("p_limit is not null").groupBy("source", "limit_at").agg(F.count_if(F.col("open") | F.col("marked")).alias("n_open"), F.count_if(~F.col("open") & ~F.col("marked")).alias("n_closed"))
     s = shape.join(way, "source").join(full, ["source", "limit_at"], "left")
     prior = F.coalesce("p_limit", F.least("prior", F.lit(0.5)))

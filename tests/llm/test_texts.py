@@ -216,3 +216,34 @@ def test_blanks_behind_a_cut(spark):
     d = spark.createDataFrame([*whole, (900, "s", "The valve turns the lens. The rotor lifts a" + " \n" * 2500), (901, "s", whole[0][2] + " " * 5000)], "doc_id bigint, source string, text string")
     p = {r["doc_id"]: r["p_cut"] for r in truncation.judged(d).collect()}
     assert p[900] > 0.5 and p[901] < 0.5
+
+
+def _found(spark, rows):
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    return {r["doc_id"] for r in truncation.judged(d).collect() if r["p_cut"] > 0.5}
+
+
+def test_full_stops_of_abbreviations_end_no_text(spark):
+    line = lambda i: f"As shown in FIG. {i}, the valve turns a lens, z. B. Glas, etc.\nThe rotor lifts a tray.\n"
+    rows = [(i, "s", line(i) * 2 + f"The pump {i} cools a core.") for i in range(80)]
+    rows += [(900, "s", line(1) + "As shown in FIG."), (901, "s", line(2) + "The valve turns a lens, z. B."), (902, "s", line(3) + "The rotor lifts a tray, etc.")]
+    assert _found(spark, rows) == {900, 901}
+    one_line = [(i, s, t.replace("\n", " ").strip()) for i, s, t in rows]
+    assert _found(spark, one_line[:80]) == set()
+    assert truncation.abbreviations(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_a_cut_inside_a_word_may_leave_a_word(spark):
+    # Half of the texts end without full stop; "plan" ends sentences elsewhere, and is the beginning of "plant".
+    rows = [(i, "open", f"The valve {'x' * (i * 37 % 199)} turns a lens. Use of the pump in a small plant and in a steel plant" + "." * (i % 2)) for i in range(500)]
+    rows += [(1000 + i, "other", f"The rotor {i} follows the plan. The core needs a plan.") for i in range(100)]
+    rows += [(2000 + i, "open", f"The valve {'x' * i * 7} turns a lens. Use of the pump in a small pla") for i in range(20)]
+    rows += [(3000, "open", "The valve 3000 turns a lens. Use of the pump in a small plant and in a steel plan")]
+    assert _found(spark, rows) == {3000, *range(2000, 2020)}
+
+
+def test_an_open_text_of_a_large_source_that_closes_all_others(spark):
+    rows = [(i, "s", f"The valve {'x' * (i * 37 % 401)} turns a lens. The rotor lifts a tray by a lens.") for i in range(8000)]
+    rows += [(9000 + i, "s", f"The valve {'x' * i * 7} turns a lens. The rotor lifts a") for i in range(20)]
+    rows += [(9900, "s", "The valve 7 turns a lens. The rotor lifts a tray by a lens")]
+    assert _found(spark, rows) == {9900, *range(9000, 9020)}
