@@ -164,3 +164,16 @@ def test_no_vector_at_all(spark):
     only_zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "spectrum_no bigint, x array<float>")
     assert clusters.clusters(only_zero, "spectrum_no", "x")[0].count() == 0
     assert vectors.neighbours(only_zero, "spectrum_no", "x").count() == 0
+
+
+def test_parts_of_several_lists_merge_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.repeat(vectors.unit(rng.normal(size=(12, 30))), 25, axis=0) + 0.03 * rng.normal(size=(300, 30))
+    rounds, one = [], clusters._round
+    monkeypatch.setattr(clusters, "_round", lambda *a: (rounds.append(1), one(*a))[1])
+    member, _ = clusters.clusters(frame(spark, x), "spectrum_no", "x", list_rows=20, spread=1.5)
+    found = {}
+    for r in member.collect():
+        found.setdefault(r["cluster_no"], []).append(r["id"])
+    assert sorted(map(len, found.values())) == [25] * 12 and all(max(v) - min(v) == 24 for v in found.values())
+    assert len(rounds) <= 2
