@@ -43,7 +43,8 @@ def filter_drug(spark, d):
     sql("SELECT spectrum_no, bin_index, intensity, r.species, r.mic FROM matrix JOIN records r USING (id) WHERE r.mic IS NOT NULL AND r.species = 'Nublavibrio kimianii'"),
 )
 def feature_matrix(spark, d):
-    kept = filters.any_drug(records(spark, d), ["mic"], "Nublavibrio kimianii").select("id", "species", "mic")
+    """No rows where the species is missing, as in SQL; a ``SpectrumSet`` of a missing species is an error."""
+    kept = filters.any_drug(filters.apply(records(spark, d), filters.species("Nublavibrio kimianii")), ["mic"]).select("id", "species", "mic")
     return spectra(spark, d).select("spectrum_no", "id", "x").join(kept, "id").select("spectrum_no", F.posexplode("x").alias("bin_index", "intensity"), "species", "mic")
 
 

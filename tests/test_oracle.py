@@ -48,6 +48,20 @@ def test_same_rows(spark, data, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("rule", ["species <> 'Nublavibrio kimianii'", "species = 'Nublavibrio kimianii' AND mic IS NULL"])
+def test_feature_matrix_without_rows(spark, data, tmp_path, rule):
+    """A table without the species, or without a value of it, is no error: SQL gives no rows."""
+    c = duckdb.connect()
+    c.execute(f"create view maldiset as select * from '{data}/maldiset.parquet'")
+    c.execute(f"create view metadata as select * from '{data}/metadata.parquet' where {rule}")
+    for t in ("maldiset", "metadata"):
+        c.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    df = entry.queries()["feature_matrix"](spark, str(tmp_path))
+    r = c.execute(entry.oracle_sql()["feature_matrix"])
+    assert sorted(df.columns) == sorted(d[0] for d in r.description)
+    assert df.collect() == r.fetchall() == []
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_without_sql_computes(spark, data, name):
     """All rows are made, not only planned; columns stay as declared."""
